@@ -3,11 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from .canon import mapped_rows
 from .ledger import collapsed
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    core, every = table(spark, sf_dir, "core_data"), table(spark, sf_dir, "core_ml_techniques_all")
+    fields = (("core_data.ml_technique_primary", core, "ml_technique_primary", "technique"), ("core_ml_techniques_all.technique", every, "technique", "technique"), ("core_data.weight_variable_name", core, "weight_variable_name", "weight"))
+    rows = None
+    for name, df, column, kind in fields:
+        part = df.select(F.lit(name).alias("field_name"), "row_id", F.lit(kind).alias("kind"), F.col(column).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return mapped_rows(rows, table(spark, sf_dir, "canonical_terms"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "metadata_blocks"))
 
@@ -26,5 +38,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
