@@ -7,9 +7,34 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .canon import mapped_rows
+from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .ledger import collapsed
 
 
+def _doi_intact():
+    return F.col("doi").rlike(DOI_FORM)
+
+
+def _file_intact():
+    plain = F.lower(F.trim("file_name"))
+    return ~F.col("file_shared") & ~plain.isin(*PLACEHOLDERS) & (file_key(F.col("file_name")) == plain)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "metadata").select("row_id", "corpus", "file_name", "title", "doi", "extraction_timestamp")
+    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": title_intact(F.col("title"))}
+    best = survivors(rows, table(spark, sf_dir, "corpus_trust"), {b: [b] for b in intact}, intact, {})
+    return best.select("first_row_id", "file_name", F.lower("doi").alias("doi"), "title")
+
+
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole surviving records: names and imprint are bundles that depend on the DOI."""
+    rows = table(spark, sf_dir, "metadata")
+    bundles = {"doi": ["doi"], "title": ["title", "title_lang"], "file_name": ["file_name"], "people": ["authors", "pub_year"], "imprint": ["venue", "publication_type", "source_category"]}
+    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": title_intact(F.col("title")), "people": F.col("authors").isNotNull() & F.col("pub_year").isNotNull(), "imprint": F.col("venue").isNotNull() & F.col("publication_type").isNotNull()}
+    return survivors(rows, table(spark, sf_dir, "corpus_trust"), bundles, intact, {"people": "doi", "imprint": "doi"})
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     core, every = table(spark, sf_dir, "core_data"), table(spark, sf_dir, "core_ml_techniques_all")
     fields = (("core_data.ml_technique_primary", core, "ml_technique_primary", "technique"), ("core_ml_techniques_all.technique", every, "technique", "technique"), ("core_data.weight_variable_name", core, "weight_variable_name", "weight"))
@@ -38,5 +63,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
