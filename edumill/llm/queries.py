@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .canon import mapped_rows
 from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
+from .langid import segments
 from .ledger import collapsed
 
 
@@ -35,6 +36,24 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(rows, table(spark, sf_dir, "corpus_trust"), bundles, intact, {"people": "doi", "imprint": "doi"})
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("metadata.title", "metadata", "row_id", "title_lang", "title"), ("survey_design.weight_fields_interpretation", "survey_design", "row_id", "text_lang", "weight_fields_interpretation"), ("documents.text", "documents", "doc_id", "lang", "text"))
+    rows = None
+    for name, source, key, label, text in fields:
+        part = table(spark, sf_dir, source).select(F.lit(name).alias("field_name"), F.col(key).alias("row_id"), F.col(label).alias("label"), F.col(text).alias("text"), F.lit(name == "metadata.title").alias("is_title")).where("row_id is not null")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All segments of all texts with their confidence."""
+    return segments(_texts(spark, sf_dir)).drop("is_case")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(_texts(spark, sf_dir)).where("is_case").select("field_name", "row_id", "seg_no", "lang")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     core, every = table(spark, sf_dir, "core_data"), table(spark, sf_dir, "core_ml_techniques_all")
     fields = (("core_data.ml_technique_primary", core, "ml_technique_primary", "technique"), ("core_ml_techniques_all.technique", every, "technique", "technique"), ("core_data.weight_variable_name", core, "weight_variable_name", "weight"))
@@ -63,5 +82,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
