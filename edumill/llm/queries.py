@@ -9,6 +9,7 @@ from ..session import table
 from .canon import mapped_rows
 from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .langid import segments
+from .leak import leaks
 from .ledger import collapsed
 
 
@@ -68,6 +69,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "metadata_blocks"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal and re-parameterised passages with the number of item words covered."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("kind = 'literal'").select("doc_id", "item_id")
+
+
 P5_SQL = r"""
 with k as (select block_id, [bare(file_name), bare(doi), bare(block->>'title'), bare(block->>'authors'), bare(block->>'year'),
   bare(block->>'venue'), bare(block->>'publication_type')] key from metadata_blocks)
@@ -82,5 +92,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
