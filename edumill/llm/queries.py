@@ -11,6 +11,7 @@ from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .langid import segments
 from .leak import leaks
 from .ledger import collapsed
+from .subject import subjects
 
 
 def _doi_intact():
@@ -78,6 +79,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).where("kind = 'literal'").select("doc_id", "item_id")
 
 
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject areas with the number of paragraphs they fill and their largest share."""
+    return subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject_id")
+
+
 P5_SQL = r"""
 with k as (select block_id, [bare(file_name), bare(doi), bare(block->>'title'), bare(block->>'authors'), bare(block->>'year'),
   bare(block->>'venue'), bare(block->>'publication_type')] key from metadata_blocks)
@@ -92,5 +102,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p10_found": p10_found, "p10_subjects": p10_subjects, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
