@@ -11,6 +11,7 @@ from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .langid import segments
 from .leak import leaks
 from .ledger import collapsed
+from .scans import repair
 from .subject import subjects
 
 
@@ -70,6 +71,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapsed(table(spark, sf_dir, "metadata_blocks"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "processed_pdf")).where("kind != 'text'").select("file_id", "field_name", "line_no", "kind", "fixed")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable text of both fields."""
+    return repair(table(spark, sf_dir, "processed_pdf")).where("kind = 'text'").select("file_id", "field_name", "repaired")
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal and re-parameterised passages with the number of item words covered."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -102,5 +112,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p10_found": p10_found, "p10_subjects": p10_subjects, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p10_found": p10_found, "p10_subjects": p10_subjects, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
