@@ -11,6 +11,7 @@ from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .langid import segments
 from .leak import leaks
 from .ledger import collapsed
+from .packing import pack
 from .scans import repair
 from .subject import subjects
 
@@ -80,6 +81,18 @@ def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(table(spark, sf_dir, "processed_pdf")).where("kind = 'text'").select("file_id", "field_name", "repaired")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document and piece, for each budget."""
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_budgets"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and unused room per budget."""
+    per = p8_containers(spark, sf_dir).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    per = per.join(F.broadcast(table(spark, sf_dir, "pack_budgets")), "budget_id")
+    return per.groupBy("budget_id", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("most_used"), (1 - F.sum("used") / (F.count("*") * F.first("capacity_tokens"))).alias("unused_share"))
+
+
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Literal and re-parameterised passages with the number of item words covered."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -112,5 +125,5 @@ def _bare(sql: str) -> str:
     return re.sub(r"bare\(((?:[^()']|'[^']*')*)\)", r"regexp_replace(lower(\1), '[^\\p{L}\\p{N}]', '', 'g')", sql)
 
 
-QUERIES = {"p7_found": p7_found, "p7_repaired": p7_repaired, "p10_found": p10_found, "p10_subjects": p10_subjects, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p7_found": p7_found, "p7_repaired": p7_repaired, "p10_found": p10_found, "p10_subjects": p10_subjects, "p9_found": p9_found, "p9_leaks": p9_leaks, "p2_found": p2_found, "p2_segments": p2_segments, "p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p5_found": p5_found}
 SQL = {"p5_found": _bare(P5_SQL)}
