@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality
+from . import quality, survey
 
 MODULES = (quality,)
+BOOKS = (survey.BOOK,)
 
 
 def queries() -> dict[str, Callable]:
-    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()} | {name: q for b in BOOKS for name, q in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()} | {name: sql for b in BOOKS for name, sql in b.sql.items()}
