@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import quality, survey
+from . import quality, survey, textual
 
 MODULES = (quality,)
-BOOKS = (survey.BOOK,)
+BOOKS = (survey.BOOK, textual.BOOK)
 
 
 def queries() -> dict[str, Callable]:
