@@ -1,7 +1,7 @@
 """Aggregations of coded findings: synthesis cube, predictor weights, priority, provenance, policy signals, profiles.
 
 Nulls form no group: rows without a method, variable or trend are left out of the cube. Ties between trends go to the
-alphabetically first. Global minima and maxima are one-row aggregates joined back, so no window spans the whole table.
+alphabetically first. Global minima and maxima are scalar subqueries, so no window spans the whole table.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ def cube(findings: DataFrame, study: str = "study") -> DataFrame:
 
 def min_max(df: DataFrame, column: str, out: str, default: float = 1.0) -> DataFrame:
     """Column scaled to [0, 1]; default where all values are equal."""
-    ends = df.agg(F.min(column).alias("lo_"), F.max(column).alias("hi_"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(out, F.when(F.col("hi_") > F.col("lo_"), (F.col(column) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).otherwise(default)).drop("lo_", "hi_")
+    lo, hi = df.agg(F.min(column)).scalar(), df.agg(F.max(column)).scalar()
+    return df.withColumn(out, F.when(hi > lo, (F.col(column) - lo) / (hi - lo)).otherwise(default))
 
 
 def predictor_weights(cells: DataFrame) -> DataFrame:
@@ -52,13 +52,13 @@ def effect_weights(effects: DataFrame) -> DataFrame:
 def priority(profile: DataFrame) -> DataFrame:
     """Priority of constructs from n_studies, n_programs, n_cycles, n_countries, predictive_share: the geometric mean of
     log frequency and three capped ratios, raised by the predictive share, relative to the largest."""
-    top = profile.agg(F.max(F.log1p("n_studies")).alias("top_"))
+    top = profile.agg(F.max(F.log1p("n_studies"))).scalar()
     clip = lambda c: F.least(F.greatest(c, F.lit(0.01)), F.lit(1.0))
-    parts = [clip(F.log1p("n_studies") / F.col("top_")), clip(F.col("n_programs") / 8), clip(F.col("n_cycles") / 8), clip(F.col("n_countries") / 50)]
+    parts = [clip(F.log1p("n_studies") / top), clip(F.col("n_programs") / 8), clip(F.col("n_cycles") / 8), clip(F.col("n_countries") / 50)]
     geo = F.exp((F.log(parts[0]) + F.log(parts[1]) + F.log(parts[2]) + F.log(parts[3])) / 4)
     boost = F.least(F.greatest(1 + 0.3 * F.coalesce("predictive_share", F.lit(0.0)), F.lit(1.0)), F.lit(1.3))
-    w = profile.crossJoin(F.broadcast(top)).withColumn("w_geo", geo).withColumn("w_raw", F.col("w_geo") * boost)
-    return w.crossJoin(F.broadcast(w.agg(F.max("w_raw").alias("most_")))).withColumn("w_j", F.try_divide(F.col("w_raw"), F.col("most_"))).drop("top_", "most_")
+    w = profile.withColumn("w_geo", geo).withColumn("w_raw", F.col("w_geo") * boost)
+    return w.withColumn("w_j", F.try_divide(F.col("w_raw"), w.agg(F.max("w_raw")).scalar()))
 
 
 def first_non_null(df: DataFrame, keys: list[str], columns: list[str], order: str) -> DataFrame:
