@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evidence, quality, relational, survey, textual
+from . import evidence, forecasting, quality, relational, survey, textual
 
 MODULES = (quality,)
-BOOKS = (survey.BOOK, textual.BOOK, relational.BOOK, evidence.BOOK)
+BOOKS = (survey.BOOK, textual.BOOK, relational.BOOK, evidence.BOOK, forecasting.BOOK)
 
 
 def queries() -> dict[str, Callable]:
