@@ -181,10 +181,10 @@ def w02(spark, d):
     return P.previous_cycles(scores(spark, d), ["program"])
 
 
-@BOOK.query("w03_rank_in_study", "select file_name, technique, position from (select row_id, file_name, technique, row_number() over (partition by file_name order by ordinal, row_id) position from core_ml_techniques_all where file_name <> 'fulltext.pdf')")
+@BOOK.query("w03_rank_in_study", "select row_id, technique, row_number() over (partition by file_name, loaded_at order by ordinal, row_id)::int position from core_ml_techniques_all")
 def w03(spark, d):
-    t = table(spark, d, "core_ml_techniques_all").where("file_name <> 'fulltext.pdf'")  # the one name that unrelated articles share is no study
-    return t.select("file_name", "technique", F.row_number().over(Window.partitionBy("file_name").orderBy("ordinal", "row_id")).alias("position"))
+    t = table(spark, d, "core_ml_techniques_all")  # a file name may be shared by unrelated studies, a record's load time is its own
+    return t.select("row_id", "technique", F.row_number().over(Window.partitionBy("file_name", "loaded_at").orderBy("ordinal", "row_id")).alias("position"))
 
 
 @BOOK.query("w04_next_cycle", f"with s as ({SCORES}), c as (select \"cycle\", \"cycle\"-lag(\"cycle\") over (order by \"cycle\") g from (select distinct \"cycle\" from s)) select 'ORD' program, max(\"cycle\") last_cycle, (max(\"cycle\")+round_even(avg(g),0)::int)::int next_cycle from c")
@@ -248,11 +248,11 @@ def u01(spark, d):
     return a.unionByName(b, allowMissingColumns=True).groupBy("t").agg(F.count("*").alias("n"), F.count("doi").alias("n_doi"))
 
 
-@BOOK.query("u05_ordered_unique", "select file_name, string_agg(technique,'|' order by o) techniques from (select file_name, technique, min((ordinal,row_id)) o from core_ml_techniques_all where technique is not null and file_name<>'fulltext.pdf' group by 1,2) group by 1")
+@BOOK.query("u05_ordered_unique", "select file_name, loaded_at, string_agg(technique,'|' order by o) techniques from (select file_name, loaded_at, technique, min((ordinal,row_id)) o from core_ml_techniques_all where technique is not null group by 1,2,3) group by 1,2")
 def u05(spark, d):
-    t = table(spark, d, "core_ml_techniques_all").where("technique is not null and file_name <> 'fulltext.pdf'")
-    first = t.groupBy("file_name", "technique").agg(F.min(F.struct("ordinal", "row_id")).alias("o"))
-    return first.groupBy("file_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "technique"))), lambda x: x["technique"]), "|").alias("techniques"))
+    t = table(spark, d, "core_ml_techniques_all").where("technique is not null")
+    first = t.groupBy("file_name", "loaded_at", "technique").agg(F.min(F.struct("ordinal", "row_id")).alias("o"))
+    return first.groupBy("file_name", "loaded_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "technique"))), lambda x: x["technique"]), "|").alias("techniques"))
 
 
 @BOOK.query("r02_pivot_mean", f"with s as ({SCORES}) select country, " + ", ".join(f"round(avg(score) filter (where \"cycle\"={y}),4) y{y}" for y in YEARS) + " from s group by 1")
