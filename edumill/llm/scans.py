@@ -262,9 +262,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for text in batch["raw_text"]:
                 total.update(counted_words(text))
             if len(total) > 300_000:
-                yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
+                yield pd.DataFrame(list(total.items()), columns=["word", "n"])
                 total = Counter()
-        yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
+        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
 
     return texts.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -1,7 +1,7 @@
 """Subject areas of documents (problem 10).
 
 Curated subject terms of all languages are found by one multi-pattern automaton per worker, paragraph by paragraph. A
-term weighs as much as it is rare among all paragraphs of the corpus that name any term; the sum of a subject's weights
+term weighs from one to about two, the more the rarer it is among all paragraphs of the corpus that name any term; the sum of a subject's weights
 is divided by the paragraph's length, and its share of all subjects' weights is taken. A document gets every subject
 whose share and density exceed the thresholds in at least one paragraph, so a passing mention inside a paragraph about
 something else does not count. Both thresholds are calibrated on the hand-labelled documents, as the pair that gives
@@ -37,7 +37,7 @@ _PARAGRAPH = re.compile(r"\n\s*\n|(?<=[.!?;:])[\"')\]]*[ \t]*\n")
 
 def term_list() -> list[tuple[int, str]]:
     """(subject, term), every term once; its place is its number."""
-    return [(s, t.strip()) for s, by_lang in sorted(TERMS.items()) for _, text in sorted(by_lang.items()) for t in text.split(";") if t.strip()]
+    return list(dict.fromkeys((s, t.strip()) for s, by_lang in sorted(TERMS.items()) for _, text in sorted(by_lang.items()) for t in text.split(";") if t.strip()))
 
 
 def automaton(terms: list[tuple[int, str]]):
@@ -92,7 +92,7 @@ def paragraph_scores(found: DataFrame) -> DataFrame:
     # one counter per curated term: bounded by the list
     counts = {r[0]: r[1] for r in found.select(F.explode(F.array_distinct("terms")).alias("t")).groupBy("t").count().collect()}
     total = max(1, found.count())
-    weights = [math.log(1 + total / (1 + counts.get(k, 0))) for k in range(len(terms))]
+    weights = [1 + math.log(1 + total / (1 + counts.get(k, 0))) / math.log(2 + total) for k in range(len(terms))]
     sides = [s for s, _ in terms]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
