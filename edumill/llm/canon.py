@@ -57,21 +57,29 @@ def allowed_edits(n: int) -> int:
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours, or most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            k = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+    """Edit distance with swaps of neighbours, or most + 1 if it is larger; only cells within most of the diagonal count."""
+    if a == b:
+        return 0
+    n, m, far = len(a), len(b), most + 1
+    if abs(n - m) > most:
+        return far
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(m, most) + 1)}
+    for i in range(1, n + 1):
+        row: dict[int, int] = {0: i} if i <= most else {}
+        x, low = a[i - 1], far
+        for j in range(max(1, i - most), min(m, i + most) + 1):
+            y = b[j - 1]
+            k = last.get(j - 1, far) + (x != y)
+            k = min(k, last.get(j, far) + 1, row.get(j - 1, far) + 1)
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                k = min(k, before[j - 2] + 1)
-            row.append(k)
-        if min(row) > most:
-            return most + 1
+                k = min(k, before.get(j - 2, far) + 1)
+            row[j] = k
+            low = min(low, k)
+        if min(low, row.get(0, far)) > most:
+            return far
         before, last = last, row
-    return min(last[-1], most + 1)
+    return min(last.get(m, far), far)
 
 
 @F.pandas_udf(IntegerType())
@@ -117,7 +125,10 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     right = forms.select("kind", "r").distinct().withColumn("toks", pairs(F.col("r")))
     near = set_similarity_join(left, right).join(F.broadcast(forms), ["kind", "r"])  # as many forms as twice the list
     exact = near.where("l = r").withColumn("n_edits", F.lit(0)).unionByName(
-        near.where("l != r and not short").withColumn("n_edits", _edits("l", "r")).where(F.col("n_edits") <= _allowed("r"))
+        near.where("l != r and not short")
+        .where((F.abs(F.length("l") - F.length("r")) <= 3) & F.levenshtein("l", "r", 6).between(0, 6))  # a swap counts as two of these edits, so none is lost
+        .repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work
+        .withColumn("n_edits", _edits("l", "r")).where(F.col("n_edits") <= _allowed("r"))
     )
     best = exact.groupBy("kind", "l").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "n_edits", "term_id")).alias("best"))
     found = read.join(best, ["kind", "l"]).groupBy("kind", "value").agg(F.min("best").alias("best"))
