@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evidence, files, forecasting, quality, relational, retrieving, survey, textual
+from . import evidence, files, forecasting, quality, relational, repairs, retrieving, survey, textual
 
 MODULES = (quality,)
-BOOKS = (survey.BOOK, textual.BOOK, relational.BOOK, evidence.BOOK, forecasting.BOOK, retrieving.BOOK, files.BOOK)
+BOOKS = (survey.BOOK, textual.BOOK, relational.BOOK, evidence.BOOK, forecasting.BOOK, retrieving.BOOK, files.BOOK, repairs.BOOK)
 
 
 def queries() -> dict[str, Callable]:
