@@ -17,10 +17,11 @@ long values are compared whole; repeated rows each get their row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..session import broadcast_if_small, stage
 
@@ -82,14 +83,11 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last.get(m, far), far)
 
 
-@F.pandas_udf(IntegerType())
-def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y, allowed_edits(len(y))) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
-@F.pandas_udf(IntegerType())
-def _allowed(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: allowed_edits(len(x))).astype("int32")
+def _within_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs (l, r) whose distance is allowed, with it."""
+    for batch in batches:
+        batch["n_edits"] = [edits(x, y, allowed_edits(len(y))) for x, y in zip(batch["l"], batch["r"], strict=True)]
+        yield batch[batch["n_edits"] <= batch["r"].map(lambda y: allowed_edits(len(y)))].astype({"n_edits": "int32"})
 
 
 def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,12 +122,10 @@ def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     left = read.select("kind", "l").distinct().withColumn("toks", pairs(F.col("l")))
     right = forms.select("kind", "r").distinct().withColumn("toks", pairs(F.col("r")))
     near = set_similarity_join(left, right).join(F.broadcast(forms), ["kind", "r"])  # as many forms as twice the list
-    exact = near.where("l = r").withColumn("n_edits", F.lit(0)).unionByName(
-        near.where("l != r and not short")
-        .where((F.abs(F.length("l") - F.length("r")) <= 3) & F.levenshtein("l", "r", 6).between(0, 6))  # a swap counts as two of these edits, so none is lost
-        .repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work
-        .withColumn("n_edits", _edits("l", "r")).where(F.col("n_edits") <= _allowed("r"))
-    )
+    close = near.where("l != r and not short").where((F.abs(F.length("l") - F.length("r")) <= 3) & F.levenshtein("l", "r", 6).between(0, 6))  # a swap counts as two of these edits, so none is lost
+    spread = close.select("kind", "l", "r", "term_id", "jaccard").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work
+    checked = spread.mapInPandas(_within_edits, "kind string, l string, r string, term_id int, jaccard double, n_edits int")
+    exact = near.where("l = r").select("kind", "l", "r", "term_id", "jaccard", F.lit(0).alias("n_edits")).unionByName(checked)
     best = exact.groupBy("kind", "l").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "n_edits", "term_id")).alias("best"))
     found = read.join(best, ["kind", "l"]).groupBy("kind", "value").agg(F.min("best").alias("best"))
     return values.join(found, ["kind", "value"], "left").select("kind", "value", F.coalesce("best.term_id", F.lit(0)).cast("int").alias("term_id"))
