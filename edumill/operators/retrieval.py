@@ -1,8 +1,8 @@
 """Retrieval over evidence: filtered cosine top-k, keyword scores, hybrid lists, routing of questions, no-evidence guard.
 
 Top-k per question is an ordered aggregation: every task keeps the k best of its rows (a bounded heap in the sort's
-limit or in the aggregate), so nothing grows with the corpus but the scan. Questions are a small stated set; they are
-sent to the rows in one broadcast of checked size, each row is scored against all of them where it lies.
+limit or in the aggregate), so nothing grows with the corpus but the scan. Questions are a stated set joined by their label;
+a question without one is asked of every label. They are broadcast only if they were counted to be few.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import contains_any
+from ..session import broadcast_if_small
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,8 +36,9 @@ def top_k(scored: DataFrame, question: str, order: list, k: int) -> DataFrame:
 def vector_search(rows: DataFrame, questions: DataFrame, k: int = 12, most_distance: float = 0.72) -> DataFrame:
     """(question_id, id, distance, rank): rows (id, vector, label) against questions (question_id, q, q_label): the label
     filter first, then the k nearest, then the distance bound."""
-    j = rows.join(F.broadcast(questions), F.coalesce(F.col("q_label"), F.col("label")) == F.col("label"))
-    scored = j.select("question_id", "id", cosine_distance(F.col("vector"), F.col("q")).alias("distance")).where("distance is not null")
+    every = rows.agg(F.collect_set("label")).scalar()  # as many labels as there are kinds of evidence
+    asked = questions.withColumn("label", F.explode(F.when(F.col("q_label").isNull(), every).otherwise(F.array("q_label")))).drop("q_label")
+    scored = rows.join(broadcast_if_small(asked), "label").select("question_id", "id", cosine_distance(F.col("vector"), F.col("q")).alias("distance")).where("distance is not null")
     return top_k(scored, "question_id", ["distance", "id"], k).where(F.col("distance") <= most_distance)
 
 
@@ -61,8 +63,8 @@ def hybrid(dense: DataFrame, keyword: DataFrame, k: int, extra: int = 4, core: i
     """Dense lines (line, rank), then keyword lines whose first core letters no dense line holds; at most k + extra lines."""
     d = dense.select("line", F.lit(0).alias("source"), "rank")
     w = keyword.select("line", F.lit(1).alias("source"), "rank")
-    held = d.agg(F.collect_list(F.lower("line")).alias("held"))  # at most k lines
-    fresh = w.join(F.broadcast(held)).where(~F.exists("held", lambda h: F.instr(h, F.left(F.lower(F.col("line")), F.lit(core))) > 0)).drop("held")
+    held = d.agg(F.collect_list(F.lower("line"))).scalar()  # at most k lines
+    fresh = w.withColumn("held", held).where(~F.exists("held", lambda h: F.instr(h, F.left(F.lower(F.col("line")), F.lit(core))) > 0)).drop("held")
     return d.unionByName(fresh).orderBy("source", "rank").limit(k + extra)
 
 

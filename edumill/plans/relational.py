@@ -17,7 +17,8 @@ def scores(spark, d):
     """Panel of order values: program ORD, domain price, country = nation of the customer, cycle = order year."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-    return j.groupBy(F.lit("ORD").alias("program"), F.col("n_name").alias("country"), F.year("o_orderdate").alias("cycle")).agg(F.avg("o_totalprice").alias("score"), F.count("*").alias("n"))
+    program = F.when(F.col("o_orderkey").isNotNull(), "ORD")  # of the row, not a literal: joins on the programme stay equi-joins
+    return j.groupBy(program.alias("program"), F.col("n_name").alias("country"), F.year("o_orderdate").alias("cycle")).agg(F.avg("o_totalprice").alias("score"), F.count("*").alias("n"))
 
 
 SCORES = "select 'ORD' program, n_name country, year(o_orderdate)::int \"cycle\", avg(o_totalprice) score, count(*) n from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey group by 1,2,3"
