@@ -10,6 +10,7 @@ from ..operators import records as R
 from ..operators import synthesis as Y
 from ..session import table
 from .base import Book, r6
+from .textual import MISS
 
 BOOK = Book()
 
@@ -154,23 +155,38 @@ def r06(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", "dataset_used", "target_variable", "performance_metrics")
 
 
-@BOOK.query("r06_confounders", None)
+def _listed(path: str) -> str:
+    return f"with e as (select record_id, json_extract(j, '$.data.{path}[*]') l from ({_J}) where json_type(j,'$.data.{path}')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int i from e)"
+
+
+_CODE = "case when s='' or s is null then 'unnamed' else s end"
+
+
+@BOOK.query("r06_confounders", _listed("confounders_identified") + f", y as (select record_id, i, f->>'$.variable_code' code, f->>'$.variable_name' nm, f->>'$.category' category, left(regexp_replace(regexp_replace(lower(f->>'$.variable_name'),'[^a-z0-9]+','_','g'),'^_+|_+$','','g'),48) s from x) select record_id, i confounder_index, case when {MISS.format('code')} then {_CODE} else code end variable_code, nm variable_name, category from y")
 def r06b(spark, d):
     return R.confounders(_records(spark, d))
 
 
-@BOOK.query("d04_merged_findings", None)
+@BOOK.query("d04_merged_findings", _listed("main_findings") + f", y as (select record_id, i, lower(trim(coalesce(f->>'$.dataset_used',''))) dataset, lower(trim(coalesce(f->>'$.target_variable',''))) target, f->>'$.performance_metrics' m from x where f->>'$.target_variable' is not null), u as (select record_id, dataset, target, case when {MISS.format('m')} then null else m end m, min(i) i from y group by all), k as (select record_id, dataset, target, min(i) finding_index from y group by all) select k.record_id, k.finding_index, k.dataset, k.target, coalesce(string_agg(u.m,'; ' order by u.i),'') metrics from k join u using (record_id, dataset, target) group by all")
 def d04(spark, d):
     return R.merged_findings(R.findings(_records(spark, d)))
 
 
-@BOOK.query("a20_completeness", None)
+def _filled(path: str) -> str:
+    return f"(not coalesce(trim(j->>'$.{path}') in ('','nan','NaN'),true))::int"
+
+
+_TEN = "+".join(_filled(p) for p in ("metadata.title", "metadata.doi", "metadata.year", "metadata.publication_type", "data.plausible_values_handling", "data.missing_data_handling", "data.survey_design.weight_fields_interpretation", "data.survey_design.weight_variable_name", "data.sample_details.sample_filtering_criteria")) + f"+greatest({_filled('data.ml_techniques.primary')},{_filled('data.ml_techniques.all_techniques')})"
+_MORE = "(coalesce(json_array_length(j,'$.data.main_findings'),0)>0)::int+(coalesce(json_array_length(j,'$.data.confounders_identified'),0)>0)::int+" + _filled("data.outcome_summary")
+
+
+@BOOK.query("a20_completeness", f"select record_id, round(case when j->>'$.metadata.publication_type'='report' then ({_TEN})/10.0 else ({_TEN}+{_MORE})/13.0 end,3) data_completeness_score from ({_J})")
 def a20(spark, d):
     r = _records(spark, d)
     return r.select("record_id", R.completeness(F.col("r.metadata.publication_type") == "report").alias("data_completeness_score"))
 
 
-@BOOK.query("f39_metrics", None)
+@BOOK.query("f39_metrics", _listed("main_findings") + r", y as (select record_id, i, coalesce(f->>'$.performance_metrics','') m from x where f->>'$.target_variable' is not null) select record_id, i finding_index, case when regexp_matches(m,'(?i)\bR(?:2|²|-squared)\s*[:=]\s*(-?[0-9]*\.?[0-9]+)') then 'R2='||regexp_extract(m,'(?i)\bR(?:2|²|-squared)\s*[:=]\s*(-?[0-9]*\.?[0-9]+)',1) when regexp_full_match(trim(m),'-?[0-9]*\.?[0-9]+') then trim(m) else 'Not Reported' end metrics from y".replace("\\\\", "\\"))
 def f39(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", T.metrics(F.coalesce("performance_metrics", F.lit(""))).alias("metrics"))
 

@@ -41,7 +41,8 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every scalar column of both tables, ids and load numbers left out."""
     skip = ("row_id", "load_no")
     meta, core = table(spark, sf_dir, "metadata"), table(spark, sf_dir, "core_data")
-    return profile(meta, "metadata", "load_no", _kinds(meta, skip)).unionByName(profile(core, "core_data", "load_no", _kinds(core, skip)))
+    every = profile(meta, "metadata", "load_no", _kinds(meta, skip)).unionByName(profile(core, "core_data", "load_no", _kinds(core, skip)))
+    return every.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "min_value", "max_value", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75", "ks_previous", "share_change_previous")])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,5 +75,35 @@ union all select t, c, 'shift', load_no from (
   union select 'core_data', 'plausible_values_handling', load_no from moved)
 """
 
+_TEXT = {"metadata": "corpus file_name title title_lang authors doi venue publication_type source_category", "core_data": "file_name research_design_type student_weights_used replicate_weights_used weight_variable_name plausible_values_handling missing_data_handling ml_technique_primary feature_selection baseline_model xai_method"}
+_NUMBER = {"metadata": "pub_year open_access extraction_cost_usd prompt_tokens completion_tokens", "core_data": "total_students"}
+_TIME = {"metadata": "extraction_timestamp", "core_data": "loaded_at"}
+
+
+def _unpivoted() -> str:
+    parts = []
+    for t in _TEXT:
+        parts += [f"select '{t}' t, '{c}' c, load_no l, null::double num, case when not regexp_full_match({c}, '[\\s\\p{{Z}}]*') then {c} end str from {t}" for c in _TEXT[t].split()]
+        parts += [f"select '{t}', '{c}', load_no, {c}::double, null from {t}" for c in _NUMBER[t].split()]
+        parts += [f"select '{t}', '{c}', load_no, epoch_us({c})::double/1e6, null from {t}" for c in _TIME[t].split()]
+    return " union all ".join(parts)
+
+
+PROFILE_SQL = f"""
+with u as ({_unpivoted()}), f as (select * from u where num is not null or str is not null),
+b as (select t, c, l, count(*) n_rows, sum((num is null and str is null)::int)::bigint n_null from u group by all),
+v as (select t, c, num, str, row_number() over (partition by t, c order by num, str) k from (select distinct t, c, num, str from f)),
+d as (select f.t, f.c, f.l, v.k, count(*) n from f join v on f.t=v.t and f.c=v.c and f.num is not distinct from v.num and f.str is not distinct from v.str group by all),
+g as (select v.t, v.c, v.k, b.l from v join b on v.t=b.t and v.c=b.c),
+x as (select g.*, coalesce(d.n, 0) n, sum(coalesce(d.n, 0)) over (partition by g.t, g.c, g.l order by g.k) cum, sum(coalesce(d.n, 0)) over (partition by g.t, g.c, g.l) tot from g left join d using (t, c, l, k)),
+y as (select t, c, k, l, case when tot>0 then cum/tot end cdf, case when tot>0 then n/tot end sh from x),
+z as (select t, c, l, k, cdf - lag(cdf) over w dc, sh - lag(sh) over w ds from y window w as (partition by t, c, k order by l)),
+ks as (select t, c, l, max(abs(dc)) ks, max(abs(ds)) sc from z group by all),
+q as (select t, c, l, count(distinct (num, str)) n_distinct, coalesce(min(num)::varchar, min(str)) mn, coalesce(max(num)::varchar, max(str)) mx, quantile_cont(num, 0.25) q25, quantile_cont(num, 0.5) q50, quantile_cont(num, 0.75) q75 from f group by all)
+select b.t table_name, b.c column_name, b.l load_no, b.n_rows, b.n_null, coalesce(q.n_distinct, 0) n_distinct, q.mn min_value, q.mx max_value,
+  round(q.q25, 6) q25, round(q.q50, 6) q50, round(q.q75, 6) q75, round(ks.ks, 6) ks_previous, round(ks.sc, 6) share_change_previous
+from b left join q using (t, c, l) left join ks using (t, c, l)
+"""
+
 QUERIES = {"p4_found": p4_found, "p4_profile": p4_profile, "p6_found": p6_found, "p6_levels": p6_levels}
-SQL = {"p4_found": P4_SQL}
+SQL = {"p4_found": P4_SQL, "p4_profile": PROFILE_SQL}

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import records as R
 from ..session import table
 from .base import Book
-from .evidence import _J, _records
+from .evidence import _J, _listed, _records
 from .textual import MISS, _sql_cases
 
 BOOK = Book()
@@ -54,7 +54,7 @@ def f18(spark, d):
     return m.select("row_id", X.target_of(F.col("title")).alias("target"), X.dataset_of(F.col("title"), F.col("source_category")).alias("dataset"))
 
 
-@BOOK.query("f20_legacy_upgrade")
+@BOOK.query("f20_legacy_upgrade", _listed("main_findings") + " select record_id, i finding_index, f->>'$.target_variable' target_variable, f->>'$.dataset_used' dataset_used, false upgraded from x")
 def f20(spark, d):
     """Findings made by an older migration get their target and data set from the title; the others stay."""
     f = _records(spark, d).select("record_id", F.col("r.metadata.title").alias("title"), F.posexplode("r.data.main_findings").alias("pos", "f"))
@@ -98,7 +98,9 @@ def f27(spark, d):
     return _records(spark, d).select("record_id", X.is_official_report(F.col("r")).alias("official_report"))
 
 
-@BOOK.query("f27_findings_rule")
+@BOOK.query("f27_findings_rule", f"""with p as (select record_id, j, lower(coalesce(j->>'$.metadata.publication_type','')) pub, {MISS.format("j->>'$.data.ml_techniques.primary'")} no_primary, {MISS.format("j->>'$.data.ml_techniques.all_techniques'")} or coalesce(j->>'$.data.ml_techniques.all_techniques'='[]',false) no_all, regexp_matches(lower(concat_ws(' ', j->>'$.metadata.title', j->>'$.metadata.file_name')),'technical report|national report|framework|user guide|manual') sig,
+ coalesce(json_array_length(j,'$.data.confounders_identified'),0)>0 conf, {MISS.format("j->>'$.data.sample_details.total_students'")} no_n, coalesce(length(trim(j->>'$.data.outcome_summary'))>=20,false) and not {MISS.format("j->>'$.data.outcome_summary'")} outc, coalesce(json_array_length(j,'$.data.main_findings'),0)=0 nof from ({_J})),
+q as (select record_id, nof, not (no_primary and no_all and (pub='report' or (pub in ('book_chapter','') and sig))) and (outc or not no_primary or not no_all or conf or not no_n) need from p) select record_id, need requires_findings, need and nof violates_findings_rule from q""")
 def f27b(spark, d):
     """Records that must have findings, and whether they break that rule; valid and broken ones are told apart, not dropped."""
     r = _records(spark, d)
