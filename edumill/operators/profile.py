@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 QUANTILES = (0.25, 0.5, 0.75)
 
 
@@ -61,10 +63,10 @@ def profile(df: DataFrame, table_name: str, load: str, columns: dict[str, tuple[
     """
     spark = df.sparkSession
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = value_counts(df, load, columns).checkpoint()
+    counts = checkpointed(value_counts(df, load, columns))
     filled = F.col("num").isNotNull() | F.col("str").isNotNull()
     per_load = counts.groupBy("column_name", "load").agg(F.sum("n").alias("n_rows"), F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("n_null"))
-    ordered = counts.where(filled).repartitionByRange(partitions, "column_name", "num", "str").sortWithinPartitions("column_name", "num", "str").checkpoint()
+    ordered = checkpointed(counts.where(filled).repartitionByRange(partitions, "column_name", "num", "str").sortWithinPartitions("column_name", "num", "str"))
 
     # one counter per partition, column and load: bounded by the number of partitions, not by the rows
     parts = ordered.groupBy(F.spark_partition_id().alias("pid"), "column_name", "load").agg(F.sum("n").alias("n")).collect()

@@ -17,18 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jdir.isDefined():
-            where = jdir.get()
-        else:
-            where = tempfile.mkdtemp(prefix="edumill-")
-            spark.sparkContext.setCheckpointDir(where)
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (set_.get() if set_.isDefined() else None) or tempfile.mkdtemp(prefix="edumill-")
+    if not set_.isDefined():
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder; partitions stay as they are."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
