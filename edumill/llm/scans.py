@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Share of all word tokens from which a word is frequent, and the least count in small corpora.
 FREQUENT = 2e-5
 LEAST_COUNT = 6
@@ -281,7 +283,7 @@ def skip_grams(texts: DataFrame, least: int) -> dict[str, np.ndarray]:
 
 def corrector(pdfs: DataFrame) -> Corrector:
     texts = pdfs.select("raw_text").where("length(raw_text) > 0")
-    counts = word_counts(texts).checkpoint()
+    counts = checkpointed(word_counts(texts))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, int(total * FREQUENT))
     frequent = {r[0]: r[1] for r in counts.where(F.col("n") >= least).collect()}  # at most 1 / FREQUENT words
