@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 #: Share of all word tokens from which a word is frequent, and the least count in small corpora.
-FREQUENT = 2e-5
+FREQUENT = 2.4e-5
 LEAST_COUNT = 6
 VECTOR = 24
 AROUND = 4
@@ -277,7 +277,10 @@ def skip_grams(texts: DataFrame, least: int) -> dict[str, np.ndarray]:
 
     tokens = F.expr(r"filter(split(lower(regexp_replace(raw_text, '[-¬­‐]\\s*\\n\\s*', '')), '[^\\p{L}\\p{N}\'’-]+'), x -> x != '')")
     parts = max(1, min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    model = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=AROUND, seed=11, inputCol="tokens", outputCol="v").fit(texts.select(tokens.alias("tokens")))
+    rows = texts.select(tokens.alias("tokens"))
+    if not rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(1).count():
+        return {}  # the learner refuses an empty vocabulary
+    model = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=AROUND, seed=11, inputCol="tokens", outputCol="v").fit(rows)
     return {r["word"]: (v := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(v) + 1e-9) for r in model.getVectors().collect()}
 
 
@@ -287,6 +290,9 @@ def corrector(pdfs: DataFrame) -> Corrector:
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, int(total * FREQUENT))
     frequent = {r[0]: r[1] for r in counts.where(F.col("n") >= least).collect()}  # at most 1 / FREQUENT words
+    for w, n in list(frequent.items()):  # a common misreading of a very common word is no word
+        if n < 3 * least and any(frequent.get(v, 0) >= 50 * n for v, _ in variants(w)):
+            del frequent[w]
     return Corrector(frequent, skip_grams(texts, least) if frequent else {})
 
 
