@@ -54,10 +54,15 @@ def folds(panel: DataFrame, program: list[str], cycle: str = "cycle", least_prio
     return panel.join(F.broadcast(tests), program).where(F.col(cycle) <= F.col("test_cycle")).withColumn("role", F.when(F.col(cycle) == F.col("test_cycle"), "test").otherwise("train"))
 
 
-def average_rank(value: str, keys: list[str]):
-    """Ranks with ties averaged."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(w.partitionBy(*keys, value)) - 1) / 2
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """df with the rank of value in its group, ties averaged; null values get none.
+
+    Equal values are counted first, so the window holds one row per distinct value of a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n_"))
+    below = F.sum("n_").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = counts.select(*keys, value, (F.coalesce(below, F.lit(0)) + (F.col("n_") + 1) / 2).alias(out))
+    return df.join(ranks, [*keys, value], "left")
 
 
 def next_cycle(panel: DataFrame, program: list[str], cycle: str = "cycle") -> DataFrame:

@@ -52,7 +52,7 @@ def m04(spark, d):
 @BOOK.query("m06_spearman", f"with {FOLDS}, k as (select test_cycle, rank() over (partition by test_cycle order by y)+(count(*) over (partition by test_cycle,y)-1)/2.0 ry, rank() over (partition by test_cycle order by x)+(count(*) over (partition by test_cycle,x)-1)/2.0 rx from pr join t on cy=test_cycle) select test_cycle, round(corr(ry,rx),6) rho, count(*) n from k group by 1")
 def m06(spark, d):
     f = M.fold_rows(pairs(spark, d)).where("role = 'test'").select("test_cycle", "y", F.element_at("x", 1).alias("x"))
-    k = f.select("test_cycle", P.average_rank("y", ["test_cycle"]).alias("ry"), P.average_rank("x", ["test_cycle"]).alias("rx"))
+    k = P.average_ranks(P.average_ranks(f, ["test_cycle"], "y", "ry"), ["test_cycle"], "x", "rx")
     return k.groupBy("test_cycle").agg(r6(F.corr("ry", "rx")).alias("rho"), F.count("*").alias("n"))
 
 

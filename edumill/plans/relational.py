@@ -208,7 +208,7 @@ def w06(spark, d):
 
 @BOOK.query("w07_average_ranks", "select p_type, p_partkey, rank() over (partition by p_type order by p_size) + (count(*) over (partition by p_type, p_size)-1)/2.0 r from part")
 def w07(spark, d):
-    return table(spark, d, "part").select("p_type", "p_partkey", P.average_rank("p_size", ["p_type"]).alias("r"))
+    return P.average_ranks(table(spark, d, "part").select("p_type", "p_partkey", "p_size"), ["p_type"], "p_size", "r").select("p_type", "p_partkey", "r")
 
 
 @BOOK.query("t01_sorted_weights", "select p_brand, round(sum(p_retailprice),4) w from part group by 1 order by w desc, p_brand limit 10")
