@@ -34,11 +34,11 @@ def contains_any(text: Column, words: Sequence[str]) -> Column:
     return hit
 
 
-def pattern_score(text: Column, patterns: Sequence[str]) -> Column:
-    """How many of the patterns are found."""
+def pattern_score(text: Column, patterns: Sequence[str], folded: bool = False) -> Column:
+    """How many of the patterns are found; case does not matter, folded: the text is in lower case already."""
     total = F.lit(0)
     for p in patterns:
-        total = total + F.coalesce(text.rlike("(?i)" + p), F.lit(False)).cast("int")
+        total = total + F.coalesce(text.rlike(p if folded else "(?i)" + p), F.lit(False)).cast("int")
     return total
 
 

@@ -7,6 +7,8 @@ a question without one is asked of every label. They are broadcast only if they
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +44,15 @@ def vector_search(rows: DataFrame, questions: DataFrame, k: int = 12, most_dista
     return top_k(scored, "question_id", ["distance", "id"], k).where(F.col("distance") <= most_distance)
 
 
-def query_tokens(c: Column) -> Column:
-    """Distinct words of four letters or more, in lower case."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]{4,})"), F.lit(1)))
-
-
-def keyword_score(text: Column, tokens: Column) -> Column:
-    """How many tokens are part of a text."""
-    low = F.lower(text)
-    return F.size(F.filter(tokens, lambda t: F.instr(low, t) > 0))
+def keyword_score(low: Column, tokens: list[str]) -> Column:
+    """How many tokens are part of a text in lower case."""
+    return sum((low.contains(t).cast("int") for t in tokens), F.lit(0))
 
 
 def keyword_search(rows: DataFrame, query: str, k: int = 8, text: str = "text", key: str = "id") -> DataFrame:
     """The k rows of highest keyword score for one question; ties by id."""
-    scored = rows.select(key, text, keyword_score(F.col(text), query_tokens(F.lit(query))).alias("score")).where("score > 0")
+    tokens = sorted(set(re.findall("[a-z]{4,}", query.lower())))
+    scored = rows.select(key, text, F.lower(text).alias("low_")).select(key, text, keyword_score(F.col("low_"), tokens).alias("score")).where("score > 0")
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 

@@ -80,3 +80,11 @@ def test_a_published_fold():
     m = M.Fitted(train[:, :3], train[:, 3])
     s = M.scores_of(test[:, 3], m.predict(test[:, :3]))
     assert m.alpha == 0.01 and round(s["mae"], 4) == 20.6715 and round(s["rmse"], 4) == 25.6402
+
+
+def test_average_ranks(spark):
+    from edumill.operators.panel import average_ranks
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 5.0), ("a", None), ("b", 2.0)], "k string, v double")
+    got = sorted((r["k"], r["v"] or -1, r["r"]) for r in average_ranks(df, ["k"], "v", "r").collect())
+    assert got == [("a", -1, None), ("a", 1.0, 1.5), ("a", 1.0, 1.5), ("a", 5.0, 3.0), ("b", 2.0, 1.0)]
