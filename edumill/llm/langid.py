@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 #: fixed values: the languages of the tables by family
 FAMILIES = {"germanic": ("en", "de"), "romance": ("fr", "es", "pt"), "turkic": ("tr",)}
 SAMPLE_TEXTS = 1200
@@ -250,10 +252,12 @@ def segments(texts: DataFrame) -> DataFrame:
         decider = Decider(model.value) if model.value is not None else None
         for batch in batches:
             out = []
-            found = segments_of(batch["text"].tolist(), batch["is_title"].tolist(), decider) if decider else []
-            for f, i, label, segs in zip(batch["field_name"], batch["row_id"], batch["label"], found, strict=True) if decider else ():
-                case = len(segs) > 1 or bool(segs) and (label or "").strip().lower() != segs[0][0]
-                out += [(f, i, k, lang, c, case) for k, (lang, c) in enumerate(segs, 1)]
+            for at in slices(batch["text"].tolist()) if decider else ():
+                part = batch.iloc[at]
+                found = segments_of(part["text"].tolist(), part["is_title"].tolist(), decider)
+                for f, i, label, segs in zip(part["field_name"], part["row_id"], part["label"], found, strict=True):
+                    case = len(segs) > 1 or bool(segs) and (label or "").strip().lower() != segs[0][0]
+                    out += [(f, i, k, lang, c, case) for k, (lang, c) in enumerate(segs, 1)]
             yield pd.DataFrame(out, columns=["field_name", "row_id", "seg_no", "lang", "confidence", "is_case"]).astype({"row_id": "int64", "seg_no": "int32", "confidence": "float64", "is_case": "bool"})
 
     return real.select("field_name", "row_id", "label", "text", "is_title").mapInPandas(run, "field_name string, row_id bigint, seg_no int, lang string, confidence double, is_case boolean")

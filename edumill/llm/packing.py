@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, stage
+from .batches import slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: how byte-level BPE of this vocabulary divides a text into words
@@ -117,8 +118,10 @@ def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizer = Sizer(path)
         for batch in batches:
-            tokens, keys = sizer.measure(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": tokens, "curve_key": keys})
+            texts = batch["text"].tolist()
+            for at in slices(texts):
+                tokens, keys = sizer.measure(texts[at])
+                yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at], "n_tokens": tokens, "curve_key": keys})
 
     return documents.select("doc_id", "text").where("doc_id is not null and length(text) > 0").mapInPandas(run, "doc_id bigint, n_tokens bigint, curve_key bigint")
 

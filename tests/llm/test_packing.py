@@ -59,3 +59,13 @@ def test_nothing_is_lost_split_or_overfull(packed):
 def test_empty_tables(spark, packed):
     docs, budgets, _, _ = packed
     assert P.pack(docs.limit(0), budgets).count() == 0 and P.pack(docs, budgets.limit(0)).count() == 0
+
+
+def test_slices_cover_a_batch():
+    from edumill.llm.batches import slices
+
+    texts = ["ab"] * 5 + ["x" * 50] + ["c"] * 3
+    for letters in (1, 4, 7, 1000):
+        parts = [texts[s] for s in slices(texts, letters)]
+        assert sum(parts, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= letters for p in parts)
+    assert list(slices([])) == []
