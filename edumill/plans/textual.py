@@ -208,6 +208,16 @@ def f38(spark, d):
     return t.join(F.broadcast(names), "k", "left").groupBy(F.coalesce("name", F.lit("OTHER")).alias("technique")).agg(F.count("*").alias("n"))
 
 
+@BOOK.query("f38_canonical_technique", f"""with k as (select lower(canonical_name) k, min(canonical_name) v from canonical_terms where kind='technique' and canonical_name<>'' group by 1), a as (select k, min(v) v from (select * from k union all select lower(short_form), min(canonical_name) from canonical_terms where kind='technique' and lower(short_form) not in (select k from k) group by 1) group by 1),
+s as (select technique raw, count(*) n from core_ml_techniques_all group by 1), m as (select raw, n, trim(raw) t, lower(trim(raw)) l from s)
+select technique, sum(n)::bigint n from (select n, case when {BLANK.format('raw')} then 'Not Reported' else coalesce((select v from a where a.k=m.l), (select arg_min(v, (-length(k.k), k.k)) from k where contains(m.l, k.k)), t) end technique from m) group by 1""")
+def f38b(spark, d):
+    """Exact name or short form, else the longest name inside the value, else the value itself; over distinct values."""
+    s = table(spark, d, "core_ml_techniques_all").groupBy("technique").agg(F.count("*").alias("n"))
+    named = s.select(O.canonical_technique(F.col("technique"), table(spark, d, "canonical_terms").where("kind = 'technique'")).alias("technique"), "n")
+    return named.groupBy("technique").agg(F.sum("n").alias("n"))
+
+
 @BOOK.query("f40_list_split", "with s as (select row_id, list_filter(list_transform(string_split(translate(authors,';|',',,'),','), lambda x: trim(x)), lambda x: x<>'') l from metadata where authors is not null) select row_id, len(l)::int n_authors, l[1] first_author from s")
 def f40(spark, d):
     l = T.split_list(F.col("authors"))

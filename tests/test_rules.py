@@ -88,3 +88,10 @@ def test_average_ranks(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 5.0), ("a", None), ("b", 2.0)], "k string, v double")
     got = sorted((r["k"], r["v"] or -1, r["r"]) for r in average_ranks(df, ["k"], "v", "r").collect())
     assert got == [("a", -1, None), ("a", 1.0, 1.5), ("a", 1.0, 1.5), ("a", 5.0, 3.0), ("b", 2.0, 1.0)]
+
+
+def test_techniques_are_found_inside_values(spark):
+    terms = spark.createDataFrame([("Neural Network", None), ("Convolutional Neural Network", "CNN"), ("Ridge Regression", None)], "canonical_name string, short_form string")
+    given = ["Convolutional Neural Network (CNN)", "ridge regression (main model)", "neural network;", "cnn", "Delphi panel", "cnnx", " ", None]
+    want = ["Convolutional Neural Network", "Ridge Regression", "Neural Network", "Convolutional Neural Network", "Delphi panel", "cnnx", "Not Reported", "Not Reported"]
+    assert values(spark, given, lambda c: O.canonical_technique(c, terms)) == want
