@@ -106,6 +106,35 @@ def before_references(c: Column, most: int = 400_000) -> Column:
     return F.left(F.element_at(F.split(c, SECTIONS[-1][1], 2), 1), F.lit(most))
 
 
+#: fixed values: the sections of a payload, in its order
+INFORMATIVE = tuple(n for n, _ in SECTIONS if n != "references")
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def payload(c: Column, most: int = 400_000, least: int = 3) -> Column:
+    """struct<smart, text>: the informative sections joined by blank lines, without enough heads the text before the references; stripped, at most so many characters."""
+
+    def of(starts: Column) -> Column:
+        names = F.transform(starts, lambda x: x["name"])
+        begins = F.transform(starts, lambda x: x["pos"])
+        ends = F.concat(F.slice(begins, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.length(c)))
+        parts = F.transform(F.arrays_zip(names.alias("name"), begins.alias("at"), ends.alias("end")), lambda x: F.struct(x["name"].alias("name"), stripped(F.substring(c, x["at"] + 1, x["end"] - x["at"])).alias("text")))
+        return F.transform(F.array(parts), lambda p: F.array_join(F.filter(F.concat(*[F.transform(F.filter(p, _named(n)), lambda x: x["text"]) for n in INFORMATIVE]), lambda x: x.isNotNull()), "\n\n"))[0]
+
+    def whole(starts: Column) -> Column:
+        smart = F.size(starts) >= least
+        return F.struct(smart.alias("smart"), F.left(F.when(smart, of(starts)).otherwise(stripped(F.element_at(F.split(c, SECTIONS[-1][1], 2), 1))), F.lit(most)).alias("text"))
+
+    return F.when(c.isNotNull(), F.transform(F.array(section_starts(c)), whole)[0])  # the heads are looked for once
+
+
+def _named(n: str):
+    return lambda x: x["name"] == n
+
+
 def strip_control(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 

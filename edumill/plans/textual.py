@@ -175,6 +175,18 @@ def f04(spark, d):
     return p.select("file_id", F.length(T.before_references(F.col("raw_text"))).cast("long").alias("payload_chars"), T.token_estimate(F.col("raw_text")).alias("tokens"))
 
 
+_SECTION = "case when regexp_matches(raw_text,'{p}') then {{'pos':{at},'name':'{n}'}} end"
+_PARTS = "||".join(f"list_transform(list_filter(b, lambda x: x['name']='{n}'), lambda x: x['body'])" for n in T.INFORMATIVE)
+
+
+@BOOK.query("f04_section_payload", "with s as (select file_id, raw_text, list_sort(list_filter([" + ",".join(_SECTION.format(p=p, at=_at(p), n=n) for n, p in T.SECTIONS) + rf"""], lambda x: x is not null)) l from processed_pdf where raw_text is not null),
+e as (select file_id, raw_text, len(l)>=3 smart, list_transform(range(1,len(l)+1), lambda i: {{'name': l[i]['name'], 'body': regexp_replace(substring(raw_text, l[i]['pos']+1, coalesce(l[i+1]['pos'], length(raw_text))-l[i]['pos']), '^\s+|\s+$', '', 'g')}}) b from s),
+p as (select file_id, smart, left(case when smart then array_to_string({_PARTS}, chr(10)||chr(10)) else regexp_replace(string_split_regex(raw_text,'{_REFS}')[1], '^\s+|\s+$', '', 'g') end, 400000) t from e) select file_id, smart, length(t) payload_chars, md5(t) payload_md5 from p""")
+def f04b(spark, d):
+    p = table(spark, d, "processed_pdf").where("raw_text is not null").select("file_id", T.payload(F.col("raw_text")).alias("p"))
+    return p.select("file_id", "p.smart", F.length("p.text").cast("long").alias("payload_chars"), F.md5("p.text").alias("payload_md5"))
+
+
 @BOOK.query("f05_cost", "select corpus, round(sum((prompt_tokens*2.5+completion_tokens*10.0)/1e6),6) cost_usd, round(avg(extraction_cost_usd),6) stated_avg from metadata group by corpus")
 def f05(spark, d):
     return table(spark, d, "metadata").groupBy("corpus").agg(r6(F.sum(T.cost(F.col("prompt_tokens"), F.col("completion_tokens")))).alias("cost_usd"), r6(F.avg("extraction_cost_usd")).alias("stated_avg"))

@@ -95,3 +95,9 @@ def test_techniques_are_found_inside_values(spark):
     given = ["Convolutional Neural Network (CNN)", "ridge regression (main model)", "neural network;", "cnn", "Delphi panel", "cnnx", " ", None]
     want = ["Convolutional Neural Network", "Ridge Regression", "Neural Network", "Convolutional Neural Network", "Delphi panel", "cnnx", "Not Reported", "Not Reported"]
     assert values(spark, given, lambda c: O.canonical_technique(c, terms)) == want
+
+
+def test_payload_joins_the_informative_sections(spark):
+    text = "Title page\nAbstract\nx\nResults\nr\n\nMethods\nm\nAbstract\nagain\nReferences\nq"
+    got = values(spark, [text, "Title\nMethods\nm\nReferences\nq", " plain ", None], T.payload)
+    assert [g and tuple(g) for g in got] == [(True, "Abstract\nx\n\nMethods\nm\nAbstract\nagain\n\nResults\nr"), (False, "Title\nMethods\nm"), (False, "plain"), None]
