@@ -180,6 +180,98 @@ def model_metrics(weights: list[float] | None, n_scores: int, drop: tuple[int, .
     return fit
 
 
+#: fixed values: weights of the literature's tiers
+TIER_WEIGHTS = {"A": 1.0, "B": 0.5, "C": 0.25}
+#: fixed values: training rows that a programme's folds need where these are not ten
+LEAST_TRAIN = {"ICCS": 5}
+HIERARCHY = "model string, n_train int, n_test int, n_features int, alpha double, rmse double, mae double, r2 double, spearman double, note string"
+
+
+def complete(x: np.ndarray, y: np.ndarray, cols: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows without gaps in the given columns."""
+    ok = ~np.isnan(x[:, cols]).any(1)
+    return x[ok][:, cols], y[ok]
+
+
+def tier_fit(xt: np.ndarray, yt: np.ndarray, x: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Predictions, coefficients and penalty of a ridge on standardised features, each multiplied by its weight."""
+    sd = xt.std(0)
+    w = (np.ones(xt.shape[1]) if weights is None else weights) / np.where(sd == 0, 1.0, sd)
+    zt, z = (xt - xt.mean(0)) * w, (x - xt.mean(0)) * w
+    alpha = choose_alpha(zt, yt)
+    coef, intercept = ridge(zt, yt, alpha)
+    return z @ coef + intercept, coef, alpha
+
+
+def hierarchy_models(tiers: list[str], n_own: int) -> tuple[tuple[str, list[int], bool], ...]:
+    """(name, columns, weighed by tier): the lagged target, the programme's own features, these weighed, and all weighed."""
+    own, every = list(range(n_own)), list(range(len(tiers)))
+    return ("M0A", [0], False), ("M0B", own, False), ("M1A", own, True), ("M1B", every, True)
+
+
+def hierarchy(tiers: list[str], n_own: int, least_train: int = 10, least_test: int = 3, least_by_program: dict[str, int] | None = None) -> Callable:
+    """Metrics of M2, M0A, M0B, M1A and M1B over rows without gaps; a diagnostic row for each fold or model that is too small.
+
+    The first n_own features are the programme's own, the first of them the lagged target; the others come from elsewhere.
+    """
+    nan = float("nan")
+
+    def fit(train: pd.DataFrame, test: pd.DataFrame) -> list[tuple]:
+        least = least_train
+        if least_by_program and len(test):
+            least = least_by_program.get(test["program"].iloc[0], least_train)
+
+        def note(name: str, n_train: int, n_test: int, n_features: int) -> tuple:
+            why = f"n_train={n_train} < {least}" if n_train < least else f"n_test={n_test} < {least_test}"
+            return name, n_train, n_test, n_features, nan, nan, nan, nan, nan, why
+
+        if len(train) < least or len(test) < least_test:
+            return [note("diagnostic", len(train), len(test), 0)]
+        (xt, yt), (x, y) = _xy(train), _xy(test)
+        x0, y0 = complete(x, y, [0])
+        out = [("M2", len(train), len(y0), 1, nan, *scores_of(y0, x0[:, 0]).values(), None) if len(y0) >= least_test else note("M2", len(train), len(y0), 1)]
+        for name, cols, weighed in hierarchy_models(tiers, n_own):
+            used = [k for k in cols if not np.isnan(xt[:, k]).all()]
+            (at, bt), (a, b) = complete(xt, yt, used), complete(x, y, used)
+            if not used or len(bt) < least or len(b) < least_test:
+                out.append(note(name, len(bt) if used else 0, len(b), len(used)))
+                continue
+            p, _, alpha = tier_fit(at, bt, a, np.array([TIER_WEIGHTS[tiers[k]] for k in used]) if weighed else None)
+            out.append((name, len(bt), len(b), len(used), alpha, *scores_of(b, p).values(), None))
+        return out
+
+    return fit
+
+
+AUDIT = "model string, feature string, tier string, weight double, coefficient double, effective double, effectively_zero boolean, n_tier_a int, n_tier_b int, n_tier_c int, n_below_1 int, n_train int, n_test int, alpha double, rmse double, delta_rmse double"
+
+
+def tier_audit(names: list[str], tiers: list[str], n_own: int, least_train: int = 10, least_test: int = 3) -> Callable:
+    """Coefficients of M0B and M1A by feature, with the tiers among the features and how much M1A's RMSE lies above M0B's."""
+
+    def fit(train: pd.DataFrame, test: pd.DataFrame) -> list[tuple]:
+        if len(train) < least_train or len(test) < least_test:
+            return []
+        (xt, yt), (x, y) = _xy(train), _xy(test)
+        used = [k for k in range(n_own) if not np.isnan(xt[:, k]).all()]
+        (at, bt), (a, b) = complete(xt, yt, used), complete(x, y, used)
+        if not used or len(bt) < least_train or len(b) < least_test:
+            return []
+        w = np.array([TIER_WEIGHTS[tiers[k]] for k in used])
+        count = [sum(tiers[k] == t for k in used) for t in "ABC"]
+        fits = {"M0B": tier_fit(at, bt, a, None), "M1A": tier_fit(at, bt, a, w)}
+        rmse = {n: float(np.sqrt(((b - f[0]) ** 2).mean())) for n, f in fits.items()}
+        out = []
+        for model, (_, coef, alpha) in fits.items():
+            v = w if model == "M1A" else np.ones(len(used))
+            below = int((v < 1).sum())
+            for k, c, u in zip(used, coef, v, strict=True):
+                out.append((model, names[k], tiers[k], float(u), float(c), float(c * u), bool(model == "M1A" and abs(c * u) < 1e-6), *count, below, len(bt), len(b), alpha, rmse[model], rmse["M1A"] - rmse["M0B"]))
+        return out
+
+    return fit
+
+
 def attributions(names: list[str], weights: list[float] | None = None) -> Callable:
     """Mean absolute linear attribution, coefficient and share of every feature of the full ridge model."""
 

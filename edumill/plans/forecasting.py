@@ -12,6 +12,8 @@ from .relational import SCORES, covariates, scores
 BOOK = Book()
 FEATURES = ["score", "n", "lag_discount", "lag_tax"]
 WEIGHTS = [1.0, 0.5, 0.25, 0.25]
+TIERS = ["A", "B", "C", "C"]
+OWN = 2  # the lagged score and count are the programme's own; the lagged covariates come from another source
 
 
 def wide(spark, d):
@@ -74,6 +76,19 @@ def m03(spark, d):
     return M.by_fold(M.fold_rows(pairs(spark, d)), M.model_metrics(WEIGHTS, 2), M.METRICS)
 
 
+@BOOK.query("m11_tier_hierarchy")
+def m11(spark, d):
+    """Persistence and four ridge models of every fold with two cycles before it, and why a fold or model has none."""
+    # a pair has a cycle before it, so one earlier cycle of pairs is two of the panel
+    return M.by_fold(M.fold_rows(pairs(spark, d), 1), M.hierarchy(TIERS, OWN, least_by_program=M.LEAST_TRAIN), M.HIERARCHY)
+
+
+@BOOK.query("m15_tier_audit")
+def m15(spark, d):
+    """Coefficients of M0B and M1A, tiers among the features and the change of RMSE by the tier weights."""
+    return M.by_fold(M.fold_rows(pairs(spark, d), 1), M.tier_audit(FEATURES, TIERS, OWN), M.AUDIT)
+
+
 @BOOK.query("m08_attributions")
 def m08(spark, d):
     return M.by_fold(M.fold_rows(pairs(spark, d)), M.attributions(FEATURES, WEIGHTS), M.ATTRIBUTIONS)

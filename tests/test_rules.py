@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,35 @@ def test_payload_joins_the_informative_sections(spark):
     text = "Title page\nAbstract\nx\nResults\nr\n\nMethods\nm\nAbstract\nagain\nReferences\nq"
     got = values(spark, [text, "Title\nMethods\nm\nReferences\nq", " plain ", None], T.payload)
     assert [g and tuple(g) for g in got] == [(True, "Abstract\nx\n\nMethods\nm\nAbstract\nagain\n\nResults\nr"), (False, "Title\nMethods\nm"), (False, "plain"), None]
+
+
+def folds(n_train, n_test=4, program="P"):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(n_train + n_test, 4))
+    y = x @ [2.0, 1.0, 0.5, 0.0] + rng.normal(size=len(x))
+    df = pd.DataFrame({"program": program, "x": list(x), "y": y})
+    return df[:n_train].copy(), df[n_train:].copy()
+
+
+def test_hierarchy_has_five_models_and_says_why_a_fold_has_none():
+    fit = M.hierarchy(["A", "B", "C", "C"], 2, least_by_program=M.LEAST_TRAIN)
+    train, test = folds(20)
+    got = {r[0]: r for r in fit(train, test)}
+    assert [*got] == ["M2", "M0A", "M0B", "M1A", "M1B"] and [r[3] for r in got.values()] == [1, 1, 2, 2, 4] and all(r[9] is None for r in got.values())
+    x, y = np.array(train["x"].tolist()), train["y"].to_numpy()
+    z = (x[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0) * [1.0, 0.5]
+    b, c = M.ridge(z, y, got["M1A"][4])
+    p = (np.array(test["x"].tolist())[:, :2] - x[:, :2].mean(0)) / x[:, :2].std(0) * [1.0, 0.5] @ b + c
+    assert got["M1A"][5] == pytest.approx(np.sqrt(((test["y"] - p) ** 2).mean()))
+    assert [(r[0], r[9]) for r in fit(*folds(9))] == [("diagnostic", "n_train=9 < 10")]
+    assert len(fit(*folds(9, program="ICCS"))) == 5 and fit(*folds(20, 2))[0][9] == "n_test=2 < 3"
+    train["x"] = [[*v[:2], float("nan"), v[3]] if i < 12 else v for i, v in enumerate(train["x"])]
+    assert {r[0]: (r[1], r[9]) for r in fit(train, test)}["M1B"] == (8, "n_train=8 < 10")  # rows with gaps are left out
+
+
+def test_audit_has_tiers_and_change_of_error():
+    rows = M.tier_audit(list("abcd"), ["A", "B", "C", "C"], 3)(*folds(20))
+    got = [dict(zip([p.split()[0] for p in M.AUDIT.split(", ")], r, strict=True)) for r in rows]
+    assert [(r["model"], r["feature"], r["weight"]) for r in got] == [("M0B", "a", 1), ("M0B", "b", 1), ("M0B", "c", 1), ("M1A", "a", 1), ("M1A", "b", 0.5), ("M1A", "c", 0.25)]
+    assert {(r["n_tier_a"], r["n_tier_b"], r["n_tier_c"]) for r in got} == {(1, 1, 1)} and [r["n_below_1"] for r in got] == [0, 0, 0, 2, 2, 2]
+    assert {r["delta_rmse"] for r in got} == {got[3]["rmse"] - got[0]["rmse"]}
