@@ -326,6 +326,29 @@ def permutation_test(kind: str, rounds: int, seed: int = 42, weights: list[float
 PERMUTED = "kind string, observed double, null_mean double, p_better double, rounds int"
 
 
+def weight_permutation(importance: DataFrame, keys: list[str], rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """Spearman's rho of weight and mean_abs per group against the rhos of permuted weights; null without variance.
+
+    p_left, p_right and p_two are the shares of rounds with a rho at most, at least and in size at least the observed
+    one. Rhos are compared to 12 places, so that equal ones are equal in whatever order they were summed.
+    """
+    types = dict(importance.dtypes)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("feature")
+        w, a = average_ranks(g["weight"].to_numpy(float)), average_ranks(g["mean_abs"].to_numpy(float))
+        out = [np.nan] * 6
+        if len(g) >= 2 and w.std() > 0 and a.std() > 0:
+            rng = np.random.default_rng(seed)
+            rho = lambda v: round(float(np.corrcoef(v, a)[0, 1]), 12)
+            seen, null = rho(w), np.array([rho(rng.permutation(w)) for _ in range(rounds)])
+            out = [seen, null.mean(), null.std(), (null <= seen).mean(), (null >= seen).mean(), (np.abs(null) >= abs(seen)).mean()]
+        return pd.DataFrame([(*key, len(g), *map(float, out), rounds)], columns=[*keys, "n_features", "rho", "null_mean", "null_sd", "p_left", "p_right", "p_two", "rounds"])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n_features int, rho double, null_mean double, null_sd double, p_left double, p_right double, p_two double, rounds int"
+    return importance.groupBy(*keys).applyInPandas(run, schema)
+
+
 def rank_alignment(importance: DataFrame, keys: list[str], a: str, b: str, boots: int = 500, seed: int = 42) -> DataFrame:
     """Spearman's rho of two columns per group with a bootstrap interval; null under three rows. Groups are features."""
     types = dict(importance.dtypes)

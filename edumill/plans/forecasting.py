@@ -146,8 +146,13 @@ def m17(spark, d):
 
 @BOOK.query("m18_permutation")
 def m18(spark, d):
+    """rho: 1000 permutations of the weights against the mean importance, the lagged target left out; the other kinds compare errors of folds."""
     f = M.fold_rows(pairs(spark, d))
-    return M.by_fold(f, M.permutation_test("labels", 1000), M.PERMUTED).unionByName(M.by_fold(f, M.permutation_test("weights", 50, weights=WEIGHTS), M.PERMUTED))
+    w = F.create_map(*[x for k, v in zip(FEATURES, WEIGHTS, strict=True) for x in (F.lit(k), F.lit(v))])
+    mean = m08(spark, d).where(F.col("feature") != FEATURES[0]).groupBy("program", "feature").agg(F.avg("mean_abs").alias("mean_abs")).withColumn("weight", w[F.col("feature")])
+    rho = M.weight_permutation(mean, ["program"]).withColumnRenamed("rho", "observed").withColumn("kind", F.lit("rho"))
+    errors = M.by_fold(f, M.permutation_test("labels", 1000), M.PERMUTED).unionByName(M.by_fold(f, M.permutation_test("weights", 50, weights=WEIGHTS), M.PERMUTED))
+    return errors.unionByName(rho, allowMissingColumns=True)
 
 
 @BOOK.query("m18_subgroups")

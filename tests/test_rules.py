@@ -134,3 +134,19 @@ def test_audit_has_tiers_and_change_of_error():
     assert [(r["model"], r["feature"], r["weight"]) for r in got] == [("M0B", "a", 1), ("M0B", "b", 1), ("M0B", "c", 1), ("M1A", "a", 1), ("M1A", "b", 0.5), ("M1A", "c", 0.25)]
     assert {(r["n_tier_a"], r["n_tier_b"], r["n_tier_c"]) for r in got} == {(1, 1, 1)} and [r["n_below_1"] for r in got] == [0, 0, 0, 2, 2, 2]
     assert {r["delta_rmse"] for r in got} == {got[3]["rmse"] - got[0]["rmse"]}
+
+
+def test_weights_are_permuted_against_importance(spark):
+    data = [("P", f, m, w) for f, m, w in (("a", 4.0, 1.0), ("b", 3.0, 0.7), ("c", 2.0, 0.5), ("d", 1.0, 0.2))] + [("Q", f, m, 0.5) for f, m in (("a", 1.0), ("b", 2.0))]
+    got = {r["program"]: r for r in M.weight_permutation(spark.createDataFrame(data, "program string, feature string, mean_abs double, weight double"), ["program"]).collect()}
+    r = got["P"]
+    assert r["rho"] == 1 and r["p_left"] == 1 and r["rounds"] == 1000 and r["n_features"] == 4
+    assert abs(r["p_right"] - 1 / 24) < 0.02 and abs(r["p_two"] - 2 / 24) < 0.03 and abs(r["null_mean"]) < 0.06  # of 24 orders one has rho 1 and one -1
+    assert got["Q"]["rho"] is None or math.isnan(got["Q"]["rho"])
+
+
+def test_permutation_query_has_the_rho(spark, sf):
+    from edumill.plans import forecasting
+
+    r = forecasting.m18(spark, sf).where("kind = 'rho'").collect()
+    assert r and all(x["rounds"] == 1000 and x["n_features"] == 3 and 0 < x["p_two"] <= 1 for x in r)
