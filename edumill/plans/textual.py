@@ -141,6 +141,20 @@ def f36(spark, d):
     return t.select("doc_id", F.array_join(O.cycles(F.col("text")), "|").alias("cycles"), O.direction(F.col("text")).alias("direction"))
 
 
+def _sql_first(rules, default) -> str:
+    return "case " + " ".join("when " + " or ".join("contains(low,'" + w.replace("'", "''") + "')" for w in words) + f" then '{label}'" for label, words in rules) + f" else '{default}' end"
+
+
+_NAMED = "concat_ws('|'," + ",".join("case when " + " or ".join(f"contains(low,'{w}')" for w in words) + f" then '{n}' end" for n, words in O.PROGRAM_WORDS) + ")"
+
+
+@BOOK.query("f36_all_signals", f"select doc_id, {_NAMED} programs, {_sql_first(O.CONSTRUCT_WORDS, 'UNMATCHED')} construct, {_sql_first(O.OUTCOME_WORDS, 'unspecified')} outcome, {_sql_first(O.EFFECT_WORDS, 'associative')} effect_type, {_sql_first(O.LEVEL_WORDS, 'student')} analysis_level, cycles, direction from (select doc_id, lower(text) low from documents where text is not null) join ({BOOK.sql['f36_evidence_signals']}) using (doc_id)")
+def f36b(spark, d):
+    """All seven signals of a text."""
+    t = table(spark, d, "documents").where("text is not null").withColumn("low", F.lower("text"))
+    return t.select("doc_id", F.array_join(O.cycles(F.col("text")), "|").alias("cycles"), O.direction(F.col("text")).alias("direction"), *[c.alias(n) for n, c in O.signals(F.col("low")).items()])
+
+
 @BOOK.query("f01_doi_bare", "select row_id, regexp_replace(trim(doi), '(?i)^(https?://(dx\\.)?doi\\.org/|doi:?\\s*)', '') doi from metadata where doi is not null")
 def f01(spark, d):
     return table(spark, d, "metadata").where("doi is not null").select("row_id", T.doi_bare(F.col("doi")).alias("doi"))

@@ -150,3 +150,10 @@ def test_permutation_query_has_the_rho(spark, sf):
 
     r = forecasting.m18(spark, sf).where("kind = 'rho'").collect()
     assert r and all(x["rounds"] == 1000 and x["n_features"] == 3 and 0 < x["p_two"] <= 1 for x in r)
+
+
+def test_all_signals_of_a_text(spark):
+    text = "TIMSS Grade 4: books at home predict reading; national sample"
+    names = ("programs", "construct", "outcome", "effect_type", "analysis_level")
+    got = {n: values(spark, [text, "nothing"], lambda c, n=n: O.signals(F.lower(c))[n]) for n in names}
+    assert got == {"programs": ["TIMSS_G4|TIMSS", ""], "construct": ["HOME_RESOURCES", "UNMATCHED"], "outcome": ["reading_achievement", "unspecified"], "effect_type": ["predictive", "associative"], "analysis_level": ["country", "student"]}
