@@ -149,14 +149,21 @@ def is_legacy(finding: Column) -> Column:
 def countries_in(df: DataFrame, key: str, text: str, names: DataFrame, most: int = 80) -> DataFrame:
     """(key, codes): countries whose name of four letters or more stands in a text as words, or whose code does.
 
-    names (name, code) is a fixed dimension; the words of a text are joined with it, longer names taken from word pairs.
+    names (name, code) is a fixed dimension. Runs of words up to its longest name are joined with it, signs between words
+    do not count; of more than so many countries those of the longest names are kept, codes last.
     """
+    dim = names.where(F.length("name") >= 4).select(F.concat_ws(" ", F.regexp_extract_all(F.lower("name"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("term"), "code", F.length("name").alias("long"))
+    longest = dim.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    dim = dim.unionByName(names.select(F.concat(F.lit("#"), F.upper("code")).alias("term"), "code", F.lit(0).alias("long"))).distinct()
     found = df.where(F.col(text).isNotNull()).select(key, F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1)).alias("w"), F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{3})\b"), F.lit(1)), lambda x: F.concat(F.lit("#"), x)).alias("c"))
-    n = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda x, y: F.concat_ws(" ", x, y))
-    terms = found.select(key, F.explode(F.array_distinct(F.concat("w", pairs, "c"))).alias("term"))
-    dim = names.select(F.lower("name").alias("term"), "code").where(F.length("term") >= 4).unionByName(names.select(F.concat(F.lit("#"), F.upper("code")).alias("term"), "code")).distinct()
-    return terms.join(F.broadcast(dim), "term").groupBy(key).agg(F.slice(F.sort_array(F.collect_set("code")), 1, most).alias("codes"))
+    runs = [F.col("w")]
+    for k in range(2, longest + 1):
+        n = F.greatest(F.size("w") - (k - 1), F.lit(0))
+        runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), n), F.slice("w", F.lit(k), n), lambda x, y: F.concat_ws(" ", x, y)))
+    terms = found.select(key, F.explode(F.array_distinct(F.concat(*runs, "c"))).alias("term"))
+    hits = terms.join(F.broadcast(dim), "term").groupBy(key, "code").agg(F.max("long").alias("long"))
+    kept = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("long")).alias("l"), "code"))), 1, most)
+    return hits.groupBy(key).agg(F.sort_array(F.transform(kept, lambda x: x["code"])).alias("codes"))
 
 
 #: fixed values: signs of how plausible values and missing data were handled, in the order of the tests

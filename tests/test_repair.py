@@ -44,3 +44,10 @@ def test_findings(spark):
     got = rows(spark, data, schema, X.normalised_findings(F.col("f")))
     assert len(got[0]) == 1 and got[0][0]["top_predictors"] == ["a", "b", "c", "d", "e"] and got[0][0]["performance_metrics"] == "Not reported" and got[1] == [] and got[2] is None
     assert got[0][0]["standardized_conclusion"].startswith("Using ILSA dataset not specified in manuscript data, the study leveraged a, b, c to predict reading") and "This indicates" in got[0][0]["standardized_conclusion"]
+
+
+def test_long_country_names(spark):
+    df = spark.createDataFrame([(1, "in the United Arab Emirates, and Hong Kong (SAR)"), (2, "Republic of Korea"), (3, "united arab")], "i int, t string")
+    names = spark.createDataFrame([("United Arab Emirates", "ARE"), ("Hong Kong (SAR)", "HKG"), ("Republic of Korea", "KOR")], "name string, code string")
+    assert {r["i"]: r["codes"] for r in X.countries_in(df, "i", "t", names).collect()} == {1: ["ARE", "HKG"], 2: ["KOR"]}
+    assert {r["i"]: r["codes"] for r in X.countries_in(df, "i", "t", names, 1).collect()}[1] == ["ARE"]
