@@ -7,7 +7,9 @@ the index vector of every element, and the index vectors give parent-child links
 happens inside one pass over the partition; no shuffle is needed and no record meets another.
 
 Varying shapes are brought into the declared schema first: a single object or scalar stands for a list of one, a
-delimited string for a list of names, an object keyed by code for a list of (code, value) objects.
+delimited string for a list of names, an object keyed by code for a list of (code, value) objects. Groups of countries
+may nest to any depth and wrappers around a record may be any number: the schema of the country groups is read from the
+record itself, so a path that a record does not have gets no column.
 
 Defined results: a null, blank, damaged or non-object payload yields no row; a repeated record yields its rows again
 under its own id; a record without the field yields no child row; entries that are null, blank or marked as not
@@ -21,6 +23,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,11 +51,11 @@ def read_payload(text: str | None) -> dict | None:
     if text is None:
         return None
     node: object = text
-    for _ in range(8):
+    while True:  # every step leaves a smaller value
         if isinstance(node, str):
             try:
                 node = json.loads(node.lstrip("\ufeff").strip())
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
         elif isinstance(node, list):
             node = next((x for x in node if isinstance(x, (dict, str))), None)
@@ -65,7 +68,6 @@ def read_payload(text: str | None) -> dict | None:
             node = inner[0]
         else:
             return None
-    return None
 
 
 def shred(value: object, node: Node, path: str = "", rep: int = 0, depth_rep: int = 0, depth_def: int = 0, out: dict | None = None) -> dict[str, list[tuple[int, int, object]]]:
@@ -182,29 +184,67 @@ def _texts(value: object) -> object:
     return value if isinstance(value, list) else [value]
 
 
-def _country_levels(depth: int) -> tuple[Node, ...]:
-    leaves: tuple[Node, ...] = (Node("country_code"), Node("n_students"))
-    if depth == 0:
-        return leaves
-    inner = Node("countries", True, _country_levels(depth - 1), _countries)
-    return (*leaves, inner, Node("subgroups", True, _country_levels(depth - 1)))
-
-
-#: Groups of countries may nest this deep; deeper ones are still read, as the levels repeat.
-GROUP_DEPTH = 3
-ARTICLE = Node(
-    "record",
-    children=(
-        Node("metadata", children=(Node("authors", True, (Node("name"),), _names),)),
-        Node(
-            "data",
-            children=(
-                Node("survey_design", children=(Node("weight_fields_interpretation", True, (), _texts),)),
-                Node("sample_details", children=(Node("countries", True, _country_levels(GROUP_DEPTH), _countries),)),
+#: The nesting of country groups found in a record: (name of the inner list, its own shape) pairs.
+Shape = tuple[tuple[str, "Shape"], ...]
+_INNER = {"countries": _countries, "subgroups": None}
+
+
+def group_shape(items: object) -> Shape:
+    """How deep and under which names the country groups of a list nest; level by level, so no depth is too deep."""
+    paths: set[tuple[str, ...]] = set()
+    level: list[tuple[tuple[str, ...], object]] = [((), items)]
+    while level:
+        deeper = []
+        for path, value in level:
+            for item in value if isinstance(value, list) else ():
+                for name, adapt in _INNER.items() if isinstance(item, dict) else ():
+                    inner = _decoded(item.get(name))
+                    if available(inner):
+                        inner = adapt(inner) if adapt else inner if isinstance(inner, list) else [inner]
+                        paths.add((*path, name))
+                        deeper.append(((*path, name), inner))
+        level = deeper
+    tree: dict = {}
+    for path in sorted(paths):
+        at = tree
+        for name in path:
+            at = at.setdefault(name, {})
+    return _frozen(tree)
+
+
+def _frozen(tree: dict) -> Shape:
+    return tuple((name, _frozen(inner)) for name, inner in sorted(tree.items()))
+
+
+def _country_nodes(shape: Shape) -> tuple[Node, ...]:
+    leaves = (Node("country_code"), Node("n_students"))
+    return leaves + tuple(Node(name, True, _country_nodes(inner), _INNER[name]) for name, inner in shape)
+
+
+@lru_cache(maxsize=4096)
+def article(shape: Shape = ()) -> Node:
+    """The schema of an article record whose country groups have this shape."""
+    return Node(
+        "record",
+        children=(
+            Node("metadata", children=(Node("authors", True, (Node("name"),), _names),)),
+            Node(
+                "data",
+                children=(
+                    Node("survey_design", children=(Node("weight_fields_interpretation", True, (), _texts),)),
+                    Node("sample_details", children=(Node("countries", True, _country_nodes(shape), _countries),)),
+                ),
             ),
         ),
-    ),
-)
+    )
+
+
+def article_of(record: dict) -> Node:
+    """The schema of one record: its country groups as deep as they go."""
+    data = _decoded(record.get("data"))
+    sample = _decoded(data.get("sample_details")) if isinstance(data, dict) else None
+    listed = _decoded(sample.get("countries")) if isinstance(sample, dict) else None
+    return article(group_shape(_countries(listed)) if available(listed) else ())
 
 
 def leaf_paths(node: Node, path: str = "") -> list[str]:
@@ -212,6 +252,7 @@ def leaf_paths(node: Node, path: str = "") -> list[str]:
     return [where] if not node.children else [x for c in node.children for x in leaf_paths(c, where)]
 
 
+@lru_cache(maxsize=4096)
 def _column_groups(root: Node) -> dict[str, list[str]]:
     """Repeated ancestor -> its leaf paths."""
     groups: dict[str, list[str]] = {}
@@ -220,7 +261,6 @@ def _column_groups(root: Node) -> dict[str, list[str]]:
     return groups
 
 
-_GROUPS = _column_groups(ARTICLE)
 _PREFIX = {"authors": "record.metadata.authors", "countries": "record.data.sample_details.countries", "weight_fields_interpretation": "record.data.survey_design.weight_fields_interpretation"}
 
 
@@ -229,13 +269,14 @@ def article_rows(payload: str | None) -> list[tuple[str, int, str]]:
     record = read_payload(payload)
     if record is None:
         return []
-    columns = shred(record, ARTICLE)
+    root = article_of(record)
+    columns = shred(record, root)
     out: list[tuple[str, int, str]] = []
     for field_name, prefix in _PREFIX.items():
         found: list[tuple[tuple[int, ...], dict[str, object]]] = []
-        for ancestor, leaves in _GROUPS.items():
+        for ancestor, leaves in _column_groups(root).items():
             if ancestor == prefix or ancestor.startswith(prefix + "."):
-                found += assemble(columns, ARTICLE, leaves)
+                found += assemble(columns, root, leaves)
         found.sort(key=lambda x: x[0])
         ordinal = 0
         for _, row in found:
@@ -275,7 +316,7 @@ def article_levels(df: DataFrame, key: str = "record_id", payload: str = "payloa
                 record = read_payload(text)
                 if record is None:
                     continue
-                for leaf, entries in shred(record, ARTICLE).items():
+                for leaf, entries in shred(record, article_of(record)).items():
                     rows += [(k, leaf, i, r, d, None if v is None else v if isinstance(v, str) else json.dumps(v)) for i, (r, d, v) in enumerate(entries, 1)]
             yield pd.DataFrame(rows, columns=["record_id", "leaf_path", "entry_no", "rep_level", "def_level", "leaf_value"]).astype({"record_id": "int64", "entry_no": "int32", "rep_level": "int32", "def_level": "int32"})
 

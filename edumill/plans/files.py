@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import records as R
 from ..sources import readers, sinks
-from ..session import shared_dir, table
+from ..session import staged_path, table
 from ..streaming import monitor
 from .base import Book, r6
 
@@ -16,7 +15,7 @@ BOOK = Book()
 
 
 def _place(spark, label):
-    return f"{shared_dir(spark)}/edumill/{label}-{uuid.uuid4().hex}"
+    return staged_path(spark, label)
 
 
 @BOOK.query("s01_json_files", "select case when payload is null then 'null' when not json_valid(payload) then 'bad' else 'good' end kind, count(*) n from article_records group by 1")
@@ -134,9 +133,9 @@ def _events_stream(spark, d):
 
 @BOOK.query("z04_stream_counts", "select date_trunc('day', ts) window_start, event_type, count(*) n from events group by 1,2")
 def z04(spark, d):
-    """The window counts computed by a stream over the same file, in complete mode, duplicates dropped within the watermark."""
+    """The window counts computed by a stream over the same file, in complete mode; z06 drops repeats."""
     counts = monitor.window_counts(_events_stream(spark, d))
-    out = monitor.run_once(spark, counts, f"counts_{uuid.uuid4().hex[:8]}", "complete", _place(spark, "stream"))
+    out = monitor.run_once(spark, counts, "complete", _place(spark, "counts"), _place(spark, "stream"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
@@ -144,7 +143,7 @@ def z04(spark, d):
 def z05(spark, d):
     """The rolling rate kept as state by a stream over the same file."""
     rates = monitor.rate_stream(_events_stream(spark, d).select("ts", "event_type"))
-    out = monitor.run_once(spark, rates, f"rates_{uuid.uuid4().hex[:8]}", "update", _place(spark, "stream"))
+    out = monitor.run_once(spark, rates, "update", _place(spark, "rates"), _place(spark, "stream"), ["event_type"])
     return out.select("event_type", "n_last", r6("per_hour").alias("per_hour"))
 
 
@@ -152,4 +151,4 @@ def z05(spark, d):
 def z06(spark, d):
     """Distinct events of a stream, repeats within the watermark dropped."""
     once = _events_stream(spark, d).withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id")
-    return monitor.run_once(spark, once, f"once_{uuid.uuid4().hex[:8]}", "append", _place(spark, "stream")).agg(F.count("*").alias("n"))
+    return monitor.run_once(spark, once, "append", _place(spark, "once"), _place(spark, "stream")).agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 LAST = 20
 
@@ -48,11 +49,34 @@ def rate_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_type").applyInPandasWithState(rate_states, "event_type string, n_last long, per_hour double", "times array<double>", "update", "NoTimeout")
 
 
-def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and give its result table."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(spark: SparkSession, stream: DataFrame, mode: str, path: str, checkpoint: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over what is there and give its result, written batch by batch as Parquet under path.
+
+    Every batch goes to its own folder, so a batch that is run again after a failure replaces its own rows. In append
+    mode all batches are the result, in complete mode the last one, in update mode the last row of each key.
+    """
+    fields = stream.schema
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={no}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    files = path.rstrip("/")
+    if not _exists(spark, files):
+        return spark.createDataFrame([], fields)
+    rows = spark.read.schema(StructType([*fields.fields, StructField("batch", LongType())])).option("basePath", files).parquet(files)
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    elif mode == "update":
+        rest = [f.name for f in fields if f.name not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+    return rows.select(*fields.names)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def progress(lines: DataFrame) -> DataFrame:
