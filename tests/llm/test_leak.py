@@ -60,7 +60,6 @@ def test_filled_anew_is_a_template_leak_only():
     text = "".join("7" if c.isdigit() else c for c in text)
     kinds = {i: k for i, k, _ in table.leaks(text)}
     assert kinds.get(0) in ("template", "literal") and table.leaks(pool[0][1])[0][:2] in ((0, "literal"),)
-    assert L.one_to_one([(1, 2), (3, 4), (1, 2)]) and not L.one_to_one([(1, 2), (1, 3)]) and not L.one_to_one([(1, 2), (3, 2)])
 
 
 def test_edge_cases(spark):
@@ -72,9 +71,31 @@ def test_edge_cases(spark):
     assert L.leaks(docs.limit(0), ev).count() == 0 and L.leaks(docs, ev.limit(0)).count() == 0
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
-    pool = items()
-    docs, ev = spark.createDataFrame([(k, t) for k, t in pool], "doc_id long, text string"), spark.createDataFrame(pool, "item_id long, text string")
-    one = {(r[0], r[1]) for r in L.leaks(docs, ev).where("kind = 'literal'").collect()}
+ITEM = "Orvik sells 12 baskets of plums and 30 paper kites to Cobri near the old mill, then Orvik counts 12 coins before Cobri walks 30 miles home."
+
+
+def filled(names, numbers, unit="miles"):
+    a, b = names
+    x, y, z, w = numbers
+    return f"{a} sells {x} baskets of plums and {y} paper kites to {b} near the old mill, then {a} counts {z} coins before {b} walks {w} {unit} home."
+
+
+def test_fresh_names_numbers_and_units():
+    more = [(7, "Near the mill Orvik met Cobri after 40 miles and 9 coins were enough for Orvik, said Cobri quietly to the old man there.")]
+    kinds = lambda doc: {i: k for i, k, _ in L.Templates([(1, ITEM), *more]).leaks(doc)}.get(1)
+    assert kinds(ITEM) == "literal"
+    assert kinds(filled(("Maria", "Peter"), (40, 77, 40, 77))) == "template"  # names that no item has
+    assert kinds("As asked before: " + filled(("Nina", "Paul"), (5, 6, 5, 6), "furlongs").upper()) == "template"
+    assert kinds(filled(("Maria", "Peter"), (40, 77, 41, 77))) is None  # the item's two equal numbers became two
+    assert kinds(filled(("Maria", "Maria"), (40, 77, 40, 77))) is None  # two names became one
+    assert kinds(filled(("Maria", "Peter"), (40, 77, 40, 77)).replace("counts", "hides").replace("kites", "boats")) is None
+
+
+def test_many_items_by_join_give_the_same(spark, monkeypatch):
+    pool = items(40) + [(77, ITEM)]
+    docs = [(k, "Before. " + t + " After.") for k, t in pool] + [(5, filled(("Maria", "Peter"), (40, 77, 40, 77))), (5, "nothing to see here"), (6, None)]
+    docs, ev = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(pool, "item_id long, text string")
+    one = sorted(map(tuple, L.leaks(docs, ev).collect()))
     monkeypatch.setattr(L, "BLOCK", 5)
-    assert {(r[0], r[1]) for r in L.leaks(docs, ev).where("kind = 'literal'").collect()} == one
+    monkeypatch.setattr(L, "FILTER_BITS", 1 << 14)
+    assert sorted(map(tuple, L.leaks(docs, ev).collect())) == one and {r[2] for r in one} == {"literal", "template"}
