@@ -2,16 +2,20 @@
 
 Method: word counts of the whole corpus give the frequent words; skip-gram vectors of the frequent words are learned
 from all texts; a rare word is linked to the frequent words that it becomes by plausible glyph edits (such as rn for m
-or 1 for l), and of several the one whose vector fits the words around it best is taken. Furniture (running heads, page
-numbers) is then removed, divided words are joined and the lines reflowed into paragraphs.
+or 1 for l), and the context decides: of several the one whose vector fits the words around it best is taken, and a
+form made of letters only, which may be a rare word in its own right, is corrected only where the words around it fit
+the frequent word (FIT). A digit or sign inside a word needs no such proof. Furniture (running heads, page numbers) is
+then removed, divided words are joined and the lines reflowed into paragraphs.
 
-The frequent words are those with at least FREQUENT of all word tokens, so there are at most 1 / FREQUENT of them at any
-size of the corpus; with their vectors they are the only thing that is sent to all tasks. Documents are repaired where
-they lie, without a shuffle; only counts are shuffled.
+The frequent words are the VOCABULARY most frequent ones with at least LEAST_COUNT tokens: a number that is the same for
+every size of the corpus; a word is none of them if a single glyph edit makes it one that is MISREAD times as frequent.
+With their vectors they are the only thing that is sent to all tasks. Documents are repaired where they lie, without a
+shuffle; only counts are shuffled. A word's candidates and a line's corrections are worked out once per worker.
 
 Defined results: null and empty texts give no row and no repaired text; a divided word at the very end of a text stays
-as it is; words without a frequent neighbour stay; ties between corrections go to the more frequent word, then to the
-alphabet; equal findings of a line come out once; repeated files each get their rows; texts of any length are read whole.
+as it is; words without a frequent neighbour stay; a form of letters only without words around it that have vectors
+stays; ties between corrections go to the more frequent word, then to the alphabet; equal findings of a line come out
+once; repeated files each get their rows; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +32,17 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-#: Share of all word tokens from which a word is frequent, and the least count in small corpora.
-FREQUENT = 2.4e-5
+#: Most frequent words, the least count of one in small corpora, and how much rarer than a neighbour a misreading is.
+VOCABULARY = 50_000
 LEAST_COUNT = 6
-VECTOR = 24
+MISREAD = 50
+#: Length of the vectors, words on each side from which they are learned, words on each side at a correction, and the
+#: cosine of a word and the mean of the words around it from which they fit (that of a word in its place is lower in
+#: about one place of fifty).
+VECTOR = 16
+WINDOW = 2
 AROUND = 4
+FIT = -0.1
 
 #: fixed values: what a glyph is read as -> what it may be
 GLYPHS = (
@@ -45,6 +55,7 @@ HEADINGS = "abstract|introduction|background|literature review|theory|method|met
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DIVIDED = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)[-­¬‐]\s*$")
+_DIVIDERS = frozenset("-\u00ad¬‐")
 _FIRST = re.compile(r"\s*([^\W_]+(?:['’-][^\W_]+)*)")
 _PAGE = re.compile(r"^[\W_]*(?:page|pg|p|seite|página|sayfa)?\.?[\W_]*\d{1,4}(?:\s*(?:/|of|von|de)\s*\d{1,4})?[\W_]*$", re.I)
 _VOLUME = re.compile(r",?\s*\b(?:v[o0ac][l1i]|volume|no|issue|issn)\b\.?\s*\d+", re.I)
@@ -53,13 +64,20 @@ _REFERENCE = re.compile(r"^\s*[^\W\d_][\w'’-]+, [^\W\d_]\.")
 _END = re.compile(r"[.!?:]['\"”’)]*\s*$")
 
 
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_PAIR = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[-\u00ad¬‐][^\S\n]*\n\s*[^\W_]+(?:['’-][^\W_]+)*")
+_STOP = re.compile(r"[.!?]['\"”’)]*\s+$")
+
+
+@lru_cache(maxsize=20_000)
 def _letters(s: str) -> str:
-    return "".join(c for c in s.lower() if c.isalpha())
+    return _NO_LETTERS.sub("", s.lower())
 
 
 _SAME = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ri", "n"), ("ii", "u"), ("0", "o"), ("1", "i"), ("l", "i"), ("5", "s"), ("9", "g"), ("c", "e"), ("f", "t"), ("b", "h"), ("v", "y"), ("o", "a"))
 
 
+@lru_cache(maxsize=20_000)
 def _glyphs(s: str) -> str:
     """Letters and digits with glyphs that are misread for each other made equal."""
     s = "".join(c for c in s.lower() if c.isalnum())
@@ -113,15 +131,7 @@ def next_text(kinds: list[str], i: int) -> int | None:
 
 def counted_words(text: str) -> Counter:
     """Words of a text in lower case; the two parts of a divided word do not count."""
-    out: Counter = Counter()
-    skip = False
-    for line in text.split("\n"):
-        low = line.lower()
-        cut = _DIVIDED.search(low)
-        ws = _WORD.findall(low[: cut.start()] if cut else low)
-        out.update(ws[1:] if skip and ws else ws)
-        skip = bool(cut) or skip and not ws
-    return out
+    return Counter(_WORD.findall(_PAIR.sub(" ", text.lower())))
 
 
 @lru_cache(maxsize=200_000)
@@ -141,6 +151,16 @@ class Corrector:
 
     def __init__(self, frequent: dict[str, int], vectors: dict[str, np.ndarray]) -> None:
         self.frequent, self.vectors, self.cache = frequent, vectors, {}
+        self.lines: dict[tuple, tuple[tuple[int, int, str], ...]] = {}
+
+    def line(self, line: str, start: int, stop: int, opens: bool) -> tuple[tuple[int, int, str], ...]:
+        """line_fixes, worked out once for a line of both fields of a file."""
+        key = (line, start, stop, opens)
+        if key not in self.lines:
+            if len(self.lines) > 5_000:
+                self.lines.clear()
+            self.lines[key] = line_fixes(line, start, stop, opens, self)
+        return self.lines[key]
 
     def candidates(self, word: str) -> list[str]:
         """Frequent words that a rare word in lower case becomes by one glyph edit, else by two."""
@@ -156,17 +176,23 @@ class Corrector:
             self.cache[word] = found
         return self.cache[word]
 
-    def best(self, cands: list[str], around: list[str]) -> str:
-        if len(cands) == 1:
-            return cands[0]
+    def fits(self, cands: list[str], around: list[str]) -> dict[str, float]:
+        """Cosine of each candidate that has a vector and the mean of the words around it."""
         vs = [self.vectors[w] for w in around if w in self.vectors]
-        mean = np.mean(vs, axis=0) if vs else None
-
-        def fit(w: str) -> tuple[float, int]:
-            v = self.vectors.get(w)
-            return (float(mean @ v) if mean is not None and v is not None else 0.0, self.frequent[w])
-
-        return max(sorted(cands), key=fit)
+        if not vs:
+            return {}
+        mean = np.mean(vs, axis=0)
+        mean = mean / (np.linalg.norm(mean) + 1e-9)
+        return {w: float(mean @ self.vectors[w]) for w in cands if w in self.vectors}
+
+    def best(self, word: str, around: list[str]) -> str | None:
+        """The frequent word that a rare word in lower case stands for among the words around it, or None."""
+        cands = self.candidates(word)
+        if not cands:
+            return None
+        fit = self.fits(cands, around)
+        top = max(sorted(cands), key=lambda w: (fit.get(w, 0.0), self.frequent[w]))
+        return top if not word.isalpha() or fit.get(top, -1.0) >= FIT else None
 
 
 def cased(word: str, right: str, opens: bool) -> str:
@@ -181,30 +207,56 @@ def cased(word: str, right: str, opens: bool) -> str:
     return right
 
 
+def line_fixes(line: str, start: int, stop: int, opens: bool, fix: Corrector) -> tuple[tuple[int, int, str], ...]:
+    """(from, to, right word) of the corrections in line[start:stop]; opens: the first word opens a sentence."""
+    spans = [(m.start() + start, m.end() + start) for m in _WORD.finditer(line[start:stop])]
+    lows = [line[a:b].lower() for a, b in spans]
+    out = []
+    for k, (a, b) in enumerate(spans):
+        if lows[k] in fix.frequent:
+            continue
+        word = line[a:b]
+        first = opens if k == 0 else bool(_STOP.search(line[:a]))
+        if word[:1].isupper() and not first and not any(c.isdigit() for c in word):
+            continue  # a name
+        around = lows[max(0, k - AROUND) : k] + lows[k + 1 : k + 1 + AROUND]
+        right = fix.best(lows[k], around)
+        if right is None and "-" in word:
+            parts = [p if p in fix.frequent else fix.best(p, around) or p for p in lows[k].split("-")]
+            right = "-".join(parts) if "-".join(parts) != lows[k] else None
+        if right is not None and (right := cased(word, right, first)) != word:
+            out.append((a, b, right))
+    return tuple(out)
+
+
+def whole_word(a: str, b: str, around: list[str], fix: Corrector) -> str:
+    """The word whose parts a and b stand on two lines, with a hyphen if it has one of its own."""
+    known = lambda w: fix.frequent.get(w.lower(), 0)
+    joined, apart = a + b, f"{a}-{b}"
+    if known(joined) or known(apart):
+        return joined if known(joined) >= known(apart) else apart
+    if right := fix.best(joined.lower(), around):
+        return cased(joined, right, False)
+    if right := fix.best(apart.lower(), around):
+        return cased(apart, right, False)
+    return apart if "-" in a or known(a) and known(b) and min(len(a), len(b)) > 3 else joined
+
+
 def repaired(text: str, title: str, fix: Corrector) -> tuple[list[tuple[int, str, str]], str]:
     """Findings (line_no, kind, fixed) and the repaired text."""
     lines = text.split("\n")
     kinds = line_kinds(lines, title)
     found: dict[tuple[int, str, str], None] = {}
-    whole: dict[int, tuple[int, str]] = {}  # line with a divided word -> line with its rest, the whole word
+    whole: dict[int, tuple[int, str, int]] = {}  # line with a divided word -> line with its rest, the whole word, its start
     for i, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
         if kind in ("header", "page_no"):
             found[i + 1, kind, ""] = None
-        elif kind in ("text", "reference") and (m := _DIVIDED.search(line)) and (j := next_text(kinds, i)) is not None and kinds[j] == kind and (n := _FIRST.match(lines[j])):
-            a, b = m[1], n[1]
-            joined, apart = a + b, f"{a}-{b}"
-            known = lambda w: fix.frequent.get(w.lower(), 0)
-            word = joined if known(joined) >= known(apart) else apart
-            if not known(joined) and not known(apart):
-                if cands := fix.candidates(joined.lower()):
-                    word = cased(joined, fix.best(cands, []), False)
-                elif cands := fix.candidates(apart.lower()):
-                    word = cased(apart, fix.best(cands, []), False)
-                elif "-" in a or known(a) and known(b) and min(len(a), len(b)) > 3:
-                    word = apart
+        elif kind in ("text", "reference") and line.rstrip()[-1:] in _DIVIDERS and (m := _DIVIDED.search(line)) and (j := next_text(kinds, i)) is not None and kinds[j] == kind and (n := _FIRST.match(lines[j])):
+            around = _WORD.findall(line[: m.start()].lower())[-AROUND:] + _WORD.findall(lines[j][n.end() :].lower())[:AROUND]
+            word = whole_word(m[1], n[1], around, fix)
             found[i + 1, "hyphen", word] = None
-            whole[i] = (j, word)
-    rest = {j: i for i, (j, _) in whole.items()}
+            whole[i] = (j, word, m.start())
+    rest = {j for j, _, _ in whole.values()}
     # correct the words of paragraphs in their context
     out: list[str] = []
     flow: list[str] = []
@@ -221,32 +273,14 @@ def repaired(text: str, title: str, fix: Corrector) -> tuple[list[tuple[int, str
                     out.append(line.strip())
                     ends = True
             continue
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(line)]
-        if i in rest and spans:
-            spans = spans[1:]
-        cut = _DIVIDED.search(line) if i in whole else None
-        if cut:
-            spans = [s for s in spans if s[1] <= cut.start()]
-        lows = [line[a:b].lower() for a, b in spans]
-        pieces, last = [], len(_FIRST.match(line)[0]) if i in rest else 0
-        for k, (a, b) in enumerate(spans):
-            word = line[a:b]
-            right = word
-            if lows[k] not in fix.frequent:
-                opens = ends if k == 0 and i not in rest else bool(re.search(r"[.!?]['\"”’)]*\s+$", line[:a]))
-                named = word[:1].isupper() and not opens and not any(c.isdigit() for c in word)
-                cands = [] if named else fix.candidates(lows[k])
-                if cands:
-                    right = cased(word, fix.best(cands, lows[max(0, k - AROUND) : k] + lows[k + 1 : k + 1 + AROUND]), opens)
-                elif "-" in word and not named:
-                    parts = [fix.best(c, []) if (c := fix.candidates(p.lower())) else p.lower() for p in word.split("-")]
-                    if "-".join(parts) != lows[k]:
-                        right = cased(word, "-".join(parts), opens)
-                if right != word:
-                    found[i + 1, "char", right] = None
+        last, stop = len(_FIRST.match(line)[0]) if i in rest else 0, whole[i][2] if i in whole else len(line)
+        last = min(last, stop)
+        pieces = []
+        for a, b, right in fix.line(line, last, stop, ends and i not in rest):
+            found[i + 1, "char", right] = None
             pieces += [line[last:a], right]
             last = b
-        pieces.append(line[last : cut.start()] + whole[i][1] if cut else line[last:])
+        pieces += [line[last:stop], whole[i][1] if i in whole else ""]
         if (piece := " ".join("".join(pieces).split())) and i in rest and flow and not piece[0].isalnum():
             flow[-1] += piece  # the sign after a divided word
         elif piece:
@@ -271,8 +305,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def skip_grams(texts: DataFrame, least: int) -> dict[str, np.ndarray]:
-    """Unit vectors of the words with at least so many tokens, learned from all texts."""
+def skip_grams(texts: DataFrame, frequent: dict[str, int], least: int) -> dict[str, np.ndarray]:
+    """Unit vectors of the frequent words, learned from all texts; least is the count of the rarest of them."""
     from pyspark.ml.feature import Word2Vec
 
     tokens = F.expr(r"filter(split(lower(regexp_replace(raw_text, '[-¬­‐]\\s*\\n\\s*', '')), '[^\\p{L}\\p{N}\'’-]+'), x -> x != '')")
@@ -280,20 +314,22 @@ def skip_grams(texts: DataFrame, least: int) -> dict[str, np.ndarray]:
     rows = texts.select(tokens.alias("tokens"))
     if not rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(1).count():
         return {}  # the learner refuses an empty vocabulary
-    model = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=AROUND, seed=11, inputCol="tokens", outputCol="v").fit(rows)
-    return {r["word"]: (v := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(v) + 1e-9) for r in model.getVectors().collect()}
+    model = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=WINDOW, seed=11, inputCol="tokens", outputCol="v").fit(rows)
+    return {r["word"]: (v := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(v) + 1e-9) for r in model.getVectors().collect() if r["word"] in frequent}
 
 
 def corrector(pdfs: DataFrame) -> Corrector:
     texts = pdfs.select("raw_text").where("length(raw_text) > 0")
     counts = checkpointed(word_counts(texts))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, int(total * FREQUENT))
-    frequent = {r[0]: r[1] for r in counts.where(F.col("n") >= least).collect()}  # at most 1 / FREQUENT words
-    for w, n in list(frequent.items()):  # a common misreading of a very common word is no word
-        if n < 3 * least and any(frequent.get(v, 0) >= 50 * n for v, _ in variants(w)):
-            del frequent[w]
-    return Corrector(frequent, skip_grams(texts, least) if frequent else {})
+    frequent = {r[0]: r[1] for r in counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()}
+    if not frequent:
+        return Corrector({}, {})
+    least = min(frequent.values())
+    misread = [w for w, n in frequent.items() if any(frequent.get(v, 0) >= MISREAD * n for v, _ in variants(w))]
+    vectors = skip_grams(texts, frequent, least)
+    for w in misread:  # no word of its own, unless the context says so
+        del frequent[w]
+    return Corrector(frequent, vectors)
 
 
 def repair(pdfs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ physical and earth science; civic knowledge and participation; computer and info
 work; background and opportunity; affect and health; scaling and sampling). They are not taken from any corpus.
 
 TERMS maps a subject to its weights, and a weight to the terms of each language, divided by semicolons, in lower case and
-without articles. 3 names the area or something that belongs to no other, 2 is typical of it, 1 is also said elsewhere.
+without articles. 3 names the area or something that belongs to no other, 2 is typical of it but also said elsewhere.
 A term matches from the start of a word, so endings do not matter; with $ at its end it is a whole word.
 """
 
