@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pytest
+from edumill.llm import ledger as L
 from edumill.llm.ledger import Ledger, canonical_key, collapsed, ledger_of
 from pyspark.sql import functions as F
 
@@ -37,12 +39,38 @@ def test_increments_equal_one_count(spark):
     assert sum(r[0] for r in want) == 300 and max(want)[0] == 100
 
 
-def test_untouched_buckets_stay(spark):
-    ledger = Ledger(spark, buckets=8)
-    key = lambda rows: frame(spark, rows).select(F.col("block_id").alias("id"), F.col("received_at").alias("at"), canonical_key(F.col("file_name"), F.col("doi"), F.col("block")).alias("key"))
-    ledger.add(key([(k, "b", f"f{k}", None, block()) for k in range(40)]))
-    before = dict(ledger.paths)
-    ledger.add(key([(99, "b", "f3", None, block())]))
-    assert sum(before[b] != ledger.paths[b] for b in before) == 1
-    ledger.add(key([(99, "b", "f3", None, block())]).limit(0))
-    assert sum(r["n_copies"] for r in ledger.read().collect()) == 41 and {r["first_id"] for r in ledger.read().where("n_copies = 2").collect()} == {3}
+def keyed(spark, rows):
+    return frame(spark, rows).select(F.col("block_id").alias("id"), F.col("received_at").alias("at"), canonical_key(F.col("file_name"), F.col("doi"), F.col("block")).alias("key"))
+
+
+def test_additions_are_merged_by_bucket(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path), buckets=8)
+    ledger.add(keyed(spark, [(k, "b", f"f{k}", None, block()) for k in range(80)]))
+    before = dict(ledger.state["base"])
+    ledger.add(keyed(spark, [(99, "b", "f3", None, block())]))
+    assert ledger.state["base"] == before and sum(map(len, ledger.state["added"].values())) == 1  # small: only put beside its bucket
+    ledger.add(keyed(spark, [(200 + k, "b", f"f{3 if k % 2 else k + 500}", None, block()) for k in range(60)]))
+    assert ledger.state["base"] != before
+    ledger.add(keyed(spark, [(99, "b", "f3", None, block())]).limit(0))
+    got = ledger.read().collect()
+    assert sum(r["n_copies"] for r in got) == 141 and [(r["first_id"], r["n_copies"]) for r in got if r["n_copies"] > 1] == [(3, 32)]
+
+
+def test_ledger_is_opened_again_and_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_KEYS", 10)
+    rows = lambda n: [(k, "b", f"f{k}", None, block()) for k in range(n)]
+    Ledger(spark, str(tmp_path), buckets=2).add(keyed(spark, rows(50)), "monday")
+    again = Ledger(spark, str(tmp_path))
+    assert again.state["buckets"] > 2 and again.state["names"] == ["monday"] and again.read().count() == 50
+    again.add(keyed(spark, rows(50)), "monday")  # delivered twice, counted once
+    again.add(keyed(spark, rows(70)), "tuesday")
+    other = Ledger(spark, str(tmp_path)).read()
+    assert {(r["n_copies"], r["n"]) for r in other.groupBy("n_copies").agg(F.count("*").alias("n")).collect()} == {(2, 50), (1, 20)}
+
+
+def test_two_writers_do_not_mix(spark, tmp_path):
+    one, two = Ledger(spark, str(tmp_path)), Ledger(spark, str(tmp_path))
+    one.add(keyed(spark, [(1, "b", "f1", None, block())]))
+    with pytest.raises(RuntimeError):
+        two.add(keyed(spark, [(2, "b", "f2", None, block())]))
+    assert [r["first_id"] for r in Ledger(spark, str(tmp_path)).read().collect()] == [1]
