@@ -1,9 +1,10 @@
 """Free-entered values mapped to a canonical list (problem 3) by a prefix-filter set-similarity join.
 
 Every distinct value and every canonical form becomes a set of character pairs. Pairs are ordered by global rarity;
-only the rare prefix of each set that must meet at the chosen Jaccard threshold is joined, length and positional
-filters drop candidates that cannot reach it, Jaccard is verified exactly on the rest, an exact check of the edit
-distance follows, and the best form is kept. Values are reduced to distinct ones first, so a value that a third of all
+only the rare prefix of each set that must meet is joined, length and positional filters drop candidates that cannot
+reach the Jaccard they need, which is verified exactly on the rest, an exact check of the edit distance follows, and
+the best form is kept. The Jaccard a pair needs follows from the edits that a name of its length is forgiven (0.25 for
+four letters, 0.54 for nine, 0.4 for twenty), so no pair within these edits is missed, however short it is. Values are reduced to distinct ones first, so a value that a third of all
 rows share is looked up once; the join back to the rows is a broadcast only if the distinct values were counted to
 be few, else a shuffle that skew handling can split.
 
@@ -25,9 +26,6 @@ from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small, stage
 
-#: Jaccard of pair sets below which no candidate is made; one edit in six letters or three in fifteen stay above it.
-THRESHOLD = 0.25
-
 _AHEAD = r"^\s*(the|a|our|tuned|weight:|weighted by|variable|weight)\s+"
 _BEHIND = r"(\s+-\s+.*|\s+with\s+.*|\s*,\s*(rescaled|normalised|final)|\s+v\d+|\s+(model|classifier|algorithm|method))[\s;.*]*$"
 _REMARK = r"[(\[{][^)\]}]*[)\]}]"
@@ -54,7 +52,12 @@ def pairs(form: Column) -> Column:
 
 
 def allowed_edits(n: int) -> int:
-    return 1 if n < 10 else 2 if n < 14 else 3
+    """Edits forgiven in a canonical name of so many letters; the shortest names must agree exactly, as short forms do."""
+    return 0 if n < 4 else 1 if n < 10 else 2 if n < 14 else 3
+
+
+def _allowed(n: Column) -> Column:
+    return F.when(n < 4, 0).when(n < 10, 1).when(n < 14, 2).otherwise(3)
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -90,38 +93,41 @@ def _within_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[batch["n_edits"] <= batch["r"].map(lambda y: allowed_edits(len(y)))].astype({"n_edits": "int32"})
 
 
-def set_similarity_join(left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of (kind, id, toks) rows of equal kind whose Jaccard is at least threshold: kind, l, r, jaccard.
+def set_similarity_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of (kind, id, toks, lost) rows of equal kind that share enough of their tokens: kind, l, r, jaccard.
 
-    left.l and right.r identify the rows; toks are token sets. Pairs are joined on rare prefix tokens only.
+    left.l and right.r identify the rows; toks are token sets. A pair must share all tokens of the larger set but
+    right.lost of them, which is a Jaccard of at least (m - lost) / (m + lost) for m tokens; left.lost is the most that
+    any partner may forgive. So each side needs only its lost + 1 rarest tokens as prefix.
     """
-    # token frequencies are bounded by the alphabet of tokens, not by the rows
-    freq = left.select("kind", F.explode("toks").alias("tok")).unionByName(right.select("kind", F.explode("toks").alias("tok"))).groupBy("kind", "tok").agg(F.count("*").alias("df"))
-    rank = freq.select("kind", "tok", F.row_number().over(Window.partitionBy("kind").orderBy("df", "tok")).alias("rank"))
-    rank = broadcast_if_small(stage(rank, "token-rank"))
+    tokens = left.select("kind", F.explode("toks").alias("tok")).unionByName(right.select("kind", F.explode("toks").alias("tok")))
+    freq = broadcast_if_small(stage(tokens.groupBy("kind", "tok").agg(F.count("*").alias("df")), "token-counts"))
 
     def prefix(df: DataFrame, key: str) -> DataFrame:
-        ranked = df.select("kind", key, F.explode("toks").alias("tok")).join(rank, ["kind", "tok"]).groupBy("kind", key).agg(F.array_sort(F.collect_list("rank")).alias("s"))
-        keep = F.size("s") - F.ceil(F.size("s") * threshold - 1e-9) + 1
-        return ranked.select("kind", key, "s", F.posexplode(F.slice("s", F.lit(1), keep.cast("int"))).alias("pos", "rank"))
-
-    a = prefix(left, "l").select("kind", "l", F.col("s").alias("sa"), F.col("pos").alias("pa"), "rank")
-    b = prefix(right, "r").select("kind", "r", F.col("s").alias("sb"), F.col("pos").alias("pb"), "rank")
+        order = F.array_sort(F.collect_list(F.struct("df", "tok")))  # global rarity, ties by the token
+        ranked = df.select("kind", key, "lost", F.explode("toks").alias("tok")).join(freq, ["kind", "tok"]).groupBy("kind", key).agg(F.first("lost").alias("lost"), F.transform(order, lambda x: x["tok"]).alias("s"))
+        keep = F.least(F.size("s"), F.col("lost") + 1)
+        return ranked.select("kind", key, "s", "lost", F.posexplode(F.slice("s", F.lit(1), keep)).alias("pos", "tok"))
+
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = prefix(left, "l").select("kind", "l", F.col("s").alias("sa"), F.col("pos").alias("pa"), "tok").repartition(parts, "l")  # few bytes but much work
+    b = prefix(right, "r").select("kind", "r", F.col("s").alias("sb"), F.col("lost").alias("forgiven"), F.col("pos").alias("pb"), "tok")
     na, nb = F.size("sa"), F.size("sb")
-    need = threshold / (1 + threshold) * (na + nb)  # least overlap of a pair that reaches the threshold
-    near = a.join(broadcast_if_small(b), ["kind", "rank"]).where((na >= threshold * nb) & (nb >= threshold * na)).where(1 + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) + F.least("pa", "pb") >= need - 1e-9)
+    need = F.greatest(na, nb) - F.col("forgiven")
+    near = a.join(broadcast_if_small(b), ["kind", "tok"]).where(F.least(na, nb) >= need).where(1 + F.least(na - F.col("pa") - 1, nb - F.col("pb") - 1) + F.least("pa", "pb") >= need)
     common = F.size(F.array_intersect("sa", "sb"))
-    pairs_ = near.select("kind", "l", "r", "sa", "sb").dropDuplicates(["kind", "l", "r"])
-    return pairs_.select("kind", "l", "r", (common / (na + nb - common)).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+    pairs_ = near.select("kind", "l", "r", "sa", "sb", "forgiven").dropDuplicates(["kind", "l", "r"])
+    return pairs_.where(common >= need).select("kind", "l", "r", (common / (na + nb - common)).alias("jaccard"))
 
 
 def map_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     """(kind, value, term_id) for distinct (kind, value) rows; terms: term_id, kind, canonical_name, short_form."""
     forms = terms.select("kind", "term_id", F.explode(F.array(F.struct(F.lit(False).alias("short"), _compact(F.lower("canonical_name")).alias("r")), F.struct(F.lit(True).alias("short"), _compact(F.lower("short_form")).alias("r")))).alias("f")).select("kind", "term_id", "f.*").where("r is not null and r != ''")
     read = stage(values.select("kind", "value", F.explode(readings(F.col("value"))).alias("l")), "readings")
-    left = read.select("kind", "l").distinct().withColumn("toks", pairs(F.col("l")))
-    right = forms.select("kind", "r").distinct().withColumn("toks", pairs(F.col("r")))
-    near = set_similarity_join(left, right).join(F.broadcast(forms), ["kind", "r"])  # as many forms as twice the list
+    # an edit changes at most three pairs of neighbours; a partner may be as many letters longer as it forgives edits
+    left = read.select("kind", "l").distinct().select("kind", "l", pairs(F.col("l")).alias("toks"), (3 * _allowed(F.length("l") + 3)).alias("lost"))
+    right = forms.groupBy("kind", "r").agg(F.min("short").alias("short")).select("kind", "r", pairs(F.col("r")).alias("toks"), F.when(F.col("short"), 0).otherwise(3 * _allowed(F.length("r"))).alias("lost"))
+    near = set_similarity_join(left, right).join(broadcast_if_small(forms), ["kind", "r"])
     close = near.where("l != r and not short").where((F.abs(F.length("l") - F.length("r")) <= 3) & F.levenshtein("l", "r", 6).between(0, 6))  # a swap counts as two of these edits, so none is lost
     spread = close.select("kind", "l", "r", "term_id", "jaccard").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes but much work
     checked = spread.mapInPandas(_within_edits, "kind string, l string, r string, term_id int, jaccard double, n_edits int")

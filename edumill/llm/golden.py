@@ -11,7 +11,7 @@ Groups of any size: candidates are reduced, before they meet in one row, to the
 corpus rank and agreement with the DOI - a fixed small number - by aggregation with map-side combine.
 
 Defined results: a field that is intact nowhere is null; an unknown or null corpus is trusted least, a null
-timestamp is the oldest; equal trust and time go to the smaller row_id; placeholders, cut values and shared file names
+timestamp is the oldest; a title that is how a longer one of its group begins counts as cut; equal trust and time go to the smaller row_id; placeholders, cut values and shared file names
 link nothing; rows without any key form no group; repeated rows count as rows; extra columns are ignored.
 """
 
@@ -20,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from ..session import stage
+from ..session import broadcast_if_small, stage
 
 #: fixed values: words that stand for a missing title, DOI or name
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "-", "?", "unknown", "not available", "not reported", "doi pending", "pending", "untitled", "untitled document", "[no title]", "no title", "title", "document", "nan", "tbd")
@@ -61,21 +61,28 @@ def title_intact(c: Column) -> Column:
 
 
 def linked(rows: DataFrame) -> DataFrame:
-    """rows (row_id, file_name, doi, title, ...) with component, first_row_id and n_rows; rows of groups of two or more.
+    """rows (row_id, file_name, doi, title, ...) with component, file_shared, title_cut; rows of groups of two or more.
 
-    A file name is one of its own unless rows with different DOIs carry it.
+    A file name is one of its own unless rows with different DOIs carry it; a title is cut if it is how a longer title of
+    its group begins. Only keys are staged and linked; the fields are read when the groups are known.
     """
-    keyed = rows.withColumns({"doi_key": doi_key(F.col("doi")), "title_key": title_key(F.col("title")), "file_key": file_key(F.col("file_name"))})
-    shared = keyed.where("file_key is not null").groupBy("file_key").agg(F.min("doi_key").alias("a"), F.max("doi_key").alias("b")).where("a < b").select("file_key", F.lit(True).alias("file_shared"))
-    shared = shared.hint("broadcast") if shared.limit(10_001).count() <= 10_000 else shared
-    keyed = stage(keyed.join(shared, "file_key", "left").withColumn("file_shared", F.coalesce("file_shared", F.lit(False))), "keyed")
+    key_of = {"doi_key": doi_key(F.col("doi")), "title_key": title_key(F.col("title")), "file_key": file_key(F.col("file_name"))}
+    keyed = stage(rows.where("row_id is not null").select("row_id", *[c.alias(k) for k, c in key_of.items()]), "keys")
+    shared = stage(keyed.where("file_key is not null").groupBy("file_key").agg(F.min("doi_key").alias("a"), F.max("doi_key").alias("b")).where("a < b").select("file_key", F.lit(True).alias("file_shared")), "shared-names")
+    shared = broadcast_if_small(shared)
+    named = keyed.join(shared, "file_key", "left")
     edges = None
-    for kind, key in (("d", F.col("doi_key")), ("t", F.col("title_key")), ("f", F.when(~F.col("file_shared"), F.col("file_key")))):
-        part = keyed.select("row_id", F.concat(F.lit(kind), key).alias("key")).where("key is not null and row_id is not null")
+    for kind, key in (("d", F.col("doi_key")), ("t", F.col("title_key")), ("f", F.when(F.col("file_shared").isNull(), F.col("file_key")))):
+        part = named.select("row_id", F.concat(F.lit(kind), key).alias("key")).where("key is not null")
         edges = part if edges is None else edges.unionByName(part)
     heads = edges.groupBy("key").agg(F.min("row_id").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
     groups = components(edges.join(heads, "key").select(F.col("row_id").alias("u"), "v")).withColumnRenamed("node", "row_id")
-    return keyed.join(groups, "row_id")
+    found = rows.join(groups, "row_id").withColumns(key_of).join(shared, "file_key", "left").withColumn("file_shared", F.coalesce("file_shared", F.lit(False)))
+    # of sorted titles the one after a cut one goes on with its letters; only the different titles of a group are sorted
+    titles = keyed.where("title_key is not null").join(groups, "row_id").select("component", "title_key").distinct()
+    after = F.lead("title_key").over(Window.partitionBy("component").orderBy("title_key"))
+    cut = stage(titles.withColumn("after", after).where(F.startswith("after", "title_key")).select("component", "title_key", F.lit(True).alias("title_cut")), "cut-titles")
+    return found.join(broadcast_if_small(cut), ["component", "title_key"], "left").withColumn("title_cut", F.coalesce("title_cut", F.lit(False)))
 
 
 # Branch and bound
@@ -131,7 +138,7 @@ def survivors(rows: DataFrame, trust: DataFrame, bundles: dict[str, list[str]],
     depends: bundle -> the bundle whose value determines it (only "doi" can, its key is compared).
     """
     grouped = linked(rows.select(*dict.fromkeys(["row_id", "corpus", "extraction_timestamp", "file_name", "doi", "title", *[f for names in bundles.values() for f in names]])))
-    ranked = grouped.join(F.broadcast(trust.groupBy("corpus").agg(F.min("trust_rank").alias("trust_rank"))), "corpus", "left").withColumn("trust_rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
+    ranked = grouped.join(broadcast_if_small(trust.groupBy("corpus").agg(F.min("trust_rank").alias("trust_rank"))), "corpus", "left").withColumn("trust_rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
     fields = [f for names in bundles.values() for f in names]
     later = F.struct(F.coalesce(F.col("extraction_timestamp").cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), (-F.col("row_id")).alias("no"))
     if depends:  # which rows carry the DOI that will be chosen: the most trusted intact one

@@ -231,14 +231,14 @@ def label_of(column: str):
 
 
 def training_sample(texts: DataFrame) -> list[tuple[str, str]]:
-    """At most about SAMPLE_TEXTS labelled texts per language, chosen by the hash of the text."""
+    """About SAMPLE_TEXTS different labelled texts per language, chosen by the hash of the text; the same ones at every run."""
     known = texts.withColumn("l", label_of("label")).where("l is not null")
     counts = {r[0]: r[1] for r in known.groupBy("l").count().collect()}
     if not counts:
         return []
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, SAMPLE_TEXTS / n)))])
     pick = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("l")] * F.lit(float(1 << 30))
-    return [(r[0], r[1]) for r in known.where(pick).select("text", "l").limit(4 * SAMPLE_TEXTS * len(languages())).collect()]
+    return [(r[0], r[1]) for r in known.where(pick).select("text", "l").distinct().orderBy(F.xxhash64("text"), "l").limit(SAMPLE_TEXTS * len(languages())).collect()]
 
 
 def segments(texts: DataFrame) -> DataFrame:

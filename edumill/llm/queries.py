@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import broadcast_if_small, table
 from .canon import mapped_rows
 from .golden import DOI_FORM, PLACEHOLDERS, file_key, survivors, title_intact
 from .langid import segments
@@ -25,9 +25,13 @@ def _file_intact():
     return ~F.col("file_shared") & ~plain.isin(*PLACEHOLDERS) & (file_key(F.col("file_name")) == plain)
 
 
+def _title_intact():
+    return title_intact(F.col("title")) & ~F.col("title_cut")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "metadata").select("row_id", "corpus", "file_name", "title", "doi", "extraction_timestamp")
-    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": title_intact(F.col("title"))}
+    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": _title_intact()}
     best = survivors(rows, table(spark, sf_dir, "corpus_trust"), {b: [b] for b in intact}, intact, {})
     return best.select("first_row_id", "file_name", F.lower("doi").alias("doi"), "title")
 
@@ -36,7 +40,7 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole surviving records: names and imprint are bundles that depend on the DOI."""
     rows = table(spark, sf_dir, "metadata")
     bundles = {"doi": ["doi"], "title": ["title", "title_lang"], "file_name": ["file_name"], "people": ["authors", "pub_year"], "imprint": ["venue", "publication_type", "source_category"]}
-    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": title_intact(F.col("title")), "people": F.col("authors").isNotNull() & F.col("pub_year").isNotNull(), "imprint": F.col("venue").isNotNull() & F.col("publication_type").isNotNull()}
+    intact = {"file_name": _file_intact(), "doi": _doi_intact(), "title": _title_intact(), "people": F.col("authors").isNotNull() & F.col("pub_year").isNotNull(), "imprint": F.col("venue").isNotNull() & F.col("publication_type").isNotNull()}
     return survivors(rows, table(spark, sf_dir, "corpus_trust"), bundles, intact, {"people": "doi", "imprint": "doi"})
 
 
@@ -89,7 +93,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens and unused room per budget."""
     per = p8_containers(spark, sf_dir).groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
-    per = per.join(F.broadcast(table(spark, sf_dir, "pack_budgets")), "budget_id")
+    per = per.join(broadcast_if_small(table(spark, sf_dir, "pack_budgets")), "budget_id")
     return per.groupBy("budget_id", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("most_used"), (1 - F.sum("used") / (F.count("*") * F.first("capacity_tokens"))).alias("unused_share"))
 
 

@@ -14,19 +14,38 @@ def test_join_equals_all_pairs(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9)))
     left, right = sorted({word() for _ in range(120)}), sorted({word() for _ in range(30)})
-    for t in (0.25, 0.5, 0.8):
-        a = spark.createDataFrame([("k", x) for x in left], "kind string, l string").withColumn("toks", C.pairs(F.col("l")))
-        b = spark.createDataFrame([("k", x) for x in right], "kind string, r string").withColumn("toks", C.pairs(F.col("r")))
-        got = {(r["l"], r["r"]): round(r["jaccard"], 9) for r in C.set_similarity_join(a, b, t).collect()}
+    for lost in (0, 3, 5):
+        a = spark.createDataFrame([("k", x, lost) for x in left], "kind string, l string, lost int").withColumn("toks", C.pairs(F.col("l")))
+        b = spark.createDataFrame([("k", x, lost) for x in right], "kind string, r string, lost int").withColumn("toks", C.pairs(F.col("r")))
+        got = {(r["l"], r["r"]): round(r["jaccard"], 9) for r in C.set_similarity_join(a, b).collect()}
         want = {}
         for x in left:
             for y in right:
-                j = len(token_set(x) & token_set(y)) / len(token_set(x) | token_set(y))
-                if j >= t - 1e-9:
-                    want[x, y] = round(j, 9)
+                both = token_set(x) & token_set(y)
+                if both and len(both) >= max(len(token_set(x)), len(token_set(y))) - lost:
+                    want[x, y] = round(len(both) / len(token_set(x) | token_set(y)), 9)
         assert got == want
 
 
+def test_no_edited_name_is_missed(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 26))) for _ in range(60)})
+    terms = spark.createDataFrame([(k, "k", n, None) for k, n in enumerate(names, 1)], "term_id int, kind string, canonical_name string, short_form string")
+    values = set()
+    for n in names:
+        for _ in range(12):
+            v = n
+            for _ in range(rng.randrange(1, 5)):
+                i = rng.randrange(len(v))
+                v = rng.choice([v[:i] + v[i + 1 :], v[:i] + "q" + v[i:], v[:i] + "z" + v[i + 1 :], v[:i] + v[i : i + 2][::-1] + v[i + 2 :]]) or "q"
+            values.add(v)
+    df = spark.createDataFrame([("k", v) for v in sorted(values)], "kind string, value string")
+    got = {r["value"]: r["term_id"] for r in C.map_values(df, terms).collect()}
+    for v in values:
+        near = {k for k, n in enumerate(names, 1) if C.edits(v, n, C.allowed_edits(len(n))) <= C.allowed_edits(len(n))}
+        assert got[v] in near if near else got[v] == 0, (v, got[v], near)
+
+
 def test_edit_distance():
     assert C.edits("abcd", "abdc", 3) == 1 and C.edits("abcd", "abcd", 3) == 0 and C.edits("abc", "xyzabc", 2) == 3 and C.edits("", "ab", 3) == 2
 

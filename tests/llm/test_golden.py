@@ -59,7 +59,8 @@ def brute_force(rows, trust):
         g = sorted(g, key=lambda r: (trust.get(r["corpus"], 2**31), -r["extraction_timestamp"].timestamp(), r["row_id"]))
         pick = lambda f, ok: next((r[f] for r in g if r[f] is not None and ok(r[f])), None)
         d = pick("doi", lambda v: re.fullmatch(r"10\.[0-9]{4,9}/\S*[A-Za-z0-9]", v))
-        t = pick("title", lambda v: title(v) and v.upper() != v and not re.search(r"^\s|\s$|\s\s|[\n\t\r\xa0 ]", v))
+        whole = {title(r["title"]) for r in g} - {None}
+        t = pick("title", lambda v: title(v) and not any(w != title(v) and w.startswith(title(v)) for w in whole) and v.upper() != v and not re.search(r"^\s|\s$|\s\s|[\n\t\r\xa0 ]", v))
         f = pick("file_name", lambda v: name(v) and name(v) not in shared and name(v) == v.lower().strip())
         out.add((first, f, d and d.lower(), t))
     return out
@@ -106,3 +107,11 @@ def test_edge_cases(spark):
     got = run(df)
     assert got[1] == (3, "a.pdf", "10.1234/ab", "A Real Title") and set(got) == {1} or got.get(7, (None,))[1] == "b.pdf"
     assert run(df.limit(0)) == {}
+
+
+def test_a_title_cut_without_a_mark_is_not_intact(spark):
+    rows = [(1, "A", "x.pdf", "10.1234/a", "Reading in Zor: a stu", None), (2, "B", "y.pdf", "10.1234/a", "Reading in Zor: a study", None), (3, "A", "z.pdf", "10.1234/b", "Reading in Zor", None), (4, "B", "z.pdf", "10.1234/b", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, corpus string, file_name string, doi string, title string, extraction_timestamp timestamp_ntz")
+    trust = spark.createDataFrame([("A", 1), ("B", 2)], "corpus string, trust_rank int")
+    got = {r["first_row_id"]: r["title"] for r in G.survivors(df, trust, {"title": ["title"]}, {"title": Q._title_intact()}, {}).collect()}
+    assert got == {1: "Reading in Zor: a study", 3: "Reading in Zor"}
