@@ -29,12 +29,18 @@ from ..session import checkpointed
 QUANTILES = (0.25, 0.5, 0.75)
 
 
+_MOVED = 5 * 10**37
+
+
 def _entry(name: str, column: Column, kind: str) -> Column:
     if kind in ("string",):
         text = F.when(~column.rlike(r"^[\s\p{Z}]*$"), column)
         return F.struct(F.lit(name).alias("column_name"), F.lit(None).cast("double").alias("num"), text.alias("str"))
     number = column.cast("double") if kind != "timestamp" else F.unix_micros(column.cast("timestamp")).cast("double") / 1e6
-    return F.struct(F.lit(name).alias("column_name"), F.when(~F.isnan(number), number).alias("num"), F.lit(None).cast("string").alias("str"))
+    # whole numbers that a double cannot tell apart keep their digits, moved up so that their text sorts by size
+    moved = (column.cast("decimal(38,0)") + F.lit(str(_MOVED)).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")
+    exact = F.when(F.abs(number) >= 2.0**53, moved) if kind == "whole" else F.lit(None).cast("string")
+    return F.struct(F.lit(name).alias("column_name"), F.when(~F.isnan(number), number).alias("num"), exact.alias("str"))
 
 
 def value_counts(df: DataFrame, load: str, columns: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -55,25 +61,41 @@ def _ranks(n: int) -> list[tuple[str, int, float]]:
     return out
 
 
+#: Counters (partitions x loads) that may be sent to the tasks, 8 bytes each; more loads mean fewer, longer partitions.
+COUNTERS = 1_000_000
+_SEP = "\x1f"
+
+
 def profile(df: DataFrame, table_name: str, load: str, columns: dict[str, tuple[Column, str]], partitions: int | None = None) -> DataFrame:
-    """One row per column and load; columns maps a name to (expression, kind), kind one of string, number, timestamp.
+    """One row per column and load; columns maps a name to (expression, kind), kind one of string, number (doubles),
+    whole (integers, exact at any size), timestamp.
 
     Result: table_name, column_name, load_no, n_rows, n_null, n_distinct, min_value, max_value (as strings), q25, q50,
     q75 (numbers only), ks_previous, share_change_previous.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = checkpointed(value_counts(df, load, columns))
+    return profiles([(df, table_name, load, columns)], partitions)
+
+
+def profiles(tables: list[tuple[DataFrame, str, str, dict[str, tuple[Column, str]]]], partitions: int | None = None) -> DataFrame:
+    """The profiles of several tables (df, table_name, load, columns) in one pass over their counted values."""
+    spark = tables[0][0].sparkSession
+    counts = None
+    for df, table_name, load, columns in tables:
+        part = value_counts(df, load, {f"{table_name}{_SEP}{c}": v for c, v in columns.items()})
+        counts = part if counts is None else counts.unionByName(part)
+    counts = checkpointed(counts)
     filled = F.col("num").isNotNull() | F.col("str").isNotNull()
     per_load = counts.groupBy("column_name", "load").agg(F.sum("n").alias("n_rows"), F.sum(F.when(filled, 0).otherwise(F.col("n"))).alias("n_null"))
-    ordered = checkpointed(counts.where(filled).repartitionByRange(partitions, "column_name", "num", "str").sortWithinPartitions("column_name", "num", "str"))
-
-    # one counter per partition, column and load: bounded by the number of partitions, not by the rows
-    parts = ordered.groupBy(F.spark_partition_id().alias("pid"), "column_name", "load").agg(F.sum("n").alias("n")).collect()
-    loads: dict[str, list[int]] = {}
+    loads: dict[str, list[int]] = {}  # one entry per column and load, as many as rows of the result
     for r in per_load.select("column_name", "load").collect():
         loads.setdefault(r[0], []).append(r[1])
     loads = {c: sorted(v) for c, v in loads.items()}
+    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(partitions, COUNTERS // max([len(v) for v in loads.values()] + [1])))
+    ordered = checkpointed(counts.where(filled).repartitionByRange(partitions, "column_name", "num", "str").sortWithinPartitions("column_name", "num", "str"))
+
+    # one counter per partition, column and load: bounded by COUNTERS and the size of the result, not by the rows
+    parts = ordered.groupBy(F.spark_partition_id().alias("pid"), "column_name", "load").agg(F.sum("n").alias("n")).collect()
     prefix: dict[tuple[int, str], np.ndarray] = {}
     totals = {c: np.zeros(len(v)) for c, v in loads.items()}
     by_part: dict[tuple[int, str], dict[int, int]] = {}
@@ -101,8 +123,12 @@ def profile(df: DataFrame, table_name: str, load: str, columns: dict[str, tuple[
                     close()
                     column, cum = c, prefix[pid, c].copy()
                 order, total = {x: i for i, x in enumerate(loads[c])}, totals[c]
-                key = rows["num"].astype(str).where(rows["num"].notna(), rows["str"])
-                code = (key != key.shift()).cumsum().to_numpy() - 1
+                text = rows["str"].fillna("")
+                if rows["num"].notna().any():
+                    key = rows["num"].astype(str).where(text == "", text.map(lambda x: str(int(x) - _MOVED) if x else ""))
+                else:
+                    key = text
+                code = ((key != key.shift()) | (rows["num"] != rows["num"].shift()) & rows["num"].notna()).cumsum().to_numpy() - 1
                 at = rows["load"].map(order).to_numpy()
                 matrix = np.zeros((code[-1] + 1, len(total)))
                 np.add.at(matrix, (code, at), rows["n"].to_numpy())
@@ -134,7 +160,8 @@ def profile(df: DataFrame, table_name: str, load: str, columns: dict[str, tuple[
             if held is not None and len(held):
                 batch = pd.concat([held, batch], ignore_index=True)
             # the rows of the last value may go on in the next batch
-            same = (batch["column_name"] == batch["column_name"].iloc[-1]) & ((batch["num"] == batch["num"].iloc[-1]) | (batch["num"].isna() & (batch["str"] == batch["str"].iloc[-1]))) if len(batch) else pd.Series([], dtype=bool)
+            last = batch.iloc[-1] if len(batch) else None
+            same = (batch["column_name"] == last["column_name"]) & ((batch["num"] == last["num"]) | batch["num"].isna() & pd.isna(last["num"])) & ((batch["str"] == last["str"]) | batch["str"].isna() & pd.isna(last["str"])) if len(batch) else pd.Series([], dtype=bool)
             held, ready = batch[same], batch[~same]
             if len(ready):
                 take(ready)
@@ -154,7 +181,7 @@ def profile(df: DataFrame, table_name: str, load: str, columns: dict[str, tuple[
         F.max(on("partial", F.col("y"))).alias("share_change_previous"),
     )
     return per_load.join(stats, ["column_name", "load"], "left").select(
-        F.lit(table_name).alias("table_name"), "column_name", F.col("load").alias("load_no"), "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        F.split("column_name", _SEP)[0].alias("table_name"), F.split("column_name", _SEP)[1].alias("column_name"), F.col("load").alias("load_no"), "n_rows", "n_null", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
         "min_value", "max_value", "q25", "q50", "q75", "ks_previous", "share_change_previous",
     )
 

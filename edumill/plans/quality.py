@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.profile import profile, shifts, violations
+from ..operators.profile import profiles, shifts, violations
 from ..operators.shred import article_children, article_levels
 from ..session import table
 
@@ -19,7 +19,7 @@ def _kinds(df: DataFrame, skip: tuple[str, ...]) -> dict:
     out = {}
     for name, kind in df.dtypes:
         if name not in skip and not kind.startswith(("array", "map", "struct", "binary")):
-            out[name] = (F.col(name), "string" if kind == "string" else "timestamp" if kind.startswith("timestamp") else "number")
+            out[name] = (F.col(name), "string" if kind == "string" else "timestamp" if kind.startswith("timestamp") else "whole" if kind in ("bigint", "int", "smallint", "tinyint") else "number")
     return out
 
 
@@ -31,9 +31,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = violations(meta, "metadata", "row_id", [("doi", "pattern", filled("doi") & ~F.col("doi").rlike(DOI_FORM))]).unionByName(
         violations(core, "core_data", "row_id", [("total_students", "range", F.col("total_students").isNotNull() & ~inside), ("plausible_values_handling", "vocabulary", filled("plausible_values_handling") & ~F.col("plausible_values_handling").isin(*PV_WORDS))])
     )
-    doi = profile(meta, "metadata", "load_no", {"doi": (F.col("doi"), "string")})
-    rest = profile(core, "core_data", "load_no", {"total_students": (F.col("total_students"), "number"), "total_students in range": (F.when(inside, F.col("total_students")), "number"), "plausible_values_handling": (F.col("plausible_values_handling"), "string")})
-    moved = shifts(doi.unionByName(rest), medians_of={"total_students": "total_students in range"}, shares_of=("plausible_values_handling",))
+    found = profiles([(meta, "metadata", "load_no", {"doi": (F.col("doi"), "string")}), (core, "core_data", "load_no", {"total_students": (F.col("total_students"), "whole"), "total_students in range": (F.when(inside, F.col("total_students")), "whole"), "plausible_values_handling": (F.col("plausible_values_handling"), "string")})])
+    moved = shifts(found, medians_of={"total_students": "total_students in range"}, shares_of=("plausible_values_handling",))
     return broken.unionByName(moved)
 
 
@@ -41,7 +40,7 @@ def p4_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile of every scalar column of both tables, ids and load numbers left out."""
     skip = ("row_id", "load_no")
     meta, core = table(spark, sf_dir, "metadata"), table(spark, sf_dir, "core_data")
-    every = profile(meta, "metadata", "load_no", _kinds(meta, skip)).unionByName(profile(core, "core_data", "load_no", _kinds(core, skip)))
+    every = profiles([(meta, "metadata", "load_no", _kinds(meta, skip)), (core, "core_data", "load_no", _kinds(core, skip))])
     return every.select("table_name", "column_name", "load_no", "n_rows", "n_null", "n_distinct", "min_value", "max_value", *[F.round(c, 6).alias(c) for c in ("q25", "q50", "q75", "ks_previous", "share_change_previous")])
 
 

@@ -56,3 +56,14 @@ def test_shift_and_violations(spark):
     assert sorted(r["ref_id"] for r in found) == [2, 4]
     bad = violations(df, "t", "load_no", [("v", "range", F.col("v") > 290)]).collect()
     assert len(bad) == 5 and bad[0]["finding"] == "range"
+
+
+def test_whole_numbers_of_any_size_and_many_loads(spark, monkeypatch):
+    big = 2**60
+    df = spark.createDataFrame([(1, big), (1, big + 1), (1, big + 2), (1, -big), (1, -big - 1), (1, 7), (2, big + 1)], "load_no int, v long")
+    got = {r["load_no"]: r for r in profile(df, "t", "load_no", {"v": (F.col("v"), "whole")}, partitions=3).collect()}
+    assert got[1]["n_distinct"] == 6 and got[2]["n_distinct"] == 1 and got[1]["max_value"] == str(big + 2) and got[2]["max_value"] == str(big + 1) and got[1]["min_value"] == str(-big - 1)
+    assert abs(got[2]["ks_previous"] - 4 / 6) < 1e-9
+    monkeypatch.setattr("edumill.operators.profile.COUNTERS", 60)  # many loads: few partitions, the same profile
+    many = spark.createDataFrame([(k % 40, k) for k in range(4000)], "load_no int, v int")
+    assert {(r["n_rows"], r["n_distinct"]) for r in profile(many, "t", "load_no", {"v": (F.col("v"), "whole")}).collect()} == {(100, 100)}
