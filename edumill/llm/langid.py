@@ -8,7 +8,9 @@ a title: of whole titles, which stand beside each other with a separator), with
 
 The machines are trained on a bounded sample of labelled texts (SAMPLE_TEXTS per language, chosen by hash, at most
 SAMPLE_SENTENCES sentences each); sentences whose first model contradicts their label are dropped before the second
-training, as some labels are wrong. Everything else runs over all rows.
+training, as some labels are wrong. The confidence is the probability that a decision of its margin is right, read
+from a fifth of the sample that machines were not trained on. A sentence whose words are hardly known in the language
+decided for is in none of the languages and gets the label und. Everything else runs over all rows.
 
 Defined results: null, blank and placeholder texts and texts without letters give no segment; a sentence without
 words, or a short one without a clear decision, goes with its neighbours; ties go to the language named first in
@@ -21,6 +23,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -38,6 +41,9 @@ DIMENSIONS = 1 << 16
 EPOCHS = 5
 #: A title of several languages is split only where each part has so many words.
 LEAST_WORDS = 3
+#: The label of any other language: of a sentence of so many words fewer than this share stand in the training sentences
+#: of the language decided for.
+OTHER, OTHER_WORDS, OTHER_SHARE = "und", 6, 0.15
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n\s*\n")
@@ -73,8 +79,19 @@ def _vector(ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts / len(ws)
 
 
-def train(samples: list[tuple[str, str]]) -> np.ndarray:
-    """Weights (machines, dimensions + 1) from (text, language) pairs; hinge loss with L2 norm, averaged passes."""
+@dataclass(frozen=True)
+class Model:
+    """weights: (machines, dimensions + 1); seen: word -> bits of the languages in whose sentences it stands;
+    slope, offset: probability that a decision of a margin is right."""
+
+    weights: np.ndarray
+    seen: dict[str, int]
+    slope: float
+    offset: float
+
+
+def train(samples: list[tuple[str, str]]) -> Model:
+    """The machines of (text, language) pairs; hinge loss with L2 norm, averaged passes."""
     labels: dict[tuple[str, ...], Counter] = {}
     for text, lang in samples:
         for s in sentences(text)[:SAMPLE_SENTENCES]:
@@ -85,18 +102,46 @@ def train(samples: list[tuple[str, str]]) -> np.ndarray:
     for ws, votes in sorted(labels.items()):  # the same words count once, in the language that most labels give
         (lang, n), *rest = votes.most_common(2)
         if not rest or n > 2 * rest[0][1]:
-            data.append((*_vector(list(ws)), lang))
+            data.append((*_vector(list(ws)), lang, ws))
+    first = _machines(data)
+    data = [d for d in data if _decided(first, d)[0] == d[2]]
+    seen: dict[str, int] = {}
+    for *_, lang, ws in data:
+        for w in ws:
+            seen[w] = seen.get(w, 0) | 1 << languages().index(lang)
+    # confidence: margins of every fifth sentence under machines that have not seen it
+    part = _machines([d for k, d in enumerate(data) if k % 5])
+    judged = [(*_decided(part, d), d[2]) for d in data[::5]]
+    return Model(_machines(data), seen, *_calibrated([m for _, m, _ in judged], [lang == right for lang, _, right in judged]))
+
+
+def _machines(data: list[tuple]) -> np.ndarray:
     weights = np.zeros((len(machines()), DIMENSIONS + 1), dtype=np.float64)
-    for again in range(2):
-        for k, (plus, minus) in enumerate(machines()):
-            mine = [(i, c, 1.0 if lang in plus else -1.0) for i, c, lang in data if lang in plus or lang in minus]
-            if mine:
-                weights[k] = _svm(mine)
-        if not again:
-            data = [(i, c, lang) for i, c, lang in data if decide((weights[:, i] * c).sum(1) + weights[:, -1])[0] == lang]
+    for k, (plus, minus) in enumerate(machines()):
+        mine = [(i, c, 1.0 if lang in plus else -1.0) for i, c, lang, _ in data if lang in plus or lang in minus]
+        if mine:
+            weights[k] = _svm(mine)
     return weights.astype(np.float32)
 
 
+def _decided(weights: np.ndarray, d: tuple) -> tuple[str, float]:
+    return decide((weights[:, d[0]] * d[1]).sum(1) + weights[:, -1])
+
+
+def _calibrated(margins: list[float], right: list[bool]) -> tuple[float, float]:
+    """(slope, offset) of a logistic curve through the margins by Newton steps; two pseudo-cases keep it finite."""
+    x = np.array([*margins, 0.0, 0.0, 2.0])
+    y = np.array([*map(float, right), 0.0, 1.0, 1.0])
+    a, b = 3.0, 0.0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        w = np.maximum(p * (1 - p), 1e-6)
+        g = np.array([((y - p) * x).sum() - 0.01 * a, (y - p).sum()])
+        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        a, b = np.array([a, b]) + np.clip(np.linalg.solve(h, g), -2, 2)
+    return max(0.1, float(a)), float(b)
+
+
 def _svm(data: list[tuple[np.ndarray, np.ndarray, float]], penalty: float = 2e-3) -> np.ndarray:
     w, total, t = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1), 0
     sides = {y: max(1, sum(1 for d in data if d[2] == y)) for y in (1.0, -1.0)}
@@ -149,33 +194,50 @@ def decide(scores: np.ndarray) -> tuple[str, float]:
 class Decider:
     """Decisions for many sentences at once; keeps the contribution of every word that it has met."""
 
-    def __init__(self, weights: np.ndarray, most_words: int = 400_000) -> None:
-        self.weights, self.most = weights, most_words
+    def __init__(self, model: Model, most_words: int = 400_000) -> None:
+        self.model, self.weights, self.most = model, model.weights, most_words
         self.ids: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(weights)), dtype=np.float32)
+        self.bits = np.arange(len(languages()))
+        self.rows = np.zeros((1024, len(self.weights) + len(self.bits)), dtype=np.float32)
 
     def _known(self, word: str) -> int:
         at = len(self.ids)
         if at >= len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[at] = self.weights[:, features(word)].sum(1)
+        n = len(self.weights)
+        self.rows[at, :n] = self.weights[:, features(word)].sum(1)
+        self.rows[at, n:] = self.model.seen.get(word, 0) >> self.bits & 1
         self.ids[word] = at
         return at
 
     def scores(self, parts: list[list[str]]) -> np.ndarray:
-        """(parts, machines); a part without words scores 0."""
+        """(parts, machines + languages): scores, and the share of words that were seen in each language; a part without
+        words scores 0."""
         if len(self.ids) > self.most:
             self.ids.clear()
         ids, known = self.ids, self._known
         flat = [ids[w] if w in ids else known(w) for ws in parts for w in ws]
         sizes = np.array([len(ws) for ws in parts])
-        out = np.zeros((len(parts), len(self.weights)), dtype=np.float32)
+        out = np.zeros((len(parts), self.rows.shape[1]), dtype=np.float32)
         full = np.flatnonzero(sizes)
         if len(flat):
             starts = (np.cumsum(sizes) - sizes)[full]
-            out[full] = np.add.reduceat(self.rows[np.array(flat)], starts) / sizes[full, None] + self.weights[:, -1]
+            out[full] = np.add.reduceat(self.rows[np.array(flat)], starts) / sizes[full, None]
+            out[full, : len(self.weights)] += self.weights[:, -1]
         return out
 
+    def decide(self, scores: np.ndarray, n: int) -> tuple[str, float]:
+        """(language, margin) of a part of n words; a part of OTHER_WORDS or more of which hardly any was seen in the
+        language is in another one."""
+        lang, margin = decide(scores)
+        if n >= OTHER_WORDS and scores[len(self.weights) + languages().index(lang)] < OTHER_SHARE:
+            return OTHER, 1.0
+        return lang, margin
+
+    def confidence(self, lang: str, margin: float) -> float:
+        """The calibrated probability that a decision is right; 0.5 for another language, which is not told further."""
+        return 0.5 if lang == OTHER else 1 / (1 + math.exp(-(self.model.slope * margin + self.model.offset)))
+
 
 def _runs(langs: list[tuple[str | None, float, int]], least: float = 0.5) -> list[tuple[str, float]]:
     """Runs of one language from (language, margin, words) per part; unclear short parts go with their neighbours."""
@@ -218,8 +280,8 @@ def segments_of(texts: list[str], titles: list[bool], decider: Decider) -> list[
     scores = decider.scores(parts)
     marked: list[list[tuple[str | None, float, int]]] = [[] for _ in texts]
     for t, ws, s in zip(owner, parts, scores, strict=True):
-        marked[t].append((*(decide(s) if ws else (None, 0.0)), len(ws)))
-    return [[(lang, 1 / (1 + math.exp(-3 * m))) for lang, m in _runs(x)] for x in marked]
+        marked[t].append((*(decider.decide(s, len(ws)) if ws else (None, 0.0)), len(ws)))
+    return [[(lang, decider.confidence(lang, m)) for lang, m in _runs(x)] for x in marked]
 
 
 PLACEHOLDER = r"(?i)^[\s\p{Z}]*(n/?a|none|null|nan|-+|\?+|unknown|untitled|untitled document|\[?no title\]?|title|not available|not reported|microsoft (word|powerpoint).*)?[\s\p{Z}]*$"

@@ -70,12 +70,11 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 class Sizer:
     """Token counts and curve keys of texts; keeps the count and the hashed place of every word it has met."""
 
-    def __init__(self, path: str = TOKENIZER, most_words: int = 500_000) -> None:
+    def __init__(self, vocabulary: bytes, most_words: int = 500_000) -> None:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = regex.compile(PATTERN).findall
         self.most, self.words = most_words, {}
@@ -113,10 +112,13 @@ class Sizer:
 
 
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """(doc_id, n_tokens, curve_key) of documents with text."""
+    """(doc_id, n_tokens, curve_key) of documents with text; the driver reads the tokenizer's file and sends it, as it is,
+    to the workers, which need no path to it."""
+    with open(path, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizer = Sizer(path)
+        sizer = Sizer(shared.value)
         for batch in batches:
             texts = batch["text"].tolist()
             for at in slices(texts):

@@ -32,7 +32,7 @@ def test_segments_and_wrong_labels_in_the_sample():
     assert [x[0] for x in L.segments_of([text], [False], d)[0]] == ["en", "de", "en"]
     assert [x[0] for x in L.segments_of([TEXTS["en"][0] + "\n\n" + TEXTS["tr"][1]], [False], d)[0]] == ["en", "tr"]
     assert [x[0] for x in L.segments_of(["Die Schulen des Landes im Herbst = The schools of the country in the district"], [True], d)[0]] == ["de", "en"]
-    assert all(0.5 <= c <= 1 for _, c in L.segments_of([text], [False], d)[0])
+    assert all(0 < c < 1 for _, c in L.segments_of([text], [False], d)[0])
 
 
 def test_edge_cases(spark):
@@ -42,3 +42,17 @@ def test_edge_cases(spark):
     got = {r["row_id"]: r for r in L.segments(df).collect() if r["row_id"] >= 900}
     assert sorted(got) == [904, 905, 906] and not got[904]["is_case"] and got[905]["is_case"] and got[905]["lang"] == "fr" and not got[906]["is_case"]
     assert L.segments(df.limit(0)).count() == 0
+
+
+def test_other_languages_are_told_apart():
+    d = decider()
+    other = ["Questa relazione descrive i risultati degli alunni nelle scuole del paese durante l'anno", "De leerlingen van de basisschool hebben vorig jaar meer gelezen dan in het jaar daarvoor", "Ученики начальной школы читали больше чем в прошлом году"]
+    assert [L.segments_of([t], [False], d)[0] for t in other] == [[("und", 0.5)]] * 3
+    mixed = TEXTS["en"][0] + " " + other[1] + ". " + TEXTS["en"][2]
+    assert [x[0] for x in L.segments_of([mixed], [False], d)[0]] == ["en", "und", "en"]
+
+
+def test_confidence_is_a_probability():
+    slope, offset = L._calibrated([0.1] * 50 + [1.5] * 50, [True, False] * 25 + [True] * 50)
+    p = lambda m: 1 / (1 + 2.718281828 ** -(slope * m + offset))
+    assert abs(p(0.1) - 0.5) < 0.05 and p(1.5) > 0.95

@@ -28,7 +28,7 @@ _SIZER = []
 
 def sizer():
     if not _SIZER:
-        _SIZER.append(P.Sizer())
+        _SIZER.append(P.Sizer(open(P.TOKENIZER, "rb").read()))
     return _SIZER[0]
 
 
