@@ -95,17 +95,28 @@ def f29c(spark, d):
     return c.groupBy(O.label_map(F.col("plausible_values_handling"), O.PV_LABELS, "Other", "Not Reported").alias("pv"), O.label_map(F.col("missing_data_handling"), O.MD_LABELS, "Other", "Not Reported").alias("md")).agg(F.count("*").alias("n"))
 
 
-_META_WORDS = _sql_words("title", O.META_LABELS)
-_VAR = f"case when {MISS.format('title')} then '[IGNORE]' {_sql_cases('title', O.VARIABLES)} when {_META_WORDS} then 'Theoretical_and_Meta_Synthesis' else 'Uncategorized_Contextual' end"
+_IGNORED = "(title is null or regexp_full_match(title, '[\\s\\p{Z}]*') or regexp_matches(lower(trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g'))), '" + O.IGNORED + "'))"
+_PROSE = "|".join(f"(?:{p})" for p in O.META_PROSE)
+_FAMILY = f"case {_sql_cases('title', O.joined(O.VARIABLES))} end"
+_CONTEXT_META = f"(trim(title) in ('{O.META_EXACT[0]}') or {_sql_words('title', O.META_LABELS)} or regexp_matches(trim(title), '(?i){_PROSE}') or lower(trim(coalesce(source_category, ''))) in {O.META_SOURCES} and (length(trim(title)) > 35 or regexp_matches(lower(trim(title)), '^(how |that |literature )')))"
+_VAR = f"select row_id, case when {_IGNORED} then '[IGNORE]' when fam = 'Self_Efficacy' and regexp_matches(title, '(?i){O.TEACHER_WORDS}') then 'Teacher_Efficacy_Workforce' when fam is not null then fam {_sql_cases('title', O.joined(O.RESOLVER))} when {_CONTEXT_META} then 'Theoretical_and_Meta_Synthesis' else 'Uncategorized_Contextual' end v from (select *, {_FAMILY} fam from metadata)"
 _METHOD = f"case when {MISS.format('technique')} then '[IGNORE]' " + " ".join(f"when {_sql_words('technique', w)} then '{l}'" for l, w in O.METHODS) + " else 'Uncategorized_Contextual' end"
 
 
-@BOOK.query("f31_canonical_variable", f"select row_id, {_VAR} canonical_variable, case when {_VAR}='Theoretical_and_Meta_Synthesis' then 'theoretical_meta_synthesis' when {_VAR} in ('[IGNORE]','Uncategorized_Contextual') then 'excluded' else 'empirical' end filter_flag from metadata")
+@BOOK.query("f31_canonical_variable", f"select row_id, v canonical_variable, case when v='Theoretical_and_Meta_Synthesis' then 'theoretical_meta_synthesis' when v in ('[IGNORE]','Uncategorized_Contextual') then 'excluded' else 'empirical_finding' end filter_flag from ({_VAR})")
 def f31(spark, d):
-    v = O.variable(F.col("title"))
+    """The variable family of every title in the context of its source, with the second pass and the synthesis test."""
+    v = O.variable(F.col("title"), source_category=F.col("source_category"))
     return table(spark, d, "metadata").select("row_id", v.alias("canonical_variable")).withColumn("filter_flag", O.filter_flag(F.col("canonical_variable")))
 
 
+@BOOK.query("f32_meta_labels", f"select corpus, count(*) n, sum({_CONTEXT_META}::int)::bigint n_meta from metadata where title is not null and trim(title) != '' group by 1")
+def f32(spark, d):
+    """Labels of a synthesis: exact, by substring, by prose, or by the source of their document."""
+    m = table(spark, d, "metadata").where("title is not null and trim(title) != ''")
+    return m.groupBy("corpus").agg(F.count("*").alias("n"), F.sum(O.meta_label(F.col("title"), source_category=F.col("source_category")).cast("int")).alias("n_meta"))
+
+
 @BOOK.query("f33_canonical_method", f"select row_id, {_METHOD} canonical_method from core_ml_techniques_all")
 def f33(spark, d):
     return table(spark, d, "core_ml_techniques_all").select("row_id", O.method(F.col("technique")).alias("canonical_method"))

@@ -42,7 +42,7 @@ def test_sections(spark):
     assert values(spark, [text], T.before_references)[0].endswith("z\n")
 
 
-@pytest.mark.parametrize(("label", "want"), [("Expected electoral participation (ELECPART)", "Civic_Engagement"), ("Social segregation across schools (Dissimilarity Index D)", "School_Efficiency_Climate"), ("Q-matrix recovery rate (QRR)", "Assessment_Methodology"), ("Log hourly wages", "Labor_Market_Outcomes"), ("Primary study outcome (heuristic migration)", O.META), ("N/A: none", O.IGNORE), (None, O.IGNORE)])
+@pytest.mark.parametrize(("label", "want"), [("Expected electoral participation (ELECPART)", "Civic_Engagement"), ("Social segregation across schools (Dissimilarity Index D)", "School_Efficiency_Climate"), ("Q-matrix recovery rate (QRR)", "Assessment_Methodology"), ("Log hourly wages", "Labor_Market_Outcomes"), ("Automation risk (individual-level, 0–1)", "Labor_Market_Outcomes"), ("Boredom (ATM scale)", "Wellbeing_Psychological"), ("Political knowledge", "Civic_Engagement"), ("Literature synthesis outcome (not student-level prediction)", O.META), ("Mathematics achievement (PV1MATH)", "Math_Achievement"), ("Self-efficacy in TALIS profession", "Teacher_Efficacy_Workforce"), ("Algebra items", "Math_Achievement"), ("No such thing", O.UNCATEGORIZED), ("  ", O.IGNORE), ("knowledge", O.META), ("Primary study outcome (heuristic migration)", O.META), ("N/A: none", O.IGNORE), (None, O.IGNORE)])
 def test_variable_families(spark, label, want):
     assert values(spark, [label], O.variable) == [want]
 
@@ -157,3 +157,15 @@ def test_all_signals_of_a_text(spark):
     names = ("programs", "construct", "outcome", "effect_type", "analysis_level")
     got = {n: values(spark, [text, "nothing"], lambda c, n=n: O.signals(F.lower(c))[n]) for n in names}
     assert got == {"programs": ["TIMSS_G4|TIMSS", ""], "construct": ["HOME_RESOURCES", "UNMATCHED"], "outcome": ["reading_achievement", "unspecified"], "effect_type": ["predictive", "associative"], "analysis_level": ["country", "student"]}
+
+
+def test_synthesis_labels_by_text_and_by_context(spark):
+    framework, study = F.lit("Technical/Assessment Framework"), F.lit("Empirical Traditional")
+    label = "how TIMSS 2019 sampling weights are applied in national reports"
+    assert values(spark, [label], lambda c: O.variable(c, study_filter=framework)) == [O.META]
+    assert values(spark, ["Mathematics achievement (PV1MATH)"], lambda c: O.variable(c, study_filter=study)) == ["Math_Achievement"]
+    assert values(spark, ["83% of between-school variance and 33% of between-student variance achievement", "plain", None, " "], O.meta_label) == [True, False, False, False]
+    long = "x" * 60
+    assert values(spark, [long, "short"], lambda c: O.meta_label(c, document_class=F.lit("technical_report"))) == [True, False]
+    assert values(spark, [long, "short", "how so"], lambda c: O.meta_label(c, source_category=F.lit("review_article"))) == [True, False, True]
+    assert values(spark, [O.META, "SES", O.IGNORE], O.filter_flag) == ["theoretical_meta_synthesis", "empirical_finding", "excluded"]
