@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
+
 
 def previous_cycles(panel: DataFrame, program: list[str], cycle: str = "cycle") -> DataFrame:
     """(program..., cycle, previous) for the distinct cycles of each programme."""
@@ -24,20 +26,21 @@ def lag_observed(panel: DataFrame, keys: list[str], value: str, out: str, cycle:
 def lag_cycle(panel: DataFrame, program: list[str], country: str, value: str, out: str, cycle: str = "cycle") -> DataFrame:
     """The value in the previous cycle of the programme; null where the country took no part or the value is not finite."""
     before = panel.select(*program, country, F.col(cycle).alias("previous"), F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col(value)).alias(out))
-    return panel.join(F.broadcast(previous_cycles(panel, program, cycle)), [*program, cycle]).join(before, [*program, country, "previous"], "left").drop("previous")
+    return panel.join(broadcast_if_small(previous_cycles(panel, program, cycle)), [*program, cycle]).join(before, [*program, country, "previous"], "left").drop("previous")
 
 
 def fixed_pairs(source: DataFrame, target: DataFrame, pairs: DataFrame, country: str = "country") -> DataFrame:
     """Source rows moved to the target cycle of each (source_cycle, target_cycle) pair, with the overlap of countries."""
-    s = source.select(F.col("cycle").alias("source_cycle"), country).distinct().join(F.broadcast(pairs), "source_cycle")
+    s = source.select(F.col("cycle").alias("source_cycle"), country).distinct().join(broadcast_if_small(pairs), "source_cycle")
     t = target.select(F.col("cycle").alias("target_cycle"), country).distinct()
     both = s.join(t, ["target_cycle", country])
     return pairs.join(both.groupBy("source_cycle", "target_cycle").agg(F.count("*").alias("n_overlap"), F.array_join(F.sort_array(F.collect_set(country)), "|").alias("countries")), ["source_cycle", "target_cycle"], "left").withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0)))
 
 
-def pivot(df: DataFrame, keys: list[str], column: str, value: str, values: list, how: str = "avg", prefix: str = "") -> DataFrame:
-    """Wide columns for the given values; how is avg, first (by value order) or sum."""
-    agg = {"avg": F.avg, "first": F.min, "sum": F.sum}[how](value)
+def pivot(df: DataFrame, keys: list[str], column: str, value: str, values: list, how: str = "avg", prefix: str = "", order: str | None = None) -> DataFrame:
+    """Wide columns for the given values; how is avg, sum or first: the value that is not null in the first row by order."""
+    filled = F.when(F.col(value).isNotNull(), F.col(order)) if order else None
+    agg = {"avg": F.avg, "sum": F.sum, "first": lambda v: F.min_by(v, filled)}[how](value)
     wide = df.groupBy(*keys).pivot(column, values).agg(agg)
     return wide.select(*keys, *[F.col(str(v)).alias(f"{prefix}{v}") for v in values])
 
@@ -51,7 +54,7 @@ def folds(panel: DataFrame, program: list[str], cycle: str = "cycle", least_prio
     cycles. The fold dimension holds cycles only, so the range join is over a handful of rows per programme."""
     cycles = panel.select(*program, cycle).distinct()
     tests = cycles.alias("a").join(cycles.select(*program, F.col(cycle).alias("prior")), program).where(F.col("prior") < F.col(cycle)).groupBy(*program, cycle).agg(F.count("*").alias("n_prior")).where(F.col("n_prior") >= least_prior).select(*program, F.col(cycle).alias("test_cycle"))
-    return panel.join(F.broadcast(tests), program).where(F.col(cycle) <= F.col("test_cycle")).withColumn("role", F.when(F.col(cycle) == F.col("test_cycle"), "test").otherwise("train"))
+    return panel.join(broadcast_if_small(tests), program).where(F.col(cycle) <= F.col("test_cycle")).withColumn("role", F.when(F.col(cycle) == F.col("test_cycle"), "test").otherwise("train"))
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

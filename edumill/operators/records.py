@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import broadcast_if_small, stage
 from .components import components
 
-RECORD = """metadata STRUCT<file_name STRING, title STRING, authors STRING, year STRING, doi STRING, venue STRING, publication_type STRING, open_access STRING>,
+RECORD = """metadata STRUCT<file_name STRING, title STRING, authors STRING, year STRING, doi STRING, venue STRING, publication_type STRING, source_category STRING, open_access STRING>,
 data STRUCT<survey_design STRUCT<student_weights_used STRING, replicate_weights_used STRING, weight_variable_name STRING, weight_fields_interpretation STRING>,
-plausible_values_handling STRING, missing_data_handling STRING, sample_details STRUCT<total_students STRING, sample_filtering_criteria STRING>,
+plausible_values_handling STRING, missing_data_handling STRING, handling_not_reported_explanation STRING, research_design_type STRING, null_fields_interpretation STRING,
+sample_details STRUCT<total_students STRING, sample_filtering_criteria STRING, countries STRING>,
 ml_techniques STRUCT<`primary` STRING, all_techniques STRING>, confounders_identified ARRAY<STRUCT<variable_code STRING, variable_name STRING, category STRING>>,
 main_findings ARRAY<STRUCT<dataset_used STRING, target_variable STRING, top_predictors ARRAY<STRING>, performance_metrics STRING>>, outcome_summary STRING>"""
 
@@ -36,6 +38,42 @@ def master(records: DataFrame, key: str = "record_id") -> DataFrame:
     )
 
 
+def listed(c: Column, sep: str = ", ") -> Column:
+    """The texts of a JSON list joined, blank ones left out; any other text as it stands; null for nothing."""
+    items = F.filter(F.transform(F.from_json(c, "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    text = F.when(F.left(F.trim(c), F.lit(1)) == "[", F.array_join(items, sep)).otherwise(F.trim(c))
+    return F.when(text != "", text)
+
+
+def countries_formatted(c: Column) -> Column:
+    """CODE (n), ... of a JSON list of country objects; entries that are no objects are left out."""
+    objects = F.filter(F.from_json(c, "array<string>"), lambda x: F.left(x, F.lit(1)) == "{")
+
+    def one(x: Column) -> Column:
+        code, n = F.upper(F.trim(F.get_json_object(x, "$.country_code"))), F.trim(F.get_json_object(x, "$.n_students"))
+        label = F.when(F.coalesce(code, F.lit("")) == "", "Unknown").otherwise(code)
+        return F.when(F.coalesce(n, F.lit("")) == "", label).otherwise(F.concat(label, F.lit(" ("), n, F.lit(")")))
+
+    text = F.array_join(F.transform(objects, one), ", ")
+    return F.when((F.left(F.trim(c), F.lit(1)) == "[") & (text != ""), text)
+
+
+def master_full(records: DataFrame, key: str = "record_id", corpus: str = "corpus") -> DataFrame:
+    """The flat projection of a record in 27 columns, values as they were extracted, lists joined."""
+    m, d = "r.metadata", "r.data"
+    plain = {
+        "file_name": f"{m}.file_name", "doi": f"{m}.doi", "title": f"{m}.title", "year": f"{m}.year", "publication_type": f"{m}.publication_type", "source_category": f"{m}.source_category", "venue": f"{m}.venue", "open_access": f"{m}.open_access",
+        "student_weights_used": f"{d}.survey_design.student_weights_used", "replicate_weights_used": f"{d}.survey_design.replicate_weights_used", "weight_variable_name": f"{d}.survey_design.weight_variable_name", "weight_fields_interpretation": f"{d}.survey_design.weight_fields_interpretation",
+        "plausible_values_handling": f"{d}.plausible_values_handling", "missing_data_handling": f"{d}.missing_data_handling", "handling_not_reported_explanation": f"{d}.handling_not_reported_explanation", "research_design_type": f"{d}.research_design_type", "outcome_summary": f"{d}.outcome_summary",
+        "null_fields_interpretation": f"{d}.null_fields_interpretation", "ml_primary": f"{d}.ml_techniques.primary", "total_students": f"{d}.sample_details.total_students", "sample_filtering_criteria": f"{d}.sample_details.sample_filtering_criteria",
+    }
+    given = F.col(f"{d}.sample_details.countries")
+    return records.select(
+        key, *[F.col(path).alias(name) for name, path in plain.items()], listed(F.col(f"{m}.authors")).alias("authors"), listed(F.col(f"{d}.ml_techniques.all_techniques")).alias("ml_all_techniques"),
+        F.col(corpus).alias("corpus_source"), F.concat(F.lit("record/"), F.col(key).cast("string")).alias("json_source_path"), countries_formatted(given).alias("countries_formatted"), F.when(~F.trim(given).isin("", "[]", "{}"), given).alias("countries_json"),
+    )
+
+
 def findings(records: DataFrame, key: str = "record_id") -> DataFrame:
     """One row per finding with a target, numbered from 1 in written order, with at most five predictors."""
     f = records.select(key, F.posexplode("r.data.main_findings").alias("pos", "f")).where("f.target_variable is not null")
@@ -66,11 +104,16 @@ def completeness(technical: Column) -> Column:
 
 
 def linked_copies(rows: DataFrame, key: str, name: Column, doi: Column) -> DataFrame:
-    """(key, component): rows joined by equal folded name or equal DOI, directly or through others."""
-    keyed = rows.select(key, T.fold(name).alias("n"), F.lower(T.doi_bare(doi)).alias("d"))
+    """(key, component): rows joined by equal folded name or equal DOI, directly or through others.
+
+    A name that rows of different DOIs carry is shared by unrelated articles and joins nothing.
+    """
+    keyed = stage(rows.select(key, T.fold(name).alias("n"), F.lower(T.doi_bare(doi)).alias("d")), "copy-keys")
+    shared = keyed.where("n != ''").groupBy("n").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("n")
+    own = keyed.join(broadcast_if_small(stage(shared, "shared-names")), "n", "left_anti")
     edges = None
-    for tag, col in (("n", "n"), ("d", "d")):
-        part = keyed.where(f"{col} is not null and {col} != ''").select(F.col(key).alias("u"), F.concat(F.lit(tag), F.col(col)).alias("k"))
+    for tag, part in (("n", own), ("d", keyed)):
+        part = part.where(f"{tag} is not null and {tag} != ''").select(F.col(key).alias("u"), F.concat(F.lit(tag), F.col(tag)).alias("k"))
         edges = part if edges is None else edges.unionByName(part)
     heads = edges.groupBy("k").agg(F.min("u").alias("v"), F.count("*").alias("c")).where("c > 1").select("k", "v")
     groups = components(edges.join(heads, "k").select("u", "v"))

@@ -8,7 +8,7 @@ from ..functions import ontology as O
 from ..functions import text as T
 from ..operators import records as R
 from ..operators import synthesis as Y
-from ..session import table
+from ..session import broadcast_if_small, table
 from .base import Book, r6
 from .textual import MISS
 
@@ -150,6 +150,35 @@ def p01(spark, d):
     return R.master(_records(spark, d)).select("record_id", "file_name", "title", F.col("year").alias("pub_year"), "doi", "plausible_values_handling")
 
 
+def _path(name: str) -> str:
+    return f"j->>'$.{name}'"
+
+
+_PLAIN = {
+    "file_name": "metadata.file_name", "doi": "metadata.doi", "title": "metadata.title", "year": "metadata.year", "publication_type": "metadata.publication_type", "source_category": "metadata.source_category", "venue": "metadata.venue", "open_access": "metadata.open_access",
+    "student_weights_used": "data.survey_design.student_weights_used", "replicate_weights_used": "data.survey_design.replicate_weights_used", "weight_variable_name": "data.survey_design.weight_variable_name", "weight_fields_interpretation": "data.survey_design.weight_fields_interpretation",
+    "plausible_values_handling": "data.plausible_values_handling", "missing_data_handling": "data.missing_data_handling", "handling_not_reported_explanation": "data.handling_not_reported_explanation", "research_design_type": "data.research_design_type", "outcome_summary": "data.outcome_summary",
+    "null_fields_interpretation": "data.null_fields_interpretation", "ml_primary": "data.ml_techniques.primary", "total_students": "data.sample_details.total_students", "sample_filtering_criteria": "data.sample_details.sample_filtering_criteria",
+}
+
+
+def _joined(path: str) -> str:
+    items = f"list_filter(list_transform(json_extract(try_cast({_path(path)} as json),'$[*]'), lambda x: trim(x->>'$')), lambda x: x is not null and x != '')"
+    return f"nullif(case when left(trim({_path(path)}),1)='[' then array_to_string({items},', ') else trim({_path(path)}) end,'')"
+
+
+_WITH_CORPUS = "select a.record_id, corpus, payload::json j from article_records a where json_valid(payload) and json_type(payload::json)='OBJECT' and json_type(payload::json,'$.metadata')='OBJECT' and json_type(payload::json,'$.data')='OBJECT'"
+_COUNTRIES = _path("data.sample_details.countries")
+_FORMATTED = f"""case when left(trim({_COUNTRIES}),1)='[' then nullif(array_to_string(list_transform(list_filter(json_extract(try_cast({_COUNTRIES} as json),'$[*]'), lambda x: json_type(x)='OBJECT'),
+ lambda x: coalesce(nullif(upper(trim(x->>'$.country_code')),''),'Unknown')||case when coalesce(trim(x->>'$.n_students'),'')='' then '' else ' ('||trim(x->>'$.n_students')||')' end),', '),'') end"""
+
+
+@BOOK.query("p01_master_full", f"select record_id, {', '.join(_path(p) + ' as "' + n + '"' for n, p in _PLAIN.items())}, {_joined('metadata.authors')} authors, {_joined('data.ml_techniques.all_techniques')} ml_all_techniques, corpus corpus_source, 'record/'||record_id json_source_path, {_FORMATTED} countries_formatted, case when trim({_COUNTRIES}) not in ('','[]','{{}}') then {_COUNTRIES} end countries_json from ({_WITH_CORPUS})")
+def p01_full(spark, d):
+    """All 27 columns of the master table."""
+    return R.master_full(R.parsed(table(spark, d, "article_records").select("record_id", "corpus", "payload")))
+
+
 @BOOK.query("r06_findings", f"with e as (select record_id, json_extract(j, '$.data.main_findings[*]') l from ({_J}) where json_type(j,'$.data.main_findings')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int finding_index from e) select record_id, finding_index, f->>'$.dataset_used' dataset_used, f->>'$.target_variable' target_variable, f->>'$.performance_metrics' performance_metrics from x where f->>'$.target_variable' is not null")
 def r06(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", "dataset_used", "target_variable", "performance_metrics")
@@ -191,7 +220,16 @@ def f39(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", T.metrics(F.coalesce("performance_metrics", F.lit(""))).alias("metrics"))
 
 
-@BOOK.query("r07_predictor_evidence", None)
+def _cases(expr: str, rules) -> str:
+    return " ".join(f"when regexp_matches({expr},'(?i){p}') then '{l}'" for l, p in rules)
+
+
+_CATEGORY = "case lower(category) " + " ".join(f"when '{k}' then '{v}'" for k, v in O.PREDICTOR_CATEGORIES.items()) + f" else case {_cases('lower(predictor)', O.PREDICTOR_WORDS)} else 'Student: Attitudinal/Behavioral' end end"
+
+
+@BOOK.query("r07_predictor_evidence", f"""with f as (select record_id, i finding_index, f->>'$.target_variable' t, list_slice(json_extract(f,'$.top_predictors[*]'),1,5) p from ({_listed('main_findings')} select * from x) where f->>'$.target_variable' is not null),
+x as (select record_id, finding_index, unnest(p)->>'$' predictor, generate_subscripts(p,1)::int rank from f), c as (select record_id, lower(f->>'$.variable_name') k, min(f->>'$.category') category from ({_listed('confounders_identified')} select * from x) group by all)
+select x.record_id, finding_index, rank, predictor, case {_cases('predictor', O.PREDICTORS)} else 'OTHER' end construct, {_CATEGORY} category from x left join c on c.record_id = x.record_id and c.k = lower(predictor)""")
 def r07(spark, d):
     """Predictors of every finding with their rank, and the matched confounder's category."""
     f = R.findings(_records(spark, d)).select("record_id", "finding_index", "target_variable", F.posexplode("top_predictors").alias("pos", "predictor"))
@@ -200,12 +238,18 @@ def r07(spark, d):
     return j.select("record_id", "finding_index", (F.col("pos") + 1).alias("rank"), "predictor", O.first_match(F.col("predictor"), O.PREDICTORS, "OTHER").alias("construct"), O.predictor_category(F.col("predictor"), F.col("category")).alias("category"))
 
 
-@BOOK.query("d01_linked_copies", None)
+_FOLDED = f"regexp_replace(translate(lower(file_name),'{T._MARKED}','{T._FOLDED}'),'[^a-z0-9]','','g')"
+
+
+@BOOK.query("d01_linked_copies", f"""with recursive m as (select row_id, corpus, file_name, {_FOLDED} n, case when regexp_matches(doi,'10\\.[0-9]{{4,9}}/\\S+') then lower(regexp_replace(trim(regexp_replace(doi,'[\\s.,;)]+$','')),'(?i)^(https?://(dx\\.)?doi\\.org/|doi:?\\s*)','')) end d from metadata),
+shared as (select n from m where n != '' group by 1 having min(d) < max(d)), e as (select row_id u, 'n'||n k from m where n != '' and n not in (select n from shared) union all select row_id, 'd'||d from m where d != ''),
+l as (select distinct a.u, b.u v from e a join e b using (k) where a.u != b.u), reach as (select row_id u, row_id c from m union select l.v, reach.c from reach join l on l.u = reach.u where reach.c < l.v),
+g as (select u row_id, min(c) component from reach group by 1)
+select component, count(*) n_rows, arg_min(row_id, (coalesce(trust_rank,99), -length(coalesce(file_name,'')), row_id)) best_row_id from m join g using (row_id) left join corpus_trust using (corpus) group by 1""")
 def d01(spark, d):
-    """Articles of metadata linked by folded file name or DOI, and the row that stands for each."""
-    m = table(spark, d, "metadata").select("row_id", "corpus", "file_name", "doi")
-    real = m.select("row_id", "corpus", "file_name", F.when(~F.coalesce(F.lower(F.trim("file_name")) == "fulltext.pdf", F.lit(True)), F.col("file_name")).alias("own"), F.when(F.col("doi").rlike(r"10\.[0-9]{4,9}/\S+"), F.regexp_replace("doi", r"[\s.,;)]+$", "")).alias("real_doi"))
-    groups = R.linked_copies(real, "row_id", F.col("own"), F.col("real_doi"))
-    ranked = real.join(groups, "row_id").join(F.broadcast(table(spark, d, "corpus_trust")), "corpus", "left")
+    """Articles of metadata linked by folded file name or DOI, and the row that stands for each."""
+    m = table(spark, d, "metadata").select("row_id", "corpus", "file_name", F.when(F.col("doi").rlike(r"10\.[0-9]{4,9}/\S+"), F.regexp_replace("doi", r"[\s.,;)]+$", "")).alias("doi"))
+    groups = R.linked_copies(m, "row_id", F.col("file_name"), F.col("doi"))
+    ranked = m.join(groups, "row_id").join(broadcast_if_small(table(spark, d, "corpus_trust")), "corpus", "left")
     order = F.struct(F.coalesce("trust_rank", F.lit(99)).alias("rank"), (-F.length(F.coalesce("file_name", F.lit("")))).alias("len"), F.col("row_id"))
     return ranked.groupBy("component").agg(F.count("*").alias("n_rows"), F.min(order).alias("best")).select("component", "n_rows", F.col("best.row_id").alias("best_row_id"))

@@ -21,14 +21,23 @@ def f06(spark, d):
     return p.select("file_id", X.title_from_text(F.col("raw_text")).alias("title"))
 
 
-@BOOK.query("f07_title_from_file_name", r"select row_id, case when length(s)>=15 then s end title from (select row_id, trim(regexp_replace(regexp_replace(trim(file_name),'(?i)\.pdf$',''),'^\d+\.\s*','')) s from metadata where file_name is not null)")
+@BOOK.query("f07_title_from_file_name", r"with s as (select row_id, trim(regexp_replace(regexp_replace(trim(file_name),'(?i)\.pdf$',''),'^\d+\.\s*','')) s from metadata where file_name is not null), a as (select *, trim(regexp_extract(s,'^.+?\(\d{4}\)\.\s*(.+)$',1)) a from s) select row_id, case when a != '' then case when length(a)>=10 then a end when regexp_matches(s,'(?i)^978\d{10,13}(-en)?$') then 'OECD publication '||s when regexp_matches(s,'(?i)^[\da-f]{6,12}-en$') then 'OECD document '||s when length(s)>=15 then s end title from a")
 def f07(spark, d):
     return table(spark, d, "metadata").where("file_name is not null").select("row_id", X.title_from_file_name(F.col("file_name")).alias("title"))
 
 
-@BOOK.query("f10_condensed_labels", r"with t as (select distinct title from metadata where title is not null), a as (select title, trim(regexp_replace(trim(regexp_replace(trim(title),'(?i)^the\s+','')),'(?i)^students?''?\s+','')) s from t where not contains(title,'(') and not contains(title,')')) select title, array_to_string(string_split_regex(s,'\s+')[1:8],' ') label from a")
+def _condensed(col: str, words: int = 8) -> str:
+    """SQL of repair.condensed."""
+    n = lambda sign: f"(length(trim({col}))-length(replace(trim({col}),'{sign}','')))"
+    s = f"case when {n('(')}<{n(')')} then trim(regexp_replace(trim({col}),'\\)+$','')) when {n('(')}>{n(')')} then trim({col})||repeat(')',{n('(')}-{n(')')}) else trim({col}) end"
+    for start in (r"(?i)^the\s+", r"(?i)^teacher[- ]related\s+variables\s+such\s+as\s+(?:the\s+)?", r"(?i)^students?''?\s+", r"(?i)^student''?s?\s+"):
+        s = f"trim(regexp_replace({s},'{start}',''))"
+    return f"coalesce(nullif(array_to_string(list_slice(string_split_regex({s},'\\s+'),1,{words}),' '),''),trim({col}))"
+
+
+@BOOK.query("f10_condensed_labels", f"select distinct title, {_condensed('title')} label from metadata where title is not null")
 def f10(spark, d):
-    m = table(spark, d, "metadata").where("title is not null and not contains(title, '(') and not contains(title, ')')").select("title").distinct()
+    m = table(spark, d, "metadata").where("title is not null").select("title").distinct()
     return m.select("title", X.condensed(F.col("title")).alias("label"))
 
 
