@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 from .rules import contains_any, first_match
 from .text import is_missing, slug
 
@@ -106,7 +107,7 @@ def confounder_category(category: Column, name: Column, code: Column) -> Column:
 
 
 def conclusion(dataset: Column, predictors: Column, target: Column, given: Column) -> Column:
-    """A sentence that names data, inputs, target and result, with a clause on its meaning."""
+    """A sentence that names data, inputs, target and result, with a clause on its meaning; its wording is fixed output."""
     inputs = F.when(F.size(predictors) > 0, F.array_join(F.slice(predictors, 1, 3), ", ")).otherwise("the reported predictors")
     effect = F.regexp_replace(F.regexp_replace(F.trim(given), r"\.+$", ""), r"(?i)^(the study found that |finding that |the study found )", "")
     effect = F.when(is_missing(given), "results were reported without a clear narrative conclusion in the manuscript").otherwise(effect)
@@ -161,7 +162,7 @@ def countries_in(df: DataFrame, key: str, text: str, names: DataFrame, most: int
         n = F.greatest(F.size("w") - (k - 1), F.lit(0))
         runs.append(F.zip_with(F.slice(runs[-1], F.lit(1), n), F.slice("w", F.lit(k), n), lambda x, y: F.concat_ws(" ", x, y)))
     terms = found.select(key, F.explode(F.array_distinct(F.concat(*runs, "c"))).alias("term"))
-    hits = terms.join(F.broadcast(dim), "term").groupBy(key, "code").agg(F.max("long").alias("long"))
+    hits = terms.join(broadcast_if_small(dim), "term").groupBy(key, "code").agg(F.max("long").alias("long"))
     kept = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("long")).alias("l"), "code"))), 1, most)
     return hits.groupBy(key).agg(F.sort_array(F.transform(kept, lambda x: x["code"])).alias("codes"))
 

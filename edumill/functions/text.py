@@ -49,9 +49,10 @@ def doi_candidates(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda x: F.lower(F.regexp_replace(x, r"[.,;:)>\]}]+$", ""))), lambda x: F.length(x) >= 12))
 
 
-def document_doi(c: Column, head: int = 25_000, tail: int = 10_000) -> Column:
-    """The first DOI of the head of a text, else of its tail."""
-    return F.coalesce(F.try_element_at(doi_candidates(F.substring(c, 1, head)), F.lit(1)), F.try_element_at(doi_candidates(F.right(c, F.lit(tail))), F.lit(1)))
+def document_doi(c: Column, head: int = 25_000, tail: int = 10_000, whole: int = 120_000) -> Column:
+    """The first DOI of the head of a text, else of its tail, else of the whole text if it is not longer than whole."""
+    first = lambda t: F.try_element_at(doi_candidates(t), F.lit(1))
+    return F.coalesce(first(F.substring(c, 1, head)), first(F.right(c, F.lit(tail))), first(F.when(F.length(c) <= whole, c)))
 
 
 def token_estimate(c: Column) -> Column:

@@ -74,6 +74,17 @@ def master_full(records: DataFrame, key: str = "record_id", corpus: str = "corpu
     )
 
 
+def sentinels(master_rows: DataFrame, fills: dict[str, str], flags: tuple[str, ...], key: str = "record_id") -> DataFrame:
+    """Blank cells of the master columns get their sentinel; flags become TRUE, FALSE or UNKNOWN, another word stays; the
+    primary technique is the first of the list where it is blank."""
+    filled = [F.when(T.is_blank(F.col(c)), v).otherwise(F.col(c)).alias(c) for c, v in fills.items()]
+    low = lambda c: F.lower(c)
+    told = [F.when(T.is_blank(F.col(c)), "UNKNOWN").when(low(c) == "true", "TRUE").when(low(c) == "false", "FALSE").otherwise(F.col(c)).alias(c) for c in flags]
+    first = F.trim(F.split("ml_all_techniques", ",")[0])
+    primary = F.when(~T.is_blank(F.col("ml_primary")), F.col("ml_primary")).otherwise(F.coalesce(F.when(first != "", first), F.lit("Not reported in extraction")))
+    return master_rows.select(key, *filled, *told, primary.alias("ml_primary"))
+
+
 def findings(records: DataFrame, key: str = "record_id") -> DataFrame:
     """One row per finding with a target, numbered from 1 in written order, with at most five predictors."""
     f = records.select(key, F.posexplode("r.data.main_findings").alias("pos", "f")).where("f.target_variable is not null")

@@ -10,7 +10,7 @@ from ..operators import records as R
 from ..operators import synthesis as Y
 from ..session import broadcast_if_small, table
 from .base import Book, r6
-from .textual import MISS
+from .textual import BLANK, MISS, variable_sql
 
 BOOK = Book()
 
@@ -179,6 +179,19 @@ def p01_full(spark, d):
     return R.master_full(R.parsed(table(spark, d, "article_records").select("record_id", "corpus", "payload")))
 
 
+_MASTER = BOOK.sql["p01_master_full"]
+_OPEN = "case when {0} then 'UNKNOWN' when lower(\"{1}\")='true' then 'TRUE' when lower(\"{1}\")='false' then 'FALSE' else \"{1}\" end"
+_FILLS = {c: "UNKNOWN — not in extraction" for c in ("doi", "venue", "authors")} | {"countries_formatted": "No country breakdown reported"} | {c: "Not reported in extraction" for c in ("research_design_type", "publication_type", "source_category", "weight_variable_name", "total_students")}
+_FLAGS = ("open_access", "student_weights_used", "replicate_weights_used")
+_FIRST = f"case when not {BLANK.format('ml_primary')} then ml_primary else coalesce(nullif(trim(string_split(ml_all_techniques,',')[1]),''),'Not reported in extraction') end"
+
+
+@BOOK.query("p04_sentinel_master", "select record_id, " + ", ".join(f'case when {BLANK.format(chr(34) + c + chr(34))} then {v!r} else "{c}" end as "{c}"' for c, v in _FILLS.items()) + ", " + ", ".join(_OPEN.format(BLANK.format(c), c) + f" as {c}" for c in _FLAGS) + f", {_FIRST} ml_primary from ({_MASTER})")
+def p04_master(spark, d):
+    """The sentinel fill of all master columns that have one; nothing is imputed."""
+    return R.sentinels(p01_full(spark, d), _FILLS, _FLAGS)
+
+
 @BOOK.query("r06_findings", f"with e as (select record_id, json_extract(j, '$.data.main_findings[*]') l from ({_J}) where json_type(j,'$.data.main_findings')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int finding_index from e) select record_id, finding_index, f->>'$.dataset_used' dataset_used, f->>'$.target_variable' target_variable, f->>'$.performance_metrics' performance_metrics from x where f->>'$.target_variable' is not null")
 def r06(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", "dataset_used", "target_variable", "performance_metrics")
@@ -253,3 +266,47 @@ def d01(spark, d):
     ranked = m.join(groups, "row_id").join(broadcast_if_small(table(spark, d, "corpus_trust")), "corpus", "left")
     order = F.struct(F.coalesce("trust_rank", F.lit(99)).alias("rank"), (-F.length(F.coalesce("file_name", F.lit("")))).alias("len"), F.col("row_id"))
     return ranked.groupBy("component").agg(F.count("*").alias("n_rows"), F.min(order).alias("best")).select("component", "n_rows", F.col("best.row_id").alias("best_row_id"))
+
+
+_DOMAINS = " ".join(f"when '{k}' then '{v}'" for k, v in O.POLICY_DOMAINS.items())
+_LEVER = "case dom " + " ".join(f"when '{k}' then '{v}'" for k, v in O.POLICY_LEVERS.items()) + " else lower(dom) end"
+_WORDS = f"regexp_matches(concat_ws(' ', j->>'$.metadata.title', j->>'$.data.outcome_summary'), '(?i){O.POLICY_WORDS}')"
+
+
+def _trend_sql(col: str) -> str:
+    n = lambda ps: "(" + "+".join(f"regexp_matches(lower({col}),'{p}')::int" for p in ps) + ")"
+    return f"case when {MISS.format(col)} then 'Null' when {n(O.POSITIVE)} > {n(O.NEGATIVE)} then 'Positive' when {n(O.NEGATIVE)} > {n(O.POSITIVE)} then 'Negative' else 'Null' end"
+
+
+@BOOK.query("a23_policy_records", f"""with r as ({_WITH_CORPUS}), b as (select record_id, {_WORDS} pol, {_trend_sql("(j->>'$.data.outcome_summary')")} trend, coalesce(list_filter(list_transform(json_extract(try_cast({_COUNTRIES} as json),'$[*]'), lambda x: upper(trim(x->>'$.country_code'))), lambda c: c != ''), []) cs from r),
+c as (select record_id, unnest(json_extract(j,'$.data.confounders_identified[*]'))->>'$.variable_name' x from r), f as (select record_id, unnest(json_extract(j,'$.data.main_findings[*]'))->>'$.target_variable' x from r),
+v as (select record_id, {variable_sql('x')} v, 1 is_conf from c union all select record_id, {variable_sql('x')}, 0 from f where x is not null),
+s as (select record_id, case v {_DOMAINS} end dom, v, is_conf, trend from v join b using (record_id) where v not in ({', '.join(repr(x) for x in O.OUTCOMES)})),
+g as (select record_id, dom, count(distinct case when is_conf=1 then v end) nc, sum(1-is_conf) nf, sum(((1-is_conf)=1 and trend='Positive')::int) p, sum(((1-is_conf)=1 and trend='Negative')::int) n, sum(((1-is_conf)=1 and trend='Null')::int) z, coalesce(nullif(string_agg(distinct case when is_conf=1 then v end, ', ' order by case when is_conf=1 then v end),''), '{O.NOT_STATED}') sup from s where dom is not null group by 1,2),
+h as (select b.record_id, dom, pol, nc, nf, p, n, z, sup, unnest(case when len(cs)=0 then ['{O.INTERNATIONAL}'] else list_sort(list_distinct(cs)) end) country, case when dom is null then '{O.NOT_STATED}' when p=0 and n=0 then (case when z>0 then 'Descriptive / Null' else 'Not Reported' end) when n=0 then 'Improving (positive predictor)' when p=0 then 'Corrective (negative association)' else 'Mixed / Context-dependent' end dir from b left join g using (record_id)),
+k as (select *, case when dom is null then '{O.NOT_STATED}' {' '.join(f"when starts_with(dir,'{a}') then replace('{f}','%s',{_LEVER})" for a, f in O.POLICY_ACTIONS)} else '{O.NOT_STATED}' end act from h)
+select record_id, country, coalesce(dom,'{O.NOT_STATED}') policy_domain, dir direction, act recommended_action, coalesce(sup,'{O.NOT_STATED}') supporting_variables, coalesce(p,0)||'/'||coalesce(n,0)||'/'||coalesce(z,0) trend_counts,
+ case when dom is null then 0.0 else round(least((case when nc>0 then least(0.30+0.05*(nc-1),0.45) else 0.0 end)+(case when nf>0 then least(0.15+0.05*(nf-1),0.30) else 0.0 end)+(case when p+n>0 then 0.15 else 0.0 end)+(case when pol then 0.10 else 0.0 end),1.0),2) end::double confidence,
+ case when dom is null then '{O.NOT_STATED}' else (case when country='{O.INTERNATIONAL}' then 'Cross-country' else country end)||': '||lower(act) end context from k""")
+def a23_records(spark, d):
+    """Policy insights of every record and country: signals of confounders and findings by domain, direction, confidence,
+    action; a record without a signal keeps a row that says so."""
+    r = _records(spark, d)
+    codes = F.filter(F.transform(F.from_json("r.data.sample_details.countries", "array<string>"), lambda x: F.upper(F.trim(F.get_json_object(x, "$.country_code")))), lambda c: c != "")
+    base = r.select("record_id", F.coalesce(codes, F.array().cast("array<string>")).alias("cs"), F.concat_ws(" ", "r.metadata.title", "r.data.outcome_summary").rlike("(?i)" + O.POLICY_WORDS).alias("pol"), O.trend(F.col("r.data.outcome_summary")).alias("trend"))
+    c = r.select("record_id", F.explode("r.data.confounders_identified").alias("c")).select("record_id", O.variable(F.col("c.variable_name")).alias("v"), F.lit(1).alias("is_conf"))
+    f = r.select("record_id", F.explode("r.data.main_findings").alias("f")).where("f.target_variable is not null").select("record_id", O.variable(F.col("f.target_variable")).alias("v"), F.lit(0).alias("is_conf"))
+    domain = F.create_map(*[F.lit(x) for kv in O.POLICY_DOMAINS.items() for x in kv])
+    s = c.unionByName(f).where(~F.col("v").isin(*O.OUTCOMES)).withColumn("dom", F.try_element_at(domain, F.col("v"))).where("dom is not null").join(base.select("record_id", "trend"), "record_id")
+    conf, found = F.when(F.col("is_conf") == 1, F.col("v")), F.when(F.col("is_conf") == 0, F.col("trend"))
+    g = s.groupBy("record_id", "dom").agg(F.countDistinct(conf).alias("nc"), F.count(found).alias("nf"), *[F.sum(F.coalesce((found == t).cast("int"), F.lit(0))).alias(a) for a, t in (("p", "Positive"), ("n", "Negative"), ("z", "Null"))], F.array_join(F.sort_array(F.collect_set(conf)), ", ").alias("sup"))
+    none, stated = F.col("dom").isNull(), F.lit(O.NOT_STATED)
+    places = F.when(F.size("cs") == 0, F.array(F.lit(O.INTERNATIONAL))).otherwise(F.array_sort(F.array_distinct("cs")))
+    h = base.join(g, "record_id", "left").withColumn("country", F.explode(places)).withColumn("direction", F.when(none, stated).otherwise(O.policy_direction(F.col("p"), F.col("n"), F.col("z"))))
+    k = h.withColumn("recommended_action", F.when(none, stated).otherwise(O.policy_action(F.col("dom"), F.col("direction"))))
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("string")
+    return k.select(
+        "record_id", "country", F.coalesce("dom", stated).alias("policy_domain"), "direction", "recommended_action", F.when(F.coalesce(F.col("sup"), F.lit("")) == "", stated).otherwise(F.col("sup")).alias("supporting_variables"),
+        F.concat_ws("/", zero("p"), zero("n"), zero("z")).alias("trend_counts"), F.when(none, 0.0).otherwise(O.policy_confidence(F.col("nc"), F.col("nf"), F.col("p") + F.col("n") > 0, F.col("pol"))).alias("confidence"),
+        F.when(none, stated).otherwise(F.concat(F.when(F.col("country") == O.INTERNATIONAL, "Cross-country").otherwise(F.col("country")), F.lit(": "), F.lower("recommended_action"))).alias("context"),
+    )

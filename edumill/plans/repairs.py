@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ontology as O
 from ..functions import repair as X
 from ..functions import text as T
 from ..operators import records as R
 from ..session import table
 from .base import Book
-from .evidence import _J, _listed, _records
+from .evidence import _J, _listed, _records, BOOK as EVIDENCE, CUBE, coded
 from .textual import MISS, _sql_cases
 
 BOOK = Book()
@@ -41,7 +42,27 @@ def f10(spark, d):
     return m.select("title", X.condensed(F.col("title")).alias("label"))
 
 
-@BOOK.query("f15_confounder_categories")
+def _any(col: str, words) -> str:
+    return "(" + " or ".join(f"contains({col},'{w}')" for w in words) + ")"
+
+
+def _f15_sql() -> str:
+    n, c = "lower(coalesce(variable_name,''))", "lower(trim(coalesce(variable_code,'')))"
+    kept = f"({_any(n, X.KEPT_WORDS)} or {c} in ('votat','sequence_length','seq_length'))"
+    micro = f"(regexp_matches({c},'^-?\\d+_-?\\d+_-?\\d+$') or {c} in ('start','end','reset','click') or regexp_matches({c},'^(tfidf_|word2vec_|w2v_)|\\d+_\\d+_') or {_any(n, X.MICRO_WORDS)} or {_any(c, X.MICRO_WORDS)} or regexp_matches({n},'\\d+_\\d+_-?\\d+'))"
+    up = "upper(trim(coalesce(variable_code,'')))"
+    weight = f"({up} != '' and (regexp_matches({up},'WGT$|^W_|^(TOTWGT|FSTUWT|SCHWGT|HOUWGT|SENWGT|MATWGT|SCIWGT|REAWGT)$') or {_any(n, X.WEIGHT_NAMES)}))"
+    t = "trim(coalesce(variable_code,''))"
+    invented = f"({t} != '' and not regexp_full_match({t},'[A-Z][A-Z0-9_]+') and (regexp_matches({t},'(?i)[:;/ ]|\\band\\b') or regexp_matches({t},'(?i)meta[-_]?cognit') or lower({t}) in ('remembering','understanding')))"
+    bracket = "regexp_extract(concat_ws(' ', label, variable_code),'\\(([A-Z][A-Z0-9_]{2,})\\)',1)"
+    slug = "coalesce(nullif(left(regexp_replace(regexp_replace(lower(label),'[^a-z0-9]+','_','g'),'^_+|_+$','','g'),48),''),'unnamed_variable')"
+    made = f"case when regexp_matches(concat_ws(' ', variable_code, label),'(?i)\\b(meta[- ]?cognit\\w*|understanding|remembering)\\b') and not {MISS.format('variable_code')} then 'UNDREM' when {bracket} != '' then {bracket} else {slug} end"
+    codes = " ".join(f"when upper(trim(variable_code)) in ({', '.join(repr(x) for x in v.split())}) then '{k}'" for k, v in X.CODES.items())
+    words = _sql_cases("concat_ws(' ', variable_name, variable_code)", X.CATEGORY_WORDS)
+    return f"select record_id, confounder_index, case when {MISS.format('variable_code')} or {invented} then {made} else trim(variable_code) end variable_code, label variable_name, case {codes} when category in ({', '.join(repr(x) for x in X.CATEGORIES)}) then category {words} else 'student_behavior' end category from (select *, {_condensed('variable_name')} label from ({EVIDENCE.sql['r06_confounders']})) where not (not {kept} and {micro}) and not {weight}"
+
+
+@BOOK.query("f15_confounder_categories", _f15_sql())
 def f15(spark, d):
     """Confounders of the records with repaired codes and categories, micro features and weights left out."""
     c = R.confounders(_records(spark, d))
@@ -49,7 +70,13 @@ def f15(spark, d):
     return kept.select("record_id", "confounder_index", X.repaired_code(F.col("variable_code"), F.col("variable_name")).alias("variable_code"), X.condensed(F.col("variable_name")).alias("variable_name"), X.confounder_category(F.col("category"), F.col("variable_name"), F.col("variable_code")).alias("category"))
 
 
-@BOOK.query("f16_normalised_findings")
+_DATA = f"case when {MISS.format('dataset')} then 'ILSA dataset not specified in manuscript' else trim(dataset) end"
+_CONCLUSION = f"'Using '||{_DATA}||' data, the study leveraged '||case when len(preds)>0 then array_to_string(preds[1:3],', ') else 'the reported predictors' end||' to predict '||trim(target)||', finding that results were reported without a clear narrative conclusion in the manuscript. This indicates that these patterns have implications for educational policy and instructional practice, though cross-sectional designs cannot establish causality.'"
+
+
+@BOOK.query("f16_normalised_findings", f"""with k as (select record_id, list_filter(json_extract(j,'$.data.main_findings[*]'), lambda x: not {MISS.format("(x->>'$.target_variable')")}) l from ({_J}) where json_type(j,'$.data.main_findings')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int finding_index from k),
+y as (select record_id, finding_index, f->>'$.dataset_used' dataset, f->>'$.target_variable' target, f->>'$.performance_metrics' m, list_slice(list_filter(list_transform(json_extract(f,'$.top_predictors[*]'), lambda p: p->>'$'), lambda p: not {MISS.format('p')}),1,5) preds from x)
+select record_id, finding_index, {_DATA} dataset_used, trim(target) target_variable, array_to_string(preds,'; ') top_predictors, case when {MISS.format('m')} then 'Not reported' else trim(m) end performance_metrics, {_CONCLUSION} standardized_conclusion from y""")
 def f16(spark, d):
     """Findings with defaults and conclusions."""
     r = _records(spark, d).select("record_id", F.posexplode(X.normalised_findings(F.col("r.data.main_findings"))).alias("pos", "f"))
@@ -63,7 +90,7 @@ def f18(spark, d):
     return m.select("row_id", X.target_of(F.col("title")).alias("target"), X.dataset_of(F.col("title"), F.col("source_category")).alias("dataset"))
 
 
-@BOOK.query("f20_legacy_upgrade", _listed("main_findings") + " select record_id, i finding_index, f->>'$.target_variable' target_variable, f->>'$.dataset_used' dataset_used, false upgraded from x")
+@BOOK.query("f20_legacy_upgrade", _listed("main_findings") + " select record_id, i finding_index, f->>'$.target_variable' target_variable, f->>'$.dataset_used' dataset_used, coalesce(contains(lower(f->>'$.dataset_used'),'legacy migration'),false) or coalesce(contains(lower(f->>'$.target_variable'),'legacy migration'),false) upgraded from x")
 def f20(spark, d):
     """Findings made by an older migration get their target and data set from the title; the others stay."""
     f = _records(spark, d).select("record_id", F.col("r.metadata.title").alias("title"), F.posexplode("r.data.main_findings").alias("pos", "f"))
@@ -71,10 +98,26 @@ def f20(spark, d):
     return f.select("record_id", (F.col("pos") + 1).alias("finding_index"), F.when(old, X.target_of(F.col("title"))).otherwise(F.col("f.target_variable")).alias("target_variable"), F.when(old, X.dataset_of(F.col("title"), F.lit(None).cast("string"))).otherwise(F.col("f.dataset_used")).alias("dataset_used"), old.alias("upgraded"))
 
 
-@BOOK.query("f21_countries_in_text", "with n(name,code) as (values ('Data collection','DCO'),('upper grades','UPG'),('Scale','SCA'),('Schools','SCH'),('Region','REG'),('Germany','DEU'),('Finland','FIN'),('Norway','NOR')) select doc_id, string_agg(distinct code,'|' order by code) codes from documents, n where text is not null and (regexp_matches(lower(text),'(^|[^\\p{L}])'||lower(name)||'([^\\p{L}]|$)') or regexp_matches(text,'\\b'||code||'\\b')) group by 1")
+# fixed values: names and codes of countries and economies that take part in the surveys
+COUNTRIES = (
+    ("Albania", "ALB"), ("Argentina", "ARG"), ("Armenia", "ARM"), ("Australia", "AUS"), ("Austria", "AUT"), ("Azerbaijan", "AZE"), ("Bahrain", "BHR"), ("Belgium", "BEL"), ("Bosnia and Herzegovina", "BIH"), ("Brazil", "BRA"), ("Bulgaria", "BGR"), ("Canada", "CAN"), ("Chile", "CHL"), ("China", "CHN"),
+    ("Chinese Taipei", "TWN"), ("Colombia", "COL"), ("Costa Rica", "CRI"), ("Croatia", "HRV"), ("Cyprus", "CYP"), ("Czech Republic", "CZE"), ("Denmark", "DNK"), ("Dominican Republic", "DOM"), ("Ecuador", "ECU"), ("Egypt", "EGY"), ("England", "ENG"), ("Estonia", "EST"), ("Finland", "FIN"), ("France", "FRA"),
+    ("Georgia", "GEO"), ("Germany", "DEU"), ("Greece", "GRC"), ("Hong Kong SAR", "HKG"), ("Hungary", "HUN"), ("Iceland", "ISL"), ("Indonesia", "IDN"), ("Ireland", "IRL"), ("Israel", "ISR"), ("Italy", "ITA"), ("Japan", "JPN"), ("Jordan", "JOR"), ("Kazakhstan", "KAZ"), ("Kosovo", "XKX"), ("Kuwait", "KWT"),
+    ("Latvia", "LVA"), ("Lebanon", "LBN"), ("Lithuania", "LTU"), ("Luxembourg", "LUX"), ("Macao SAR", "MAC"), ("Malaysia", "MYS"), ("Malta", "MLT"), ("Mexico", "MEX"), ("Moldova", "MDA"), ("Montenegro", "MNE"), ("Morocco", "MAR"), ("Netherlands", "NLD"), ("New Zealand", "NZL"), ("North Macedonia", "MKD"),
+    ("Northern Ireland", "NIR"), ("Norway", "NOR"), ("Oman", "OMN"), ("Pakistan", "PAK"), ("Panama", "PAN"), ("Peru", "PER"), ("Philippines", "PHL"), ("Poland", "POL"), ("Portugal", "PRT"), ("Qatar", "QAT"), ("Republic of Korea", "KOR"), ("Romania", "ROU"), ("Russian Federation", "RUS"), ("Saudi Arabia", "SAU"),
+    ("Scotland", "SCO"), ("Serbia", "SRB"), ("Singapore", "SGP"), ("Slovak Republic", "SVK"), ("Slovenia", "SVN"), ("South Africa", "ZAF"), ("Spain", "ESP"), ("Sweden", "SWE"), ("Switzerland", "CHE"), ("Thailand", "THA"), ("Tunisia", "TUN"), ("Turkey", "TUR"), ("Ukraine", "UKR"), ("United Arab Emirates", "ARE"),
+    ("United Kingdom", "GBR"), ("United States", "USA"), ("Uruguay", "URY"), ("Uzbekistan", "UZB"), ("Viet Nam", "VNM"),
+)
+_COUNTRY_ROWS = ",".join(f"('{n}','{c}')" for n, c in COUNTRIES)
+_TEXTS = "select record_id, concat_ws(' ', payload, title) text from (select record_id, payload, case when json_valid(payload) then payload::json->>'$.metadata.title' end title from article_records)"
+
+
+@BOOK.query("f21_countries_in_text", f"with n(name,code) as (values {_COUNTRY_ROWS}), w as (select record_id, text, ' '||array_to_string(regexp_extract_all(lower(text),'\\p{{L}}+'),' ')||' ' folded from ({_TEXTS}) where text is not null) select record_id, string_agg(distinct code,'|' order by code) codes from w, n where contains(folded, ' '||lower(name)||' ') or regexp_matches(text,'\\b'||code||'\\b') group by 1")
 def f21(spark, d):
-    names = spark.createDataFrame([("Data collection", "DCO"), ("upper grades", "UPG"), ("Scale", "SCA"), ("Schools", "SCH"), ("Region", "REG"), ("Germany", "DEU"), ("Finland", "FIN"), ("Norway", "NOR")], "name string, code string")
-    return X.countries_in(table(spark, d, "documents"), "doc_id", "text", names).select("doc_id", F.array_join("codes", "|").alias("codes"))
+    """Countries of the surveys named or coded in the text of a record."""
+    names = spark.createDataFrame(list(COUNTRIES), "name string, code string")
+    r = table(spark, d, "article_records").select("record_id", F.concat_ws(" ", "payload", F.get_json_object("payload", "$.metadata.title")).alias("text"))
+    return X.countries_in(r, "record_id", "text", names).select("record_id", F.array_join("codes", "|").alias("codes"))
 
 
 def _lit(col, words, signs):
@@ -118,9 +161,15 @@ def f27b(spark, d):
     return r.select("record_id", need.alias("requires_findings"), (need & none).alias("violates_findings_rule"))
 
 
-@BOOK.query("f44_template_sentences", "select \"method\"||' shows a '||lower(trend)||' link with '||variable||' in '||study_count||' studies.' sentence from (select p_brand \"method\", p_type variable, case l_returnflag when 'A' then 'Positive' when 'R' then 'Negative' else 'Null' end trend, count(distinct l_suppkey) study_count from lineitem join part on l_partkey=p_partkey group by 1,2,3)")
+def _sentence_sql(lang: str) -> str:
+    form = "case trend " + " ".join(f"when '{t}' then '{O.SENTENCES[lang][t]}'" for t in ("Positive", "Negative")) + f" else '{O.SENTENCES[lang]['Null']}' end"
+    return f"replace(replace(replace({form}, '{{n}}', study_count::varchar), '{{method}}', replace(lower(\"method\"), '_', ' ')), '{{variable}}', replace(variable, '_', ' '))"
+
+
+@BOOK.query("f44_template_sentences", f"select {_sentence_sql('tr')} sentence_tr, {_sentence_sql('en')} sentence_en from ({CUBE})")
 def f44(spark, d):
+    """A sentence on every row of the synthesis in both languages."""
     from ..operators import synthesis as Y
-    from .evidence import coded
 
-    return Y.cube(coded(spark, d)).select(F.format_string("%s shows a %s link with %s in %d studies.", "method", F.lower("trend"), "variable", "study_count").alias("sentence"))
+    made = lambda lang: O.sentence(lang, F.col("method"), F.col("variable"), F.col("trend"), F.col("study_count")).alias(f"sentence_{lang}")
+    return Y.cube(coded(spark, d)).select(made("tr"), made("en"))

@@ -19,6 +19,17 @@ def _sql_cases(expr: str, rules) -> str:
     return " ".join(f"when regexp_matches({expr}, '(?i){p}') then '{l}'" for l, p in rules)
 
 
+def variable_sql(col: str) -> str:
+    """SQL of ontology.variable without a context."""
+    ignored = f"({col} is null or regexp_full_match({col}, '[\\s\\p{{Z}}]*') or regexp_matches(lower(trim(regexp_replace({col}, '[\\s\\p{{Z}}]+', ' ', 'g'))), '{O.IGNORED}'))"
+    family = _sql_cases(col, O.joined(O.VARIABLES)).replace("then 'Self_Efficacy'", f"then case when regexp_matches({col}, '(?i){O.TEACHER_WORDS}') then 'Teacher_Efficacy_Workforce' else 'Self_Efficacy' end")
+    meta = f"(trim({col}) in ('{O.META_EXACT[0]}') or {_sql_words(col, O.META_LABELS)} or regexp_matches(trim({col}), '(?i){_PROSE}'))"
+    return f"case when {ignored} then '[IGNORE]' {family} {_sql_cases(col, O.joined(O.RESOLVER))} when {meta} then '{O.META}' else '{O.UNCATEGORIZED}' end"
+
+
+_PROSE = "|".join(f"(?:{p})" for p in O.META_PROSE)
+
+
 def _sql_words(expr: str, words) -> str:
     return "(" + " or ".join(f"contains(lower({expr}),'{w}')" for w in words) + ")"
 
@@ -73,9 +84,15 @@ def p05(spark, d):
     return m.select("row_id", F.when(T.is_missing(F.col("doi")), label).otherwise(F.col("doi")).alias("doi_label"))
 
 
-@BOOK.query("f29_target_domain", f"select domain, count(*) n from (select case {_sql_cases('title', O.TARGETS)} else 'Other / Unspecified' end \"domain\" from metadata where title is not null) group by 1")
+_TARGET_AT = " ".join(f"when regexp_matches(title, '(?i){p}') then {k}" for k, (_, _, p) in enumerate(O.TARGETS))
+
+
+@BOOK.query("f29_target_domain", f"with t as (select case {_TARGET_AT} end k from metadata where title is not null) select case k {' '.join(f'when {k} then {t[0]!r}' for k, t in enumerate(O.TARGETS))} else 'Other / Unspecified' end \"domain\", case k {' '.join(f'when {k} then {t[1]!r}' for k, t in enumerate(O.TARGETS))} else 'Unspecified' end dimension, count(*) n from t group by 1, 2")
 def f29(spark, d):
-    return table(spark, d, "metadata").where("title is not null").groupBy(first_match(F.col("title"), O.TARGETS, "Other / Unspecified").alias("domain")).agg(F.count("*").alias("n"))
+    """Target domain and dimension: the first of ten rules."""
+    m = table(spark, d, "metadata").where("title is not null")
+    both = first_match(F.col("title"), [(f"{a}|{b}", p) for a, b, p in O.TARGETS], "Other / Unspecified|Unspecified")
+    return m.groupBy(F.split_part(both, F.lit("|"), F.lit(1)).alias("domain"), F.split_part(both, F.lit("|"), F.lit(2)).alias("dimension")).agg(F.count("*").alias("n"))
 
 
 @BOOK.query("f29_ml_family", f"select family, count(*) n from (select case when {MISS.format('technique')} then 'Not Reported: Likely Traditional Methods' {_sql_cases('technique', O.ML_FAMILIES)} else 'Other ML / Not Classified' end family from core_ml_techniques_all) group by 1")
@@ -96,7 +113,6 @@ def f29c(spark, d):
 
 
 _IGNORED = "(title is null or regexp_full_match(title, '[\\s\\p{Z}]*') or regexp_matches(lower(trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g'))), '" + O.IGNORED + "'))"
-_PROSE = "|".join(f"(?:{p})" for p in O.META_PROSE)
 _FAMILY = f"case {_sql_cases('title', O.joined(O.VARIABLES))} end"
 _CONTEXT_META = f"(trim(title) in ('{O.META_EXACT[0]}') or {_sql_words('title', O.META_LABELS)} or regexp_matches(trim(title), '(?i){_PROSE}') or lower(trim(coalesce(source_category, ''))) in {O.META_SOURCES} and (length(trim(title)) > 35 or regexp_matches(lower(trim(title)), '^(how |that |literature )')))"
 _VAR = f"select row_id, case when {_IGNORED} then '[IGNORE]' when fam = 'Self_Efficacy' and regexp_matches(title, '(?i){O.TEACHER_WORDS}') then 'Teacher_Efficacy_Workforce' when fam is not null then fam {_sql_cases('title', O.joined(O.RESOLVER))} when {_CONTEXT_META} then 'Theoretical_and_Meta_Synthesis' else 'Uncategorized_Contextual' end v from (select *, {_FAMILY} fam from metadata)"
