@@ -27,7 +27,7 @@ ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 def pairs(panel: DataFrame, target: str, scores: list[str], covariates: list[str]) -> DataFrame:
     """(program, country, cycle, y, x): score features from the previous cycle's row, lag_ covariates from the row itself."""
     before = panel.select("program", "country", F.col("cycle").alias("previous"), *[F.col(c).alias(f"p_{c}") for c in scores])
-    j = panel.join(F.broadcast(previous_cycles(panel, ["program"])), ["program", "cycle"]).join(before, ["program", "country", "previous"])
+    j = panel.join(previous_cycles(panel, ["program"]), ["program", "cycle"]).join(before, ["program", "country", "previous"])
     x = F.array(*[F.col(f"p_{c}").cast("double") for c in scores], *[F.col(c).cast("double") for c in covariates])
     return j.where(F.col(target).isNotNull()).select("program", "country", "cycle", F.col(target).cast("double").alias("y"), x.alias("x"))
 
@@ -36,7 +36,7 @@ def fold_rows(rows: DataFrame, least_prior: int = 1) -> DataFrame:
     """rows with test_cycle and role; every fold trains on the pairs of earlier cycles."""
     cycles = rows.select("program", "cycle").distinct()
     tests = cycles.alias("a").join(cycles.select("program", F.col("cycle").alias("prior")), "program").where("prior < cycle").groupBy("program", "cycle").count().where(F.col("count") >= least_prior).select("program", F.col("cycle").alias("test_cycle"))
-    return rows.join(F.broadcast(tests), "program").where("cycle <= test_cycle").withColumn("role", F.when(F.col("cycle") == F.col("test_cycle"), "test").otherwise("train"))
+    return rows.join(tests, "program").where("cycle <= test_cycle").withColumn("role", F.when(F.col("cycle") == F.col("test_cycle"), "test").otherwise("train"))
 
 
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:

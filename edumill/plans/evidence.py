@@ -132,7 +132,7 @@ def a25(spark, d):
 @BOOK.query("a26_overlap_counts", "select n_name country, " + ", ".join(f"count(distinct case when year(o_orderdate)={y} then c_custkey end) y{y}" for y in range(1995, 2002)) + " from orders join customer on o_custkey=c_custkey join nation on n_nationkey=c_nationkey group by 1")
 def a26(spark, d):
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     w = j.withColumn("yr", F.year("o_orderdate")).groupBy(F.col("n_name").alias("country")).pivot("yr", list(range(1995, 2002)))
     wide = w.agg(F.countDistinct("c_custkey"))
     return wide.select("country", *[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"y{y}") for y in range(1995, 2002)])

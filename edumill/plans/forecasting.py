@@ -105,9 +105,9 @@ def m09(spark, d):
     p = wide(spark, d)
     rows = pairs(spark, d).withColumn("role", F.lit("train"))
     nxt = P.next_cycle(p, ["program"])
-    last = p.join(F.broadcast(nxt), "program").where("cycle = last_cycle")
+    last = p.join(nxt, "program").where("cycle = last_cycle")
     ahead = last.select("program", "country", F.col("next_cycle").alias("cycle"), F.lit(0.0).alias("y"), F.array(F.col("score"), F.col("n").cast("double"), F.col("lag_discount"), F.col("lag_tax")).alias("x"), F.lit("test").alias("role"))
-    both = rows.select("program", "country", "cycle", "y", "x", "role").unionByName(ahead).join(F.broadcast(nxt.select("program", F.col("next_cycle").alias("test_cycle"))), "program")
+    both = rows.select("program", "country", "cycle", "y", "x", "role").unionByName(ahead).join(nxt.select("program", F.col("next_cycle").alias("test_cycle")), "program")
     return M.by_fold(both, M.predictions, M.PREDICTIONS).drop("y")
 
 
@@ -139,7 +139,7 @@ def m17(spark, d):
     specs = {"full": WEIGHTS, "flat": [1.0, 0.9, 0.8, 0.7], "reversed": WEIGHTS[::-1], "no_lag": [0.0, 0.5, 0.25, 0.2]}
     entries = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(f).alias("feature"), F.lit(v).alias("weight")) for s, ws in specs.items() for f, v in zip(FEATURES, ws, strict=True)])).alias("e")
     dim = spark.range(1).select(entries).select("e.*")
-    j = m08(spark, d).join(F.broadcast(dim), "feature")
+    j = m08(spark, d).join(dim, "feature")
     rho = M.rank_alignment(j.select("spec", "test_cycle", "mean_abs", "weight"), ["spec", "test_cycle"], "mean_abs", "weight", boots=100)
     return rho.groupBy("spec").agg(F.avg("rho").alias("mean_rho"), F.bool_and(F.col("rho") >= 0).alias("always_positive"), F.sum(F.col("trivial").cast("int")).alias("n_trivial"))
 

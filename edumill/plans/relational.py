@@ -16,7 +16,7 @@ YEARS = list(range(1995, 2002))
 def scores(spark, d):
     """Panel of order values: program ORD, domain price, country = nation of the customer, cycle = order year."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
     program = F.when(F.col("o_orderkey").isNotNull(), "ORD")  # of the row, not a literal: joins on the programme stay equi-joins
     return j.groupBy(program.alias("program"), F.col("n_name").alias("country"), F.year("o_orderdate").alias("cycle")).agg(F.avg("o_totalprice").alias("score"), F.count("*").alias("n"))
 
@@ -27,7 +27,7 @@ SCORES = "select 'ORD' program, n_name country, year(o_orderdate)::int \"cycle\"
 def covariates(spark, d):
     """Second panel: supplier nations by shipping year."""
     l, s, n = table(spark, d, "lineitem"), table(spark, d, "supplier"), table(spark, d, "nation")
-    j = l.join(s, l.l_suppkey == s.s_suppkey).join(F.broadcast(n), s.s_nationkey == n.n_nationkey)  # nation has 25 rows at every scale
+    j = l.join(s, l.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)  # nation has 25 rows at every scale
     return j.groupBy(F.col("n_name").alias("country"), F.year("l_shipdate").alias("cycle")).agg(F.avg("l_discount").alias("value"), F.avg("l_tax").alias("tax"))
 
 
@@ -54,7 +54,7 @@ def p08(spark, d):
 def p13(spark, d):
     walk = spark.createDataFrame([("discount", "keep", "A"), ("tax", "negate", "B"), ("noise", "drop_near_zero_variance", "C")], "construct string, transformation string, tier string")
     u = P.unpivot(covariates(spark, d).withColumnRenamed("value", "discount"), ["country", "cycle"], ["discount", "tax"], value="v")
-    j = u.join(F.broadcast(walk), "construct", "left").where("coalesce(transformation, 'keep') != 'drop_near_zero_variance'")
+    j = u.join(walk, "construct", "left").where("coalesce(transformation, 'keep') != 'drop_near_zero_variance'")
     return j.select("country", "cycle", "construct", r6(F.when(F.col("transformation") == "negate", -F.col("v")).otherwise(F.col("v"))).alias("v"), "tier")
 
 
@@ -132,7 +132,7 @@ def j09(spark, d):
 @BOOK.query("j10_dimension_default", "select p_brand, coalesce(m.construct,'UNMAPPED') construct, count(*) n from part left join (values ('Brand#11','SES'),('Brand#12','ICT'),('Brand#13','SES')) m(b,construct) on p_brand=b group by 1,2")
 def j10(spark, d):
     dim = spark.createDataFrame([("Brand#11", "SES"), ("Brand#12", "ICT"), ("Brand#13", "SES")], "p_brand string, construct string")
-    return table(spark, d, "part").join(F.broadcast(dim), "p_brand", "left").groupBy("p_brand", F.coalesce("construct", F.lit("UNMAPPED")).alias("construct")).agg(F.count("*").alias("n"))
+    return table(spark, d, "part").join(dim, "p_brand", "left").groupBy("p_brand", F.coalesce("construct", F.lit("UNMAPPED")).alias("construct")).agg(F.count("*").alias("n"))
 
 
 @BOOK.query("j11_catalog_view", "with v as (select l_orderkey, count(*) n_vars, sum((l_returnflag='R')::int) n_weights from lineitem group by 1), c as (select o_orderkey, count(distinct o_custkey) n_countries from orders group by 1) select o_orderstatus status, count(*) n_files, sum(n_vars)::bigint n_variables, sum(n_weights)::bigint n_weights, sum(n_countries)::bigint n_countries from orders join c using (o_orderkey) left join v on l_orderkey=o_orderkey group by 1")
@@ -298,4 +298,4 @@ def s18(spark, d):
 
 @BOOK.query("s04_corpus_rank", "select m.row_id, coalesce(t.trust_rank, 99) corpus_rank from metadata m left join corpus_trust t using (corpus)")
 def s04(spark, d):
-    return table(spark, d, "metadata").join(F.broadcast(table(spark, d, "corpus_trust")), "corpus", "left").select("row_id", F.coalesce("trust_rank", F.lit(99)).alias("corpus_rank"))
+    return table(spark, d, "metadata").join(table(spark, d, "corpus_trust"), "corpus", "left").select("row_id", F.coalesce("trust_rank", F.lit(99)).alias("corpus_rank"))

@@ -258,7 +258,7 @@ def f26(spark, d):
 def f38(spark, d):
     names = table(spark, d, "canonical_terms").where("kind = 'technique'").groupBy(F.lower("canonical_name").alias("k")).agg(F.min("canonical_name").alias("name"))
     t = table(spark, d, "core_ml_techniques_all").where("technique is not null").withColumn("k", F.lower(F.trim("technique")))
-    return t.join(F.broadcast(names), "k", "left").groupBy(F.coalesce("name", F.lit("OTHER")).alias("technique")).agg(F.count("*").alias("n"))
+    return t.join(names, "k", "left").groupBy(F.coalesce("name", F.lit("OTHER")).alias("technique")).agg(F.count("*").alias("n"))
 
 
 @BOOK.query("f38_canonical_technique", f"""with k as (select lower(canonical_name) k, min(canonical_name) v from canonical_terms where kind='technique' and canonical_name<>'' group by 1), a as (select k, min(v) v from (select * from k union all select lower(short_form), min(canonical_name) from canonical_terms where kind='technique' and lower(short_form) not in (select k from k) group by 1) group by 1),
