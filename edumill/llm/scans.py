@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +62,11 @@ _PAGE = re.compile(r"^[\W_]*(?:page|pg|p|seite|página|sayfa)?\.?[\W_]*\d{1,4}(?
 _VOLUME = re.compile(r",?\s*\b(?:v[o0ac][l1i]|volume|no|issue|issn)\b\.?\s*\d+", re.I)
 _HEADING = re.compile(rf"^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:{HEADINGS})\s*:?\s*$", re.I)
 _REFERENCE = re.compile(r"^\s*[^\W\d_][\w'’-]+, [^\W\d_]\.")
-_END = re.compile(r"[.!?:]['\"”’)]*\s*$")
 
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
-_PAIR = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*[-\u00ad¬‐][^\S\n]*\n\s*[^\W_]+(?:['’-][^\W_]+)*")
+_CUT = re.compile(r"[-\u00ad¬‐][^\S\n]*\n\s*")
+_LAST = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*$")
 _STOP = re.compile(r"[.!?]['\"”’)]*\s+$")
 
 
@@ -86,40 +87,67 @@ def _glyphs(s: str) -> str:
     return s
 
 
+_AUTHOR = re.compile(r"^.{2,40}\bet al\.?\s*\|\s*")
+_PAGED = re.compile(r"^\d{1,4}\s+|\s*\|?\s+\d{1,4}$")
+
+
+def _ends(line: str) -> bool:
+    """Does a line end a sentence, quotes and brackets aside?"""
+    return line.rstrip().rstrip("'\"”’)")[-1:] in (".", "!", "?", ":")
+
+
+@lru_cache(maxsize=20_000)
 def _running(s: str, title: str) -> bool:
     """Is a line the start of the title, with or without an author before it and a page number beside it?"""
-    rest = re.sub(r"^\d{1,4}\s+|\s*\|?\s+\d{1,4}$", "", re.sub(r"^.{2,40}\bet al\.?\s*\|\s*", "", s))
+    rest = _AUTHOR.sub("", s) if "et al" in s else s
+    if rest[:1].isdigit() or rest[-1:].isdigit():
+        rest = _PAGED.sub("", rest)
+    if not title.startswith(_glyphs(rest[:14])[:5]):  # five glyphs come from the first fourteen signs
+        return False
     mine = _glyphs(rest)
     return len(mine) >= 8 and title.startswith(mine) and not rest.endswith(".") and (rest[:1].isupper() or rest != s)
 
 
+@lru_cache(maxsize=20_000)
+def _alone(s: str) -> str:
+    """What a line says about itself, whatever stands around it: page_no, heading, volume, reference or text."""
+    short, digit = len(s) < 90, any(c.isdigit() for c in s)
+    if digit and short and _PAGE.match(s) and not s.endswith((".", ",", ";", ":")):
+        return "page_no"
+    if short and _HEADING.match(s):
+        return "heading"
+    if digit and short and _VOLUME.search(s) and not _ends(s) and (s.upper() == s or sum(w[:1].isupper() for w in s.split()) >= 0.4 * len(s.split())):
+        return "volume"
+    return "reference" if _REFERENCE.match(s) else "text"
+
+
 def line_kinds(lines: list[str], title: str) -> list[str]:
     """blank, title, authors, heading, reference, header, page_no or text for every line."""
     kinds, key, head, refs = [], _letters(title), _glyphs(title), False
-    repeated = Counter(_letters(x) for x in lines if not _END.search(x))
+    repeated: Counter | None = None
     for i, line in enumerate(lines):
         s = line.strip()
-        mine = _letters(s)
         if not s:
-            kind = "blank"
-        elif i == 0 and mine == key:
+            kinds.append("blank")
+            continue
+        kind = _alone(s)
+        if i == 0 and _letters(s) == key:
             kind = "title"
-        elif i == 1 and kinds[0] == "title" and not _END.search(s) and not _HEADING.match(s) and all(w[:1].isupper() for w in s.split() if w[:1].isalpha()):
+        elif i == 1 and kinds[0] == "title" and kind != "heading" and not _ends(s) and all(w[:1].isupper() for w in s.split() if w[:1].isalpha()):
             kind = "authors"
-        elif _PAGE.match(s) and not s.endswith((".", ",", ";", ":")):
-            kind = "page_no"
-        elif _HEADING.match(s):
-            kind, refs = "heading", bool(re.search(r"references|bibliography", s, re.I))
-        elif _VOLUME.search(s) and not _END.search(s) and len(s) < 90 and (s.upper() == s or sum(w[:1].isupper() for w in s.split()) >= 0.4 * len(s.split())):
-            kind = "header"
-        elif i and _running(s, head):
-            kind = "header"
-        elif len(mine) >= 8 and repeated[mine] >= 3 and s.upper() == s:
+        elif kind == "page_no":
+            pass
+        elif kind == "heading":
+            refs = bool(re.search(r"references|bibliography", s, re.I))
+        elif kind == "volume" or i and _running(s, head):
             kind = "header"
-        elif _REFERENCE.match(s) or refs and re.search(r"\(\d{4}\)", s):
+        elif s.upper() == s and len(_letters(s)) >= 8:
+            if repeated is None:
+                repeated = Counter(_letters(x.strip()) for x in lines if not _ends(x))
+            if repeated[_letters(s)] >= 3:
+                kind = "header"
+        if kind == "text" and refs and re.search(r"\(\d{4}\)", s):
             kind = "reference"
-        else:
-            kind = "text"
         kinds.append(kind)
     return kinds
 
@@ -131,7 +159,14 @@ def next_text(kinds: list[str], i: int) -> int | None:
 
 def counted_words(text: str) -> Counter:
     """Words of a text in lower case; the two parts of a divided word do not count."""
-    return Counter(_WORD.findall(_PAIR.sub(" ", text.lower())))
+    low = text.lower()
+    out = Counter(_WORD.findall(low))
+    for m in _CUT.finditer(low):
+        left, right = _LAST.search(low[low.rfind("\n", 0, m.start()) + 1 : m.start()]), _WORD.match(low, m.end())
+        if left and right:
+            out[left[0]] -= 1
+            out[right[0]] -= 1
+    return +out
 
 
 @lru_cache(maxsize=200_000)
@@ -209,6 +244,8 @@ def cased(word: str, right: str, opens: bool) -> str:
 
 def line_fixes(line: str, start: int, stop: int, opens: bool, fix: Corrector) -> tuple[tuple[int, int, str], ...]:
     """(from, to, right word) of the corrections in line[start:stop]; opens: the first word opens a sentence."""
+    if fix.frequent.keys() >= set(_WORD.findall(line[start:stop].lower())):
+        return ()
     spans = [(m.start() + start, m.end() + start) for m in _WORD.finditer(line[start:stop])]
     lows = [line[a:b].lower() for a, b in spans]
     out = []
@@ -285,7 +322,7 @@ def repaired(text: str, title: str, fix: Corrector) -> tuple[list[tuple[int, str
             flow[-1] += piece  # the sign after a divided word
         elif piece:
             flow.append(piece)
-        ends = bool(_END.search(line))
+        ends = _ends(line)
     if flow:
         out.append(" ".join(flow))
     return list(found), "\n\n".join(out)
@@ -312,9 +349,13 @@ def skip_grams(texts: DataFrame, frequent: dict[str, int], least: int) -> dict[s
     tokens = F.expr(r"filter(split(lower(regexp_replace(raw_text, '[-¬­‐]\\s*\\n\\s*', '')), '[^\\p{L}\\p{N}\'’-]+'), x -> x != '')")
     parts = max(1, min(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows = texts.select(tokens.alias("tokens"))
-    if not rows.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least).limit(1).count():
-        return {}  # the learner refuses an empty vocabulary
-    model = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=WINDOW, seed=11, inputCol="tokens", outputCol="v").fit(rows)
+    learner = Word2Vec(vectorSize=VECTOR, minCount=least, numPartitions=parts, maxIter=1, windowSize=WINDOW, seed=11, inputCol="tokens", outputCol="v")
+    try:
+        model = learner.fit(rows)
+    except IllegalArgumentException as e:
+        if "vocabulary size" not in str(e):
+            raise
+        return {}  # no token is as frequent as a word, as tokens are cut a little differently
     return {r["word"]: (v := r["vector"].toArray().astype(np.float32)) / (np.linalg.norm(v) + 1e-9) for r in model.getVectors().collect() if r["word"] in frequent}
 
 
