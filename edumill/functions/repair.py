@@ -24,6 +24,31 @@ def title_from_text(c: Column) -> Column:
     return F.when(c.rlike(r"(?m)^\s*(?:Abstract|ABSTRACT)\s*$"), F.try_element_at(F.filter(lines, lambda x: F.length(x) == longest), F.lit(1)))
 
 
+#: fixed values: what an affiliation line holds, and character references in titles
+AFFILIATION = ("@", "University", "Department", "School of", "Institute")
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def title_before_affiliation(c: Column, within: int = 40, before: int = 5) -> Column:
+    """The longest capitalised line of 20 to 200 letters among those before the first affiliation line that has one."""
+    lines = F.filter(F.transform(F.slice(F.split(c, "\n"), 1, within), lambda x: F.trim(x)), lambda x: x != "")
+    good = lambda xs: F.filter(xs, lambda x: F.length(x).between(20, 200) & x.rlike(r"^\p{Lu}"))
+    window = lambda i: good(F.slice(lines, F.greatest(i - before, F.lit(1)), i - F.greatest(i - before, F.lit(1))))
+    marked = lambda x: F.coalesce(*[F.when(F.contains(x, F.lit(m)), True) for m in AFFILIATION], F.lit(False))
+    at = F.try_element_at(F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: marked(F.try_element_at(lines, i)) & (F.size(window(i)) > 0)), F.lit(1))
+    found = window(at)
+    longest = F.array_max(F.transform(found, lambda x: F.length(x)))
+    return F.when(at.isNotNull(), F.try_element_at(F.filter(found, lambda x: F.length(x) == longest), F.lit(1)))
+
+
+def document_title(given: Column, text: Column) -> Column:
+    """The given title if it is longer than 10 letters, else one before the abstract, else one before the affiliation."""
+    plain = F.trim(given)
+    for mark, sign in REFERENCES:
+        plain = F.replace(plain, F.lit(mark), F.lit(sign))
+    return F.coalesce(F.when(F.length(plain) > 10, plain), title_from_text(text), title_before_affiliation(text))
+
+
 def title_from_file_name(c: Column) -> Column:
     """A title of a file name: the part after 'Author (year).' or the name itself, if long enough."""
     stem = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"(?i)\.pdf$", ""), r"^\d+\.\s*", ""))

@@ -56,6 +56,16 @@ def keyword_search(rows: DataFrame, query: str, k: int = 8, text: str = "text",
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+def keyword_search_sources(sources: list[tuple[DataFrame, str, str]], query: str, k: int = 8) -> DataFrame:
+    """(source, id, score) of the k best rows of several tables (df, text, id): by score, then by the order of the tables, then
+    by id, as a stable sort of their rows one after the other gives."""
+    every = None
+    for n, (df, text, key) in enumerate(sources):
+        part = keyword_search(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), query, k).select(F.lit(n).alias("source"), "id", "score")
+        every = part if every is None else every.unionByName(part)
+    return every.orderBy(F.desc("score"), "source", "id").limit(k)
+
+
 def hybrid(dense: DataFrame, keyword: DataFrame, k: int, extra: int = 4, core: int = 58) -> DataFrame:
     """Dense lines (line, rank), then keyword lines whose first core letters no dense line holds; at most k + extra lines."""
     d = dense.select("line", F.lit(0).alias("source"), "rank")

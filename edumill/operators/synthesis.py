@@ -66,6 +66,15 @@ def first_non_null(df: DataFrame, keys: list[str], columns: list[str], order: st
     return df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
 
 
+def provenance(rows: DataFrame, variable: str, study: str, program: str, cycle: str, places: str, direction: str, year: str, canonical: str) -> DataFrame:
+    """Where the evidence on a variable comes from; places is a list per row, ties of the direction go to the alphabet."""
+    by = rows.groupBy(variable, direction).agg(F.count("*").alias("n"))
+    main = by.groupBy(variable).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(direction).alias("d"))).alias("m")).select(variable, F.col("m.d").alias("dominant_direction"))
+    listed = rows.select(variable, F.explode(places).alias("p")).distinct().groupBy(variable).agg(F.count("*").alias("n_places"), F.array_join(F.array_sort(F.collect_list("p")), "|").alias("places"))
+    g = rows.groupBy(variable).agg(F.countDistinct(study).alias("n_studies"), F.countDistinct(program).alias("n_programs"), F.countDistinct(cycle).alias("n_cycles"), F.avg((F.col(direction) == canonical).cast("int")).alias("predictive_share"), F.min(year).alias("first_year"), F.max(year).alias("last_year"))
+    return g.join(main, variable).join(listed, variable, "left").withColumn("agrees", F.col("dominant_direction") == canonical)
+
+
 def value_counts(df: DataFrame, dimensions: dict[str, Column], top: int | None = None) -> DataFrame:
     """(dimension, label, n) of several dimensions in one pass; the most frequent of each where top is given."""
     from pyspark.sql import Window

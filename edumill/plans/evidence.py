@@ -59,9 +59,12 @@ def a13(spark, d):
     return w.select("predictor", F.round("F_raw", 4).alias("F_raw"), "D_raw", r6("C_raw").alias("C_raw"), r6("E_raw").alias("E_raw"), r6("E_norm").alias("E_norm"), "dominant_direction", "effect_count", r6("w_norm").alias("w_norm"))
 
 
-@BOOK.query("a14_provenance", f"select variable, count(distinct study) n_studies, count(distinct \"method\") n_programs, count(distinct l_linenumber) n_cycles, count(distinct l_linestatus) n_levels, round(avg((trend='Positive')::int),6) predictive_share, min(p_size) first_year, max(p_size) last_year from ({CODED}) group by 1")
+@BOOK.query("a14_provenance", f"""with c as ({CODED}), t as (select variable, trend, count(*) n from c group by 1,2), dom as (select variable, arg_min(trend, (-n, trend)) dominant from t group by 1),
+o as (select variable, list_sort(list_distinct(flatten(list([l_linestatus, l_linenumber::varchar])))) places from c group by 1)
+select c.variable, count(distinct study) n_studies, count(distinct "method") n_programs, count(distinct l_linenumber) n_cycles, any_value(len(places)) n_places, array_to_string(any_value(places),'|') places, round(avg((trend='Positive')::int),6) predictive_share, any_value(dominant) dominant_direction, any_value(dominant)='Positive' agrees, min(p_size) first_year, max(p_size) last_year from c join dom using (variable) join o using (variable) group by 1""")
 def a14(spark, d):
-    return coded(spark, d).groupBy("variable").agg(F.countDistinct("study").alias("n_studies"), F.countDistinct("method").alias("n_programs"), F.countDistinct("l_linenumber").alias("n_cycles"), F.countDistinct("l_linestatus").alias("n_levels"), r6(F.avg((F.col("trend") == "Positive").cast("int"))).alias("predictive_share"), F.min("p_size").alias("first_year"), F.max("p_size").alias("last_year"))
+    """Provenance of every variable: distinct studies, programmes, cycles and listed places, the direction that most rows have and whether it is the canonical one, years."""
+    return Y.provenance(coded(spark, d).withColumn("places", F.array(F.col("l_linestatus"), F.col("l_linenumber").cast("string"))), "variable", "study", "method", "l_linenumber", "places", "trend", "p_size", "Positive").withColumn("predictive_share", r6("predictive_share"))
 
 
 _CLIP = "least(greatest({0},0.01),1.0)"
@@ -85,9 +88,20 @@ def a17(spark, d):
     return table(spark, d, "core_ml_techniques_all").where("file_name is not null").groupBy("file_name").agg(F.bool_or(F.col("technique").ilike("%forest%")).alias("any_forest"), F.bool_or(F.col("technique").isNull()).alias("any_missing"))
 
 
-@BOOK.query("a18_dashboard", "with c as (select 'venue' dimension, venue label, count(*) n from metadata where venue is not null group by 2 union all select 'publication_type', publication_type, count(*) from metadata where publication_type is not null group by 2 union all select 'pub_year', pub_year::varchar, count(*) from metadata where pub_year is not null group by 2) select dimension, label, n from (select *, row_number() over (partition by dimension order by n desc, label) r from c) where r<=5")
+_SECTIONS = {"Corpus": {"venue": "venue", "publication_type": "publication_type", "pub_year": "pub_year"}, "Files": {"corpus": "corpus", "source_category": "source_category"}}
+
+
+def _section_sql(section: str, name: str, col: str) -> str:
+    return f"select '{section}' section, '{name}' dimension, {col}::varchar label, count(*) n from metadata where {col} is not null group by 3"
+
+
+@BOOK.query("a18_dashboard", "with c as (" + " union all ".join(_section_sql(s, n, c) for s, ds in _SECTIONS.items() for n, c in ds.items()) + ") select section, dimension, label, n from (select *, row_number() over (partition by section, dimension order by n desc, label) r from c) where r<=5 union all select 'Totals', 'rows', 'all', count(*) from metadata")
 def a18(spark, d):
-    return Y.value_counts(table(spark, d, "metadata"), {"venue": F.col("venue"), "publication_type": F.col("publication_type"), "pub_year": F.col("pub_year")}, top=5)
+    """A dashboard of sections: the most frequent values of their dimensions, and the total."""
+    m = table(spark, d, "metadata")
+    cells = Y.value_counts(m, {f"{s}|{n}": F.col(c) for s, ds in _SECTIONS.items() for n, c in ds.items()}, top=5)
+    rows = cells.select(F.split_part("dimension", F.lit("|"), F.lit(1)).alias("section"), F.split_part("dimension", F.lit("|"), F.lit(2)).alias("dimension"), "label", "n")
+    return rows.unionByName(m.agg(F.lit("Totals").alias("section"), F.lit("rows").alias("dimension"), F.lit("all").alias("label"), F.count("*").alias("n")))
 
 
 _PROFILED = ("file_name", "title", "authors", "doi", "venue", "publication_type", "source_category")

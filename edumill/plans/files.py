@@ -88,6 +88,36 @@ def k10(spark, d):
     return sinks.upsert(old, new, ["r_regionkey"])
 
 
+@BOOK.query("k11_vector_upsert", "select 2 as version, (select count(*) from embeddings)+1 n_vectors, (select max(len(embedding)) from embeddings)::bigint dimension, (select count(*) from embeddings) n_new")
+def k11(spark, d):
+    """A vector index written, then all its vectors replaced and one added."""
+    place = _place(spark, "vectors")
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    sinks.upsert_vectors(place, e, "vec_id", "embedding")
+    more = e.withColumn("batch", F.lit(2)).unionByName(e.agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.lit(-1).cast("long").alias("vec_id"), "embedding", F.lit(1).alias("batch")))
+    index = sinks.upsert_vectors(place, more.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "batch"), "vec_id", "embedding")
+    m = sinks.vector_manifest(spark, place)
+    return index.agg(F.lit(m["version"]).cast("int").alias("version"), F.count("*").alias("n_vectors"), F.lit(m["dimension"]).cast("long").alias("dimension"), F.sum((F.col("batch") == 2).cast("long")).alias("n_new"))
+
+
+@BOOK.query("s09_international_file", "select upper(left(n_name,3)) country, count(*) n, round(sum(c_acctbal*(1+c_custkey%7))/sum(1+c_custkey%7),4) bal from customer join nation on c_nationkey=n_nationkey where regexp_full_match(upper(left(n_name,3)),'[A-Z]{3}') group by 1")
+def s09(spark, d):
+    """One file with the country as a column."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    rows = c.join(n, c.c_nationkey == n.n_nationkey).select(F.left("n_name", F.lit(3)).alias("code"), "c_acctbal", (1 + F.col("c_custkey") % 7).alias("w"))
+    return readers.international_file(rows, "code", ["c_acctbal"], "w").select("country", "n", F.round("c_acctbal", 4).alias("bal"))
+
+
+@BOOK.query("s14_normalised_csv", "select upper(trim(p_brand)) BRAND, lower(trim(p_type)) TYPE, p_size::bigint SIZE, count(*) n from part group by 1,2,3")
+def s14(spark, d):
+    """A CSV read, trimmed and coerced."""
+    place = _place(spark, "norm")
+    p = table(spark, d, "part").select(F.concat(F.lit(" "), F.col("p_brand"), F.lit("  ")).alias("brand"), F.col("p_type").alias("type"), F.col("p_size").cast("double").alias("size"))
+    p.write.option("header", True).option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(place)
+    df = readers.normalised(readers.delimited(spark, place), upper=("BRAND",), lower=("TYPE",), whole=("SIZE",))
+    return df.groupBy("BRAND", "TYPE", "SIZE").agg(F.count("*").alias("n"))
+
+
 @BOOK.query("s12_catalog_files", " union all ".join(f"select '{t}' file, (select count(*) from {t}) n_rows, (select count(*)::int from information_schema.columns where table_name='{t}') n_columns" for t in ("metadata", "core_data", "documents", "lineitem")))
 def s12(spark, d):
     return readers.catalog(spark, d, ["metadata", "core_data", "documents", "lineitem"])[0]

@@ -22,6 +22,18 @@ def f06(spark, d):
     return p.select("file_id", X.title_from_text(F.col("raw_text")).alias("title"))
 
 
+_LINES = r"list_filter(list_transform(list_slice(string_split(raw_text, chr(10)),1,40), lambda x: trim(x)), lambda x: x != '')"
+_GOOD = r"list_filter(list_slice(l, greatest(i-5,1), i-1), lambda x: length(x) between 20 and 200 and regexp_matches(x,'^\p{Lu}'))"
+_MARKED = "(" + " or ".join(f"contains(l[i],'{m}')" for m in X.AFFILIATION) + ")"
+
+
+@BOOK.query("f06_document_title", f"with b as ({BOOK.sql['f06_title_from_text']}), l as (select file_id, {_LINES} l from processed_pdf where raw_text is not null), k as (select file_id, l, list_filter(range(1, len(l)+1), lambda i: {_MARKED} and len({_GOOD})>0)[1] i from l), a as (select file_id, list_filter({_GOOD}, lambda x: length(x)=list_max(list_transform({_GOOD}, lambda y: length(y))))[1] t from k where i is not null) select file_id, coalesce(b.title, a.t) title from l left join b using (file_id) left join a using (file_id)")
+def f06_whole(spark, d):
+    """The title cascade of scanned files, which have no title of their own: before the abstract, else before the affiliation."""
+    p = table(spark, d, "processed_pdf").where("raw_text is not null")
+    return p.select("file_id", X.document_title(F.lit(None).cast("string"), F.col("raw_text")).alias("title"))
+
+
 @BOOK.query("f07_title_from_file_name", r"with s as (select row_id, trim(regexp_replace(regexp_replace(trim(file_name),'(?i)\.pdf$',''),'^\d+\.\s*','')) s from metadata where file_name is not null), a as (select *, trim(regexp_extract(s,'^.+?\(\d{4}\)\.\s*(.+)$',1)) a from s) select row_id, case when a != '' then case when length(a)>=10 then a end when regexp_matches(s,'(?i)^978\d{10,13}(-en)?$') then 'OECD publication '||s when regexp_matches(s,'(?i)^[\da-f]{6,12}-en$') then 'OECD document '||s when length(s)>=15 then s end title from a")
 def f07(spark, d):
     return table(spark, d, "metadata").where("file_name is not null").select("row_id", X.title_from_file_name(F.col("file_name")).alias("title"))

@@ -51,7 +51,21 @@ def q05(spark, d):
     return Q.keyword_search(table(spark, d, "documents"), QUERY, 8, "text", "doc_id").select("doc_id", "score")
 
 
-@BOOK.query("q06_hybrid")
+_SCORED = "select {n} source, {key}::bigint id, len(list_filter({tokens}, lambda t: contains(lower({text}),t)))::int score from {table} where {text} is not null"
+_THREE = (("documents", "text", "doc_id"), ("metadata", "title", "row_id"), ("subject_areas", "scope_note", "subject_id"))
+
+
+@BOOK.query("t04_keyword_sources", "with s as (" + " union all ".join(_SCORED.format(n=n, key=k, tokens=_TOKENS, text=x, table=t) for n, (t, x, k) in enumerate(_THREE)) + ") select source::int source, id, score from s where score>0 order by score desc, source, id limit 8")
+def t04(spark, d):
+    """The best rows of documents, titles and subject notes together."""
+    return Q.keyword_search_sources([(table(spark, d, t), x, k) for t, x, k in _THREE], QUERY)
+
+
+def _lines_sql(tokens: str, k: int) -> str:
+    return f"select left(text,120) line, row_number() over (order by score desc, doc_id) rank from (select text, doc_id, len(list_filter({tokens}, lambda t: contains(lower(text),t))) score from documents where text is not null) where score>0 order by score desc, doc_id limit {k}"
+
+
+@BOOK.query("q06_hybrid", f"with a as ({_lines_sql(str(['invariance', 'measurement', 'plausible', 'values']), 6)}), b as ({_lines_sql(_TOKENS, 8)}), f as (select * from b where not exists (select 1 from a where contains(lower(a.line), left(lower(b.line),58)))) select line, source, rank from (select line, 0 source, rank from a union all select line, 1, rank from f) order by source, rank limit 10")
 def q06(spark, d):
     docs = table(spark, d, "documents")
     lines = lambda query, k: Q.keyword_search(docs, query, k, "text", "doc_id").select(F.left("text", F.lit(120)).alias("line"), F.row_number().over(Q.Window.orderBy(F.desc("score"), "doc_id")).alias("rank"))

@@ -54,6 +54,24 @@ def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.select(*[F.col(f"`{n}`").alias(u) for n, u in keep])
 
 
+def normalised(df: DataFrame, upper: tuple[str, ...] = (), lower: tuple[str, ...] = (), whole: tuple[str, ...] = (), numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Text columns trimmed, some in upper or lower case, some as whole numbers or numbers (null where they are none)."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.trim(F.col(f"`{name}`")) if kind == "string" else F.col(f"`{name}`")
+        c = F.upper(c) if name in upper else F.lower(c) if name in lower else c
+        c = c.try_cast("double").cast("long") if name in whole else c.try_cast("double") if name in numbers else c
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def international_file(df: DataFrame, country: str, values: list[str], weight: str) -> DataFrame:
+    """Weighted means per country of one file with a country column; only letter codes of three signs count."""
+    ok = df.where(F.upper(F.col(country)).rlike("^[A-Z]{3}$") & (F.col(weight) > 0))
+    means = [F.try_divide(F.sum(F.when(F.col(v).isNotNull(), F.col(v) * F.col(weight))), F.sum(F.when(F.col(v).isNotNull(), F.col(weight)))).alias(v) for v in values]
+    return ok.groupBy(F.upper(F.col(country)).alias("country")).agg(F.count("*").alias("n"), *means)
+
+
 def by_country_files(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """Parquet files of one country each, named xxxCCC..., read by name into one table with the column country."""
     df = spark.read.option("mergeSchema", True).parquet(folder)

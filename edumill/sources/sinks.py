@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_control
@@ -48,6 +48,30 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_vectors(path: str, new: DataFrame, key: str, vector: str, buckets: int = 16) -> DataFrame:
+    """Write rows (key, vector, ...) into the vector index under path, replacing those of equal keys; gives the index.
+
+    Every call writes a new version beside the old one and then a manifest of one row (version, n_vectors, dimension,
+    n_buckets), so a call that fails leaves the index as it was. Rows are spread over buckets by their key.
+    """
+    spark = new.sparkSession
+    known = vector_manifest(spark, path)
+    version = 1 if known is None else known["version"] + 1
+    rows = new.dropDuplicates([key]) if known is None else upsert(spark.read.parquet(f"{path}/v{known['version']}"), new.dropDuplicates([key]), [key])
+    rows.repartition(buckets, key).write.parquet(f"{path}/v{version}")
+    index = spark.read.parquet(f"{path}/v{version}")
+    index.agg(F.lit(version).alias("version"), F.count("*").alias("n_vectors"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimension"), F.lit(buckets).alias("n_buckets")).coalesce(1).write.json(f"{path}/manifest-{version:06d}")
+    return index
+
+
+def vector_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The last manifest of a vector index, or None where there is no index."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [n for s in fs.listStatus(where) if (n := s.getPath().getName()).startswith("manifest-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))] if fs.exists(where) else []
+    return spark.read.json(f"{path}/{max(done)}").first().asDict() if done else None
+
+
 def bundle_id(*parts: str):
     """Sixteen letters of the hash of an evidence bundle."""
     return F.left(F.sha2(F.concat_ws("::", *[F.col(p).cast("string") for p in parts]), 256), F.lit(16))
