@@ -167,6 +167,52 @@ def target_of(c: Column) -> Column:
     return first_match(c, TARGET_WORDS, "Primary study outcome (heuristic migration)")
 
 
+#: fixed values: how a text names a data set, its targets in the order of the tests, results, and sources that are no study
+DATASET_PHRASE = r"(?i)\b((?:PISA|TIMSS|PIRLS|TALIS|PIAAC|ICILS|ICCS)\s+20\d{2}(?:\s+[\w][\w\s\-]{2,40})?)"
+DATASET_PROGRAM = r"(?i)\b(PISA|TIMSS|PIRLS|TALIS|PIAAC|ICILS|ICCS|OECD)\b(?:\s*[-–]?\s*(20\d{2}))?"
+TARGET_PATTERNS = (
+    r"predict(?:ing|ed|s)?\s+([^.;,\n]{5,70})", r"(?:math(?:ematics)?|science|reading)\s+(?:achievement|literacy|proficiency|performance|score)s?", r"academic\s+resilience", r"(?:student\s+)?well[- ]?being",
+    r"creative\s+thinking(?:\s+score)?", r"problem[- ]solving(?:\s+success)?", r"environmental\s+action", r"job\s+satisfaction", r"item\s+difficulty",
+)
+METRIC_SNIPPET = r"(?i)(R[²2]\s*[=:]\s*[\d.]+|AUC\s*[=:]\s*[\d.]+|accuracy\s*[=:]\s*[\d.]+%?|RMSE\s*[=:]\s*[\d.]+|F1[- ]?score?\s*[=:]\s*[\d.]+|\d{1,3}(?:\.\d+)?\s*%\s+accuracy)"
+NO_STUDY = ("review_article", "methodology_paper", "technical_report")
+SYNTHESIS_DATA, CONTEXT_DATA = "ILSA literature synthesis (systematic review; no single student-level analytic micro-dataset)", "ILSA assessment context not specified in extraction (heuristic migration)"
+SYNTHESIS_TARGET, MODEL_TARGET, STUDY_TARGET = "Literature synthesis outcome (not student-level prediction)", "Primary analytic outcome (inferred from extraction)", "Primary study outcome (heuristic migration)"
+
+
+def context(r: Column) -> Column:
+    """The texts of a record from which its data set and target are read, one after the other."""
+    m, d = r["metadata"], r["data"]
+    parts = (m["title"], m["file_name"], d["sample_details"]["sample_filtering_criteria"], d["survey_design"]["weight_fields_interpretation"], d["outcome_summary"], d["null_fields_interpretation"])
+    return F.concat_ws("\n", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])
+
+
+def inferred_dataset(blob: Column, source_category: Column) -> Column:
+    """The first phrase that names a survey and year, else the first survey named, else by the kind of source."""
+    phrase = F.left(F.element_at(F.split(F.trim(F.regexp_extract(blob, DATASET_PHRASE, 1)), "\n"), 1), F.lit(120))
+    program = F.trim(F.concat_ws(" ", F.upper(F.regexp_extract(blob, DATASET_PROGRAM, 1)), F.regexp_extract(blob, DATASET_PROGRAM, 2)))
+    return F.when(phrase != "", phrase).when(program != "", program).when(source_category.isin(*NO_STUDY), SYNTHESIS_DATA).otherwise(CONTEXT_DATA)
+
+
+def inferred_target(outcome: Column, blob: Column, source_category: Column, has_ml: Column) -> Column:
+    """What the first pattern finds in the outcome and the other texts, else a label by source and models."""
+    whole = F.concat_ws("\n", F.coalesce(outcome, F.lit("")), blob)
+    found = [F.regexp_extract(whole, "(?i)" + p, 0) for p in TARGET_PATTERNS]
+    return F.coalesce(*[F.when(x != "", F.left(F.trim(x), F.lit(80))) for x in found], F.when(source_category.isin(*NO_STUDY), SYNTHESIS_TARGET).when(has_ml, MODEL_TARGET).otherwise(STUDY_TARGET))
+
+
+def inferred_predictors(confounders: Column, most: int = 5) -> Column:
+    """The first names (else codes) of the confounders that are not marked as missing."""
+    names = F.transform(confounders, lambda c: F.trim(F.coalesce(c["variable_name"], c["variable_code"])))
+    return F.slice(F.coalesce(F.filter(names, lambda n: ~is_missing(n)), F.array().cast("array<string>")), 1, most)
+
+
+def metrics_in(text: Column) -> Column:
+    """The results that a text states, each once, at most 220 letters."""
+    hits = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(METRIC_SNIPPET), F.lit(1)), lambda x: F.trim(x)))
+    return F.when(F.size(hits) > 0, F.left(F.array_join(hits, "; "), F.lit(220))).otherwise("Not reported")
+
+
 def is_legacy(finding: Column) -> Column:
     """A finding made by an older migration, to be inferred anew; never null."""
     return contains_any(F.coalesce(finding["dataset_used"], F.lit("")), ("legacy migration",)) | contains_any(F.coalesce(finding["target_variable"], F.lit("")), ("legacy migration",))

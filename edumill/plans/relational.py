@@ -58,9 +58,14 @@ def p13(spark, d):
     return j.select("country", "cycle", "construct", r6(F.when(F.col("transformation") == "negate", -F.col("v")).otherwise(F.col("v"))).alias("v"), "tier")
 
 
-@BOOK.query("p14_leakage", "select count(*) n_leaks from (select unnest(range(1995,2002)) s) a cross join (select unnest(range(1995,2002)) t) b where s>=t and t-s<>0")
+@BOOK.query("p14_leakage", f"with c as ({SCORES}), y as (select distinct \"cycle\" cy from c), p as (select a.cy source_cycle, b.cy target_cycle, b.cy - a.cy lag from y a cross join y b) select source_cycle, target_cycle, source_cycle >= target_cycle and lag != 0 leaks from p")
 def p14(spark, d):
-    return spark.range(1995, 2002).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("t")).where("s >= t and t - s <> 0").agg(F.count("*").alias("n_leaks"))
+    """Which pairs of the panel's cycles would leak: a source that is not earlier than its target."""
+    cycles = scores(spark, d).select("cycle").distinct()
+    every = F.array_sort(F.collect_set("cycle"))  # the cycles of a panel are a handful
+    pairs = cycles.agg(every.alias("s"), every.alias("t")).select(F.explode("s").alias("source_cycle"), "t").select("source_cycle", F.explode("t").alias("target_cycle"))
+    lag = F.col("target_cycle") - F.col("source_cycle")
+    return pairs.withColumn("leaks", (F.col("source_cycle") >= F.col("target_cycle")) & (lag != 0))
 
 
 @BOOK.query("p15_duplicate_keys", "select file_name, ordinal, count(*) n from core_ml_techniques_all group by 1,2 having count(*)>1")

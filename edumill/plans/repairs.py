@@ -11,7 +11,7 @@ from ..operators import records as R
 from ..session import table
 from .base import Book
 from .evidence import _J, _listed, _records, BOOK as EVIDENCE, CUBE, coded
-from .textual import MISS, _sql_cases
+from .textual import MISS, _TRI, _sql_cases
 
 BOOK = Book()
 
@@ -102,6 +102,31 @@ def f18(spark, d):
     return m.select("row_id", X.target_of(F.col("title")).alias("target"), X.dataset_of(F.col("title"), F.col("source_category")).alias("dataset"))
 
 
+_PARTS = ", ".join(f"case when trim(j->>'$.{p}') != '' then trim(j->>'$.{p}') end" for p in ("metadata.title", "metadata.file_name", "data.sample_details.sample_filtering_criteria", "data.survey_design.weight_fields_interpretation", "data.outcome_summary", "data.null_fields_interpretation"))
+_SOURCES = ", ".join(f"'{x}'" for x in X.NO_STUDY)
+
+
+def _context_sql() -> str:
+    phrase = f"left(string_split(trim(regexp_extract(blob,'{X.DATASET_PHRASE}',1)),chr(10))[1],120)"
+    program = f"trim(upper(regexp_extract(blob,'{X.DATASET_PROGRAM}',1))||' '||regexp_extract(blob,'{X.DATASET_PROGRAM}',2))"
+    whole = "concat_ws(chr(10), coalesce(outcome,''), blob)"
+    target = " ".join(f"when regexp_matches({whole},'(?i){p}') then left(trim(regexp_extract({whole},'(?i){p}',0)),80)" for p in X.TARGET_PATTERNS)
+    hits = f"list_transform(regexp_extract_all(coalesce(outcome,''),'{X.METRIC_SNIPPET}',1), lambda x: trim(x))"
+    distinct = f"list_filter({hits}, lambda x, i: list_position({hits}, x) = i)"
+    names = f"list_slice(list_filter(list_transform(confounders, lambda c: trim(coalesce(c->>'$.variable_name', c->>'$.variable_code'))), lambda n: not {MISS.format('n')}),1,5)"
+    return f"""with b as (select record_id, concat_ws(chr(10), {_PARTS}) blob, j->>'$.data.outcome_summary' outcome, j->>'$.metadata.source_category' sc, coalesce((j->>'$.data.ml_techniques.primary') not in ('','[]'),false) or coalesce((j->>'$.data.ml_techniques.all_techniques') not in ('','[]'),false) has_ml, coalesce(json_extract(j,'$.data.confounders_identified[*]'),[]) confounders from ({_J}))
+select record_id, case when {phrase} != '' then {phrase} when {program} != '' then {program} when sc in ({_SOURCES}) then '{X.SYNTHESIS_DATA}' else '{X.CONTEXT_DATA}' end dataset, case {target} when sc in ({_SOURCES}) then '{X.SYNTHESIS_TARGET}' when has_ml then '{X.MODEL_TARGET}' else '{X.STUDY_TARGET}' end target, array_to_string({names},'; ') predictors, case when len({hits})>0 then left(array_to_string({distinct},'; '),220) else 'Not reported' end metrics from b"""
+
+
+@BOOK.query("f18_record_context", _context_sql())
+def f18_records(spark, d):
+    """Data set, target, predictors and results of every record, read from its texts."""
+    r = _records(spark, d)
+    given = lambda c: F.coalesce(~F.col(c).isin("", "[]"), F.lit(False))
+    b = r.select("record_id", X.context(F.col("r")).alias("blob"), F.col("r.data.outcome_summary").alias("outcome"), F.col("r.metadata.source_category").alias("sc"), (given("r.data.ml_techniques.primary") | given("r.data.ml_techniques.all_techniques")).alias("has_ml"), F.col("r.data.confounders_identified").alias("c"))
+    return b.select("record_id", X.inferred_dataset(F.col("blob"), F.col("sc")).alias("dataset"), X.inferred_target(F.col("outcome"), F.col("blob"), F.col("sc"), F.col("has_ml")).alias("target"), F.array_join(X.inferred_predictors(F.col("c")), "; ").alias("predictors"), X.metrics_in(F.coalesce("outcome", F.lit(""))).alias("metrics"))
+
+
 @BOOK.query("f20_legacy_upgrade", _listed("main_findings") + " select record_id, i finding_index, f->>'$.target_variable' target_variable, f->>'$.dataset_used' dataset_used, coalesce(contains(lower(f->>'$.dataset_used'),'legacy migration'),false) or coalesce(contains(lower(f->>'$.target_variable'),'legacy migration'),false) upgraded from x")
 def f20(spark, d):
     """Findings made by an older migration get their target and data set from the title; the others stay."""
@@ -143,7 +168,19 @@ def f23(spark, d):
     return c.groupBy(X.literal(F.col("plausible_values_handling"), X.PV_WORDS, X.PV_SIGNS).alias("pv"), X.literal(F.col("missing_data_handling"), X.MD_WORDS, X.MD_SIGNS).alias("md")).agg(F.count("*").alias("n"))
 
 
-@BOOK.query("f24_sanitised_records")
+_YEARS = "list_filter(list_transform(regexp_extract_all(concat_ws(' ', j->>'$.metadata.file_name', j->>'$.metadata.title'),'(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)',1), lambda x: x::int), lambda v: v between 1990 and 2035)[1]"
+
+
+def _f24_sql() -> str:
+    m = lambda p: f"(j->>'$.{p}')"
+    name = BOOK.sql["f07_title_from_file_name"].replace("from metadata where file_name is not null", f"from (select record_id row_id, j->>'$.metadata.file_name' file_name from ({_J})) where file_name is not null")
+    return f"""with t as ({name}) select record_id, {m('metadata.file_name')} file_name, regexp_replace(trim({m('metadata.doi')}),'(?i)^(https?://(dx\\.)?doi\\.org/|doi:?\\s*)','') doi, case when not {MISS.format(m('metadata.title'))} then {m('metadata.title')} else t.title end title_filled, coalesce(try_cast({m('metadata.year')} as int), {_YEARS}) year_filled,
+ {_TRI.format(m('metadata.open_access'))} open_access, {_TRI.format(m('data.survey_design.student_weights_used'))} student_weights_used, {_lit(m('data.plausible_values_handling'), X.PV_WORDS, X.PV_SIGNS)} pv, {_lit(m('data.missing_data_handling'), X.MD_WORDS, X.MD_SIGNS)} md,
+ coalesce({m('data.ml_techniques.primary')}, regexp_extract({m('data.ml_techniques.all_techniques')},'^\\["([^"]+)"\\]$',1)) ml_primary, try_cast(regexp_replace({m('data.sample_details.total_students')},'[^0-9]','','g') as bigint) total_students,
+ case when json_type(j,'$.data.main_findings')='ARRAY' then json_array_length(j,'$.data.main_findings') else 0 end::int n_findings, case when json_type(j,'$.data.confounders_identified')='ARRAY' then json_array_length(j,'$.data.confounders_identified') else 0 end::int n_confounders from ({_J}) left join t on t.row_id = record_id"""
+
+
+@BOOK.query("f24_sanitised_records", _f24_sql())
 def f24(spark, d):
     """The whole repair of a record as one projection: coerced fields, filled title, bare DOI, vocabularies."""
     r = _records(spark, d)

@@ -283,17 +283,33 @@ def f11(spark, d):
     return table(spark, d, "metadata").where("title is not null").select("title").distinct().select("title", F.size(l).alias("n_labels"), F.try_element_at(l, F.lit(1)).alias("first_label"))
 
 
-@BOOK.query("f43_variable_roles", """with v(name, program) as (values ('CNT','PISA'),('W_FSTUWT','PISA'),('W_FSTURWT12','PISA'),('PV3MATH','PISA'),('PVREAD4','PISA'),('ESCS','PISA'),('TOTWGT','TIMSS'),('JKZONE','TIMSS'),('BSMMAT03','TIMSS'),('SPFWT0','PIAAC'),('SPFWT17','PIAAC'),('PVLIT2','PIAAC'),('TCHWGT','TALIS'),('PV2CIV','ICCS'),('IDCNTRY','ICILS'),('PV5CT','ICILS'))
-select name, program, case when name in ('CNT','IDCNTRY') then 'country' when name in ('W_FSTUWT','TOTWGT','SPFWT0','TCHWGT') then 'weight' when name in ('W_FSTURWT12','JKZONE','SPFWT17') then 'replicate' when name='PV3MATH' or name='BSMMAT03' then 'pv:math' when name='PVREAD4' then 'pv:reading' when name='PVLIT2' then 'pv:literacy' when name='PV2CIV' then 'pv:civic' when name='PV5CT' then 'pv:ct' else 'other' end role from v""")
+_NAMES = "select distinct trim(weight_variable_name) \"name\" from core_data where trim(weight_variable_name) != '' union select unnest(['CNT','W_FSTURWT12','PV3MATH','PVREAD4','JKZONE','BSMMAT03','SPFWT17','PVLIT2','PV2CIV','IDCNTRY','PV5CT'])"
+_PROGRAMS = ("PISA", "TIMSS", "PIRLS", "TALIS", "PIAAC", "ICCS", "ICILS")
+_OWN = ", ".join(f"'{k}'" for k in O.WEIGHTS if k != "*")
+
+
+def _role_sql() -> str:
+    when = lambda p: f"program not in ({_OWN})" if p == "*" else f"program='{p}'"
+    parts = [f"when upper(\"name\") in ({', '.join(repr(x) for x in O.COUNTRY_NAMES)}) then 'country'"]
+    for k, label in ((0, "weight"), (1, "replicate")):
+        parts += [f"when {when(p)} and regexp_matches(\"name\",'(?i){ws[k]}') then '{label}'" for p, ws in O.WEIGHTS.items()]
+    parts += [f"when program='{p}' and regexp_matches(\"name\",'(?i){x}') then 'pv:{dom}'" for p, rules in O.PLAUSIBLE.items() for dom, x in rules]
+    return "case " + " ".join(parts) + " else 'other' end"
+
+
+@BOOK.query("f43_variable_roles", f"select \"name\", program, {_role_sql()} \"role\" from ({_NAMES}) cross join (select unnest({list(_PROGRAMS)}) program)")
 def f43(spark, d):
-    names = [("CNT", "PISA"), ("W_FSTUWT", "PISA"), ("W_FSTURWT12", "PISA"), ("PV3MATH", "PISA"), ("PVREAD4", "PISA"), ("ESCS", "PISA"), ("TOTWGT", "TIMSS"), ("JKZONE", "TIMSS"), ("BSMMAT03", "TIMSS"), ("SPFWT0", "PIAAC"), ("SPFWT17", "PIAAC"), ("PVLIT2", "PIAAC"), ("TCHWGT", "TALIS"), ("PV2CIV", "ICCS"), ("IDCNTRY", "ICILS"), ("PV5CT", "ICILS")]
-    return spark.createDataFrame(names, "name string, program string").select("name", "program", O.variable_role(F.col("name"), F.col("program")).alias("role"))
+    """The role of every variable name that was entered, and of some well-known ones, in each programme."""
+    known = spark.createDataFrame([(n,) for n in ("CNT", "W_FSTURWT12", "PV3MATH", "PVREAD4", "JKZONE", "BSMMAT03", "SPFWT17", "PVLIT2", "PV2CIV", "IDCNTRY", "PV5CT")], "name string")
+    names = table(spark, d, "core_data").select(F.trim("weight_variable_name").alias("name")).where("name != ''").unionByName(known).distinct()
+    each = names.withColumn("program", F.explode(F.array(*[F.lit(p) for p in _PROGRAMS])))
+    return each.select("name", "program", O.variable_role(F.col("name"), F.col("program")).alias("role"))
 
 
-@BOOK.query("f42_catalog_paths", "select row_id, case when regexp_matches(file_name,'(?i)report') then 'report' else 'other' end kind, case when regexp_matches(p,'\\b(19[89][0-9]|20[012][0-9])\\b') then regexp_extract(p,'\\b(19[89][0-9]|20[012][0-9])\\b',1)::int end cycle, 'UNKNOWN_'||left(sha256(p),12) file_id from (select row_id, file_name, replace(file_name,'_','-') p from metadata where file_name is not null)")
+@BOOK.query("f42_catalog_paths", "select row_id, case when regexp_matches(file_name,'(?i)report') then 'report' else 'other' end kind, case when regexp_matches(p,'\\b(19[89][0-9]|20[012][0-9])\\b') then regexp_extract(p,'\\b(19[89][0-9]|20[012][0-9])\\b',1)::int end cycle, 'UNKNOWN_'||left(sha256(p),12) file_id, 'UNKNOWN' program, case when regexp_matches(p,'(?i)STU') then 'student' when regexp_matches(p,'(?i)SCH') then 'school' when regexp_matches(p,'(?i)TCH|TEACHER') then 'teacher' when regexp_matches(p,'(?i)PAR') then 'parent' when regexp_matches(p,'(?i)COG') then 'cognitive' when regexp_matches(p,'(?i)PRIN') then 'principal' else 'other' end \"role\" from (select row_id, file_name, replace(file_name,'_','-') p from metadata where file_name is not null)")
 def f42(spark, d):
     m = table(spark, d, "metadata").where("file_name is not null").withColumn("p", F.replace("file_name", F.lit("_"), F.lit("-")))
-    return m.select("row_id", F.when(F.col("file_name").rlike("(?i)report"), "report").otherwise("other").alias("kind"), O.path_cycle(F.col("p")).alias("cycle"), O.file_id(F.col("p")).alias("file_id"))
+    return m.select("row_id", F.when(F.col("file_name").rlike("(?i)report"), "report").otherwise("other").alias("kind"), O.path_cycle(F.col("p")).alias("cycle"), O.file_id(F.col("p")).alias("file_id"), O.path_program(F.col("p")).alias("program"), O.path_role(F.col("p")).alias("role"))
 
 
 @BOOK.query("f46_control_strip", r"select doc_id, length(regexp_replace(text,'[\x00-\x08\x0b\x0c\x0e-\x1f]','','g'))::int n from documents where text is not null")
