@@ -39,6 +39,23 @@ def fold_rows(rows: DataFrame, least_prior: int = 1) -> DataFrame:
     return rows.join(tests, "program").where("cycle <= test_cycle").withColumn("role", F.when(F.col("cycle") == F.col("test_cycle"), "test").otherwise("train"))
 
 
+def feature_weights(features: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
+    """(feature, weight): the weight of the construct that a feature names once its lag_ prefix is off, else the default.
+
+    features: feature; weights: construct, weight; the larger one where a construct has several.
+    """
+    named = features.select("feature", F.regexp_replace("feature", "^lag_", "").alias("construct")).distinct()
+    one = weights.groupBy("construct").agg(F.max("weight").alias("weight"))
+    return named.join(one, "construct", "left").select("feature", F.coalesce("weight", F.lit(default)).alias("weight"))
+
+
+def in_sample(rows: DataFrame) -> DataFrame:
+    """The last transition of each programme as a fold that is its own test, for predictions inside the sample."""
+    last = rows.groupBy("program").agg(F.max("cycle").alias("test_cycle"))
+    kept = rows.join(last, "program").where("cycle = test_cycle")
+    return kept.withColumn("role", F.explode(F.array(F.lit("train"), F.lit("test"))))
+
+
 def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
     """Coefficients and intercept of centred data; the intercept is not penalised."""
     mx, my = x.mean(0), y.mean()

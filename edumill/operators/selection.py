@@ -26,8 +26,12 @@ def first_column(df: DataFrame, *candidates: str) -> str | None:
     return next((have[c.lower()] for c in candidates if c.lower() in have), None)
 
 
-def replicate_columns(df: DataFrame, prefix: str) -> list[str]:
-    """Columns named prefix and a number, in the order of the numbers, whatever their padding."""
+def replicate_columns(df: DataFrame, prefix: str, most: int = 999) -> list[str]:
+    """The columns prefix001, prefix002, ... if there is any of them, else all of the prefix and a number, by that number."""
+    have = {c.upper(): c for c in df.columns}
+    padded = [have[k] for n in range(1, most + 1) if (k := f"{prefix}{n:03d}".upper()) in have]
+    if padded:
+        return padded
     found = [(int(m[1]), c) for c in df.columns if (m := re.fullmatch(re.escape(prefix) + r"(\d+)", c, re.I))]
     return [c for _, c in sorted(found)]
 

@@ -10,7 +10,7 @@ from ..operators import records as R
 from ..operators import synthesis as Y
 from ..session import broadcast_if_small, table
 from .base import Book, r6
-from .textual import BLANK, MISS, variable_sql
+from .textual import _CLASS, BLANK, MISS, variable_sql
 
 BOOK = Book()
 
@@ -206,6 +206,50 @@ def p04_master(spark, d):
     return R.sentinels(p01_full(spark, d), _FILLS, _FLAGS)
 
 
+_MASKED = "replace(" * len(O.FALSE_SIGNALS) + "lower(coalesce(title,''))" + "".join(f",'{p}',' ')" for p in O.FALSE_SIGNALS)
+_LABELS = {"technical": "N/A: Technical Report", "descriptive": "N/A: Descriptive Report", "authors": "Not Reported by Authors", "traditional": "Not Reported: Likely Traditional Methods", "reported": "Not Reported", "missing": "Missing"}
+_BY_CLASS = {"ml_techniques": ("technical", "traditional"), "effect_size": ("technical", "authors"), "sample_size": ("technical", "reported"), "primary_finding": ("descriptive", "authors"), "confounders": ("technical", "authors")}
+
+
+def _filled_by_class(c: str) -> str:
+    technical, empirical = (_LABELS[k] for k in _BY_CLASS[c])
+    return f"case when not {MISS.format(c)} then {c} when document_class='technical_report' then '{technical}' when document_class='empirical_article' then '{empirical}' else '{_LABELS['missing']}' end {c}"
+
+
+@BOOK.query("p05_conditional_master", f"""with f as (select record_id rid, json_extract(j,'$.data.main_findings[*]') l, json_extract(j,'$.data.confounders_identified[*]') c, j->>'$.data.outcome_summary' o from ({_WITH_CORPUS})),
+m as (select *, lower(coalesce(publication_type,'')) pub, lower(coalesce(source_category,'')) sc, {_MASKED} t from ({_MASTER})),
+b as (select record_id, {_CLASS} document_class, case when {MISS.format('ml_primary')} then ml_all_techniques else ml_primary end ml_techniques, list_filter(l, lambda x: (x->>'$.target_variable') is not null)[1]->>'$.performance_metrics' effect_size, total_students sample_size, o primary_finding, case when len(list_filter(c, lambda x: not {MISS.format("(x->>'$.variable_name')")}))>0 then 'present' end confounders from m join f on rid=record_id)
+select record_id, document_class, {', '.join(_filled_by_class(c) for c in _BY_CLASS)} from b""")
+def p05_master(spark, d):
+    """Empty cells of a record labelled by the class of its document; nothing is imputed."""
+    r = R.parsed(table(spark, d, "article_records").select("record_id", "corpus", "payload"))
+    m = R.master_full(r)
+    cls = O.document_class(F.col("publication_type"), F.col("source_category"), F.col("title")).alias("document_class")
+    first = F.try_element_at(F.filter("r.data.main_findings", lambda f: f["target_variable"].isNotNull()), F.lit(1))["performance_metrics"].alias("effect_size")
+    named = F.when(F.exists("r.data.confounders_identified", lambda c: ~T.is_missing(c["variable_name"])), "present").alias("confounders")
+    more = r.select("record_id", first, F.col("r.data.outcome_summary").alias("primary_finding"), named)
+    b = m.select("record_id", cls, F.when(T.is_missing(F.col("ml_primary")), F.col("ml_all_techniques")).otherwise(F.col("ml_primary")).alias("ml_techniques"), F.col("total_students").alias("sample_size")).join(more, "record_id")
+
+    def fill(c: str):
+        technical, empirical = (_LABELS[k] for k in _BY_CLASS[c])
+        return F.when(~T.is_missing(F.col(c)), F.col(c)).when(F.col("document_class") == "technical_report", technical).when(F.col("document_class") == "empirical_article", empirical).otherwise(_LABELS["missing"]).alias(c)
+
+    return b.select("record_id", "document_class", *[fill(c) for c in _BY_CLASS])
+
+
+# fixed values: codes of countries and regions that the surveys write in their own way
+CODE_REPAIR = (("ABA", "ARE"), ("CNL", "TWN"), ("COT", "COL"), ("RMO", "MKD"), ("DNW", "DNK"), ("BFL", "BEL"))
+
+
+@BOOK.query("p07_country_codes", f"with c as (select record_id, trim(unnest(json_extract(try_cast({_COUNTRIES} as json),'$[*]'))->>'$.country_code') code from ({_WITH_CORPUS}) where left(trim({_COUNTRIES}),1)='[') select case code {' '.join(f'when {a!r} then {b!r}' for a, b in CODE_REPAIR)} else code end code, count(*) n, count(distinct record_id) n_records from c where regexp_full_match(code,'\\p{{L}}{{3}}') group by 1")
+def p07_codes(spark, d):
+    """Valid country codes of the records, repaired by the map."""
+    r = _records(spark, d).where(F.left(F.trim("r.data.sample_details.countries"), F.lit(1)) == "[")
+    c = r.select("record_id", F.explode(F.from_json("r.data.sample_details.countries", "array<string>")).alias("x")).select("record_id", F.trim(F.get_json_object("x", "$.country_code")).alias("code")).where(F.col("code").rlike(r"^\p{L}{3}$"))
+    repair = F.create_map(*[F.lit(x) for kv in CODE_REPAIR for x in kv])
+    return c.groupBy(F.coalesce(F.try_element_at(repair, F.col("code")), F.col("code")).alias("code")).agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("n_records"))
+
+
 @BOOK.query("r06_findings", f"with e as (select record_id, json_extract(j, '$.data.main_findings[*]') l from ({_J}) where json_type(j,'$.data.main_findings')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int finding_index from e) select record_id, finding_index, f->>'$.dataset_used' dataset_used, f->>'$.target_variable' target_variable, f->>'$.performance_metrics' performance_metrics from x where f->>'$.target_variable' is not null")
 def r06(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", "dataset_used", "target_variable", "performance_metrics")

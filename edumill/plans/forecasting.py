@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import forecast as M
 from ..operators import panel as P
+from ..operators import synthesis as Y
+from ..session import table
 from .base import Book, r6
+from .evidence import BOOK as EVIDENCE
+from .evidence import coded
 from .relational import SCORES, covariates, scores
 
 BOOK = Book()
@@ -118,6 +122,20 @@ def m13(spark, d):
     return M.by_fold(f.where(F.col("test_cycle") == f.agg(F.max("test_cycle")).scalar()), M.predictions, M.PREDICTIONS)
 
 
+@BOOK.query("m13_in_sample")
+def m13_inside(spark, d):
+    """Predictions of the last transition by a model of that transition."""
+    return M.by_fold(M.in_sample(pairs(spark, d)), M.predictions, M.PREDICTIONS)
+
+
+@BOOK.query("m10_feature_weights", f"with w as ({EVIDENCE.sql['a12_predictor_weights']}), f as (select 'lag_'||variable feature, variable c from w union select p_brand, p_brand from part) select feature, round(coalesce(w_norm, 1.0), 6) weight from f left join w on w.variable = f.c")
+def m10(spark, d):
+    """Literature weights of features by their construct, lagged or not; features without one weigh 1."""
+    w = Y.predictor_weights(Y.cube(coded(spark, d))).select(F.col("variable").alias("construct"), F.col("w_norm").alias("weight"))
+    features = w.select(F.concat(F.lit("lag_"), F.col("construct")).alias("feature")).unionByName(table(spark, d, "part").select(F.col("p_brand").alias("feature")).distinct())
+    return M.feature_weights(features, w).select("feature", r6("weight").alias("weight"))
+
+
 @BOOK.query("m14_ablation")
 def m14(spark, d):
     """Change of the weighted model's error when the covariates are dropped."""

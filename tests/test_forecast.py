@@ -95,6 +95,9 @@ def test_attributions_and_hold_out_equal_plain_version(spark, sf, panel):
             r = got[program, cycle, n]
             assert near(r["mean_abs"], float(s)) and near(r["share"], float(s / shap.sum())) and r["rank"] == 1 + sum(o > s * (1 + 1e-9) for o in shap)
     end = max(c for _, c, _, _ in every)
+    inside = {r["country"]: r["predicted"] for r in Q["m13_in_sample"](spark, sf).collect()}
+    x, y = matrix([r for r in panel if r["cycle"] == end], [0, 1, 2, 3])
+    assert all(near(inside[r["country"]], float(p)) for r, p in zip((r for r in panel if r["cycle"] == end), model(x, y, x)[0], strict=True))
     for _, _, train, test in (f for f in every if f[1] == end):
         (xt, yt), (x, _) = matrix(train, [0, 1, 2, 3]), matrix(test, [0, 1, 2, 3])
         for r, p in zip(test, model(xt, yt, x)[0], strict=True):
