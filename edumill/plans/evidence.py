@@ -255,6 +255,17 @@ def r06(spark, d):
     return R.findings(_records(spark, d)).select("record_id", "finding_index", "dataset_used", "target_variable", "performance_metrics")
 
 
+@BOOK.query("p02_flat_findings", f"with m as ({_MASTER}), f as (select record_id rid, list_filter(json_extract(j,'$.data.main_findings[*]'), lambda x: (x->>'$.target_variable') is not null) l from ({_WITH_CORPUS})), x as (select rid, unnest(l) f, generate_subscripts(l,1)::int finding_index from f) select record_id, file_name, doi, title, corpus_source, finding_index, f->>'$.dataset_used' dataset_used, f->>'$.target_variable' target_variable, array_to_string(list_filter(list_transform(list_slice(json_extract(f,'$.top_predictors[*]'),1,5), lambda p: p->>'$'), lambda p: trim(p) != ''),'; ') top_predictors, f->>'$.performance_metrics' performance_metrics from m left join x on rid=record_id")
+def p02_flat(spark, d):
+    """One row per finding beside its article, findings numbered from 1, predictors joined by semicolons; an article without findings keeps a row."""
+    r = R.parsed(table(spark, d, "article_records").select("record_id", "corpus", "payload"))
+    with_target = F.filter("r.data.main_findings", lambda f: f["target_variable"].isNotNull())
+    f = r.select("record_id", F.posexplode(with_target).alias("pos", "f")).select("record_id", (F.col("pos") + 1).alias("finding_index"), "f.*")
+    predictors = F.array_join(F.filter(F.slice(F.coalesce("top_predictors", F.array()), 1, 5), lambda p: F.trim(p) != ""), "; ")
+    j = R.master_full(r).select("record_id", "file_name", "doi", "title", "corpus_source").join(f, "record_id", "left")
+    return j.select("record_id", "file_name", "doi", "title", "corpus_source", "finding_index", "dataset_used", "target_variable", F.when(F.col("finding_index").isNotNull(), predictors).alias("top_predictors"), "performance_metrics")
+
+
 def _listed(path: str) -> str:
     return f"with e as (select record_id, json_extract(j, '$.data.{path}[*]') l from ({_J}) where json_type(j,'$.data.{path}')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int i from e)"
 

@@ -88,6 +88,42 @@ def k10(spark, d):
     return sinks.upsert(old, new, ["r_regionkey"])
 
 
+_PARTS = "json_type(payload::json,'$.metadata')='OBJECT' and json_type(payload::json,'$.data')='OBJECT'"
+_STATUS = f"case when payload is null or not json_valid(payload) or starts_with(payload, chr(65279)) then 'unreadable' when json_type(payload::json)='OBJECT' and {_PARTS} then 'ok' else 'no article' end"
+
+
+@BOOK.query("s02_record_status", f"select corpus, {_STATUS} status, count(*) n from article_records where payload is not null group by 1,2")
+def s02(spark, d):
+    """Records written under the folder of their corpus, then read back by folder with their status."""
+    place = _place(spark, "records")
+    a = table(spark, d, "article_records").where("payload is not null")
+    a.select(F.coalesce("corpus", F.lit("none")).alias("corpus"), F.regexp_replace("payload", r"[\r\n]+", " ").alias("value")).write.partitionBy("corpus").text(place)
+    r = readers.article_lines(spark, place)
+    return r.groupBy(F.regexp_extract("path", "corpus=([^/]+)", 1).alias("corpus"), "status").agg(F.count("*").alias("n"))
+
+
+@BOOK.query("k01_records_written", f"select {_STATUS} status, count(*) n, count(case when {_STATUS}='ok' then 1 end) n_titles from (select payload from article_records where payload is not null) group by 1")
+def k01(spark, d):
+    """Public records and failed ones written as JSON by status, and read again."""
+    place = _place(spark, "public")
+    a = table(spark, d, "article_records").where("payload is not null").select(F.col("payload").alias("value"), F.lit("").alias("path"))
+    sinks.write_records(readers.with_status(a).select("status", "r"), place, "status")
+    back = spark.read.json(place)
+    return back.groupBy("status").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "ok", 1)).alias("n_titles"))
+
+
+_CATALOGUED = ("metadata", "core_data", "documents", "lineitem", "events")
+
+
+@BOOK.query("k08_catalog_view", "select file, n_rows, n_columns, n_text from (" + " union all ".join(f"select '{t}' file, (select count(*) from {t}) n_rows, (select count(*) from information_schema.columns where table_name='{t}') n_columns, (select count(*) from information_schema.columns where table_name='{t}' and data_type='VARCHAR') n_text" for t in _CATALOGUED) + ")")
+def k08(spark, d):
+    """The catalogue kept as Parquet tables, and a view that joins files and variables."""
+    files, variables = readers.catalog(spark, d, list(_CATALOGUED))
+    place = _place(spark, "catalogue")
+    sinks.write_catalog(files, variables, place)
+    return sinks.catalog_view(spark, place)
+
+
 @BOOK.query("k11_vector_upsert", "select 2 as version, (select count(*) from embeddings)+1 n_vectors, (select max(len(embedding)) from embeddings)::bigint dimension, (select count(*) from embeddings) n_new")
 def k11(spark, d):
     """A vector index written, then all its vectors replaced and one added."""

@@ -267,6 +267,38 @@ def r02(spark, d):
     return w.select("country", *[F.round(f"y{y}", 4).alias(f"y{y}") for y in YEARS])
 
 
+@BOOK.query("r01_pivot_first", "select c_nationkey country, " + ", ".join(f"arg_min(o_totalprice, o_orderkey) filter (where year(o_orderdate)={y} and o_totalprice is not null) y{y}" for y in YEARS) + " from orders join customer on o_custkey=c_custkey group by 1")
+def r01(spark, d):
+    """Wide covariates: the first value that is there, by the key of its row."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("country"), F.year("o_orderdate").alias("cycle"), "o_totalprice", "o_orderkey")
+    return P.pivot(j, ["country"], "cycle", "o_totalprice", YEARS, "first", "y", "o_orderkey")
+
+
+_DOMAINS = ("BUILDING", "AUTOMOBILE", "MACHINERY", "HOUSEHOLD", "FURNITURE")
+_BY_DOMAIN = "select n_name country, year(o_orderdate)::int cy, c_mktsegment dom, avg(o_totalprice) v from orders join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey group by 1,2,3"
+
+
+def _domain_scores(spark, d):
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.groupBy(F.col("n_name").alias("country"), F.year("o_orderdate").alias("cycle"), F.concat(F.lit("ORD_"), "c_mktsegment").alias("program_domain")).agg(F.avg("o_totalprice").alias("v"))
+
+
+@BOOK.query("r03_pivot_domains", f"with s as ({_BY_DOMAIN}) select country, cy as \"cycle\", " + ", ".join(f"round(avg(v) filter (where dom='{x}'),4) \"ORD_{x}\"" for x in _DOMAINS) + " from s group by 1,2")
+def r03(spark, d):
+    """Scores of each programme and domain side by side."""
+    w = P.pivot(_domain_scores(spark, d), ["country", "cycle"], "program_domain", "v", [f"ORD_{x}" for x in _DOMAINS])
+    return w.select("country", "cycle", *[F.round(f"ORD_{x}", 4).alias(f"ORD_{x}") for x in _DOMAINS])
+
+
+@BOOK.query("r05_unpivot_outcomes", f"with s as ({_BY_DOMAIN}) select country, cy as \"cycle\", 'ORD_'||dom outcome, 'ORD' program, dom as \"domain\", round(v,4) v from s where dom in {_DOMAINS} and v is not null")
+def r05(spark, d):
+    """Outcomes one below the other again, with the programme and domain of their names."""
+    long = P.unpivot(r03(spark, d), ["country", "cycle"], [f"ORD_{x}" for x in _DOMAINS], "outcome", "v")
+    return long.select("country", "cycle", "outcome", F.split_part("outcome", F.lit("_"), F.lit(1)).alias("program"), F.split_part("outcome", F.lit("_"), F.lit(2)).alias("domain"), F.col("v").cast("double").alias("v"))
+
+
 @BOOK.query("r04_unpivot", f"with c as ({COVS}) select country, \"cycle\", construct, round(v,6) v from (select country, \"cycle\", \"value\" discount, tax from c) unpivot (v for construct in (discount, tax))")
 def r04(spark, d):
     return P.unpivot(covariates(spark, d).withColumnRenamed("value", "discount"), ["country", "cycle"], ["discount", "tax"], value="v").select("country", "cycle", "construct", r6("v").alias("v"))

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from ..operators.records import RECORD
 
 
-def article_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, status, r) of all JSON files below a folder: ok, unreadable, or no article; one record per file."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+def with_status(raw: DataFrame) -> DataFrame:
+    """(path, status, r) of rows (path, value): ok, unreadable, or no article."""
     parsed = raw.withColumn("v", F.try_parse_json("value")).withColumn("r", F.from_json("value", RECORD))
     status = F.when(F.col("v").isNull(), "unreadable").when(F.col("r.metadata").isNull() | F.col("r.data").isNull(), "no article").otherwise("ok")
     return parsed.select("path", status.alias("status"), F.when(status == "ok", F.col("r")).alias("r"))
 
 
+def article_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, status, r) of all JSON files below a folder; one record per file."""
+    return with_status(spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def article_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for files of one record per line."""
+    return with_status(spark.read.option("recursiveFileLookup", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
 def corpus_of(path: Column, root: str) -> Column:
     """First part of a path below the root."""
     return F.element_at(F.split(F.substring_index(path, root.rstrip("/") + "/", -1), "/"), 1)

@@ -72,6 +72,18 @@ def vector_manifest(spark: SparkSession, path: str) -> dict | None:
     return spark.read.json(f"{path}/{max(done)}").first().asDict() if done else None
 
 
+def write_catalog(files: DataFrame, variables: DataFrame, path: str) -> None:
+    """The catalogue's two tables as Parquet."""
+    files.write.mode("overwrite").parquet(f"{path}/files")
+    variables.write.mode("overwrite").parquet(f"{path}/variables")
+
+
+def catalog_view(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_rows, n_columns, n_text): the view of a written catalogue, the variables counted before they are joined."""
+    v = spark.read.parquet(f"{path}/variables").groupBy("file").agg(F.count("*").alias("n_columns"), F.sum((F.col("type") == "string").cast("long")).alias("n_text"))
+    return spark.read.parquet(f"{path}/files").select("file", "n_rows").join(v, "file", "left")
+
+
 def bundle_id(*parts: str):
     """Sixteen letters of the hash of an evidence bundle."""
     return F.left(F.sha2(F.concat_ws("::", *[F.col(p).cast("string") for p in parts]), 256), F.lit(16))
