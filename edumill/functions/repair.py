@@ -131,15 +131,46 @@ def confounder_category(category: Column, name: Column, code: Column) -> Column:
 # Findings
 
 
+#: fixed output: sentences and clauses of a conclusion, what is taken off a given one, words of a clause on its meaning
+NO_NARRATIVE = "results were reported without a clear narrative conclusion in the manuscript"
+NO_MEANING = "these patterns have implications for educational policy and instructional practice, though cross-sectional ILSA designs cannot establish causality"
+LEADS = r"(?i)^(the study found that |finding that |the study found )"
+MEANING_WORDS = "policy|practice|equity|instruction|curriculum"
+
+
+def mended(c: Column) -> Column:
+    """'process the study' becomes 'process data, the study'."""
+    return F.when(c.rlike(r"(?i)\bprocess\s+data,\s*the\s+study\b"), c).otherwise(F.regexp_replace(c, r"(?i)\bprocess\s+the\s+study\b", "process data, the study"))
+
+
+def with_meaning(text: Column, hint: Column) -> Column:
+    """A conclusion with a clause on its meaning: that of the hint, else the end of the hint or text if it speaks of policy or
+    practice at some length, else a fixed one; a conclusion that has a clause keeps it."""
+    hint = F.when(F.trim(hint) != "", hint)
+    source = F.coalesce(hint, text)
+    own = F.trim(F.regexp_replace(F.regexp_extract(hint, r"(?is)this\s+indicates\s+that\s+(.+?)(?:\.|$)", 1), r"\.+$", ""))
+    tail = F.regexp_replace(F.trim(source), r"\.+$", "")
+    meaning = F.when(own != "", own).when(F.lower(source).rlike(MEANING_WORDS) & (F.length(tail) > 40), F.right(tail, F.lit(220))).otherwise(NO_MEANING)
+    plain = F.trim(text)
+    whole = F.concat(F.regexp_replace(plain, r"\.+$", ""), F.lit(". This indicates that "), meaning, F.lit("."))
+    return F.when(plain == "", plain).when(plain.rlike(r"(?i)\bthis\s+indicates\b"), mended(plain)).otherwise(mended(whole))
+
+
 def conclusion(dataset: Column, predictors: Column, target: Column, given: Column) -> Column:
-    """A sentence that names data, inputs, target and result, with a clause on its meaning; its wording is fixed output."""
+    """A sentence that names data, inputs, target and result, with a clause on its meaning.
+
+    A given conclusion that names the data set stays, mended; else it becomes the result in the sentence.
+    """
+    given = F.when(~is_missing(given), F.trim(given))
     inputs = F.when(F.size(predictors) > 0, F.array_join(F.slice(predictors, 1, 3), ", ")).otherwise("the reported predictors")
-    effect = F.regexp_replace(F.regexp_replace(F.trim(given), r"\.+$", ""), r"(?i)^(the study found that |finding that |the study found )", "")
-    effect = F.when(is_missing(given), "results were reported without a clear narrative conclusion in the manuscript").otherwise(effect)
-    built = F.concat(F.lit("Using "), dataset, F.lit(" data, the study leveraged "), inputs, F.lit(" to predict "), target, F.lit(", finding that "), effect, F.lit("."))
-    whole = F.when(~is_missing(given) & (F.instr(F.lower(given), F.lower(dataset)) > 0), F.trim(given)).otherwise(built)
-    meaning = F.lit(" This indicates that these patterns have implications for educational policy and instructional practice, though cross-sectional designs cannot establish causality.")
-    return F.when(whole.rlike(r"(?i)\bthis\s+indicates\b"), whole).otherwise(F.concat(F.regexp_replace(whole, r"\.*$", ""), F.lit("."), meaning))
+    d = F.regexp_replace(F.trim(dataset), r"\.+$", "")
+    clause = F.concat(F.lit("Using "), d, F.when(d.rlike(r"(?i)\bdata\b"), ",").otherwise(" data,"))
+    effect = F.trim(F.regexp_replace(F.regexp_replace(given, r"\.+$", ""), LEADS, ""))
+    sentence = mended(F.concat(clause, F.lit(" the study leveraged "), inputs, F.lit(" to predict "), target, F.lit(", finding that "), F.coalesce(effect, F.lit(NO_NARRATIVE)), F.lit(".")))
+    using = mended(F.regexp_replace(F.concat(effect, F.lit(".")), r"(?i)\bdata,\s*the study", "the study"))
+    built = F.when(F.startswith(F.lower(effect), F.lit("using ")), using).otherwise(sentence)
+    keeps = F.coalesce((F.instr(F.lower(given), F.lower(dataset)) > 0) & ~given.rlike(r"(?i)\bdata,\s*the study"), F.lit(False))
+    return with_meaning(F.when(keeps, mended(given)).otherwise(built), given)
 
 
 def normalised_findings(c: Column) -> Column:
@@ -147,7 +178,7 @@ def normalised_findings(c: Column) -> Column:
     def one(f):
         data = F.when(is_missing(f["dataset_used"]), "ILSA dataset not specified in manuscript").otherwise(F.trim(f["dataset_used"]))
         preds = F.slice(F.filter(F.coalesce(f["top_predictors"], F.array().cast("array<string>")), lambda p: ~is_missing(p)), 1, 5)
-        return F.struct(data.alias("dataset_used"), F.trim(f["target_variable"]).alias("target_variable"), preds.alias("top_predictors"), F.when(is_missing(f["performance_metrics"]), "Not reported").otherwise(F.trim(f["performance_metrics"])).alias("performance_metrics"), conclusion(data, preds, F.trim(f["target_variable"]), F.lit(None).cast("string")).alias("standardized_conclusion"))
+        return F.struct(data.alias("dataset_used"), F.trim(f["target_variable"]).alias("target_variable"), preds.alias("top_predictors"), F.when(is_missing(f["performance_metrics"]), "Not reported").otherwise(F.trim(f["performance_metrics"])).alias("performance_metrics"), conclusion(data, preds, F.trim(f["target_variable"]), f["standardized_conclusion"]).alias("standardized_conclusion"))
 
     return F.transform(F.filter(c, lambda f: ~is_missing(f["target_variable"])), one)
 

@@ -19,12 +19,20 @@ data STRUCT<survey_design STRUCT<student_weights_used STRING, replicate_weights_
 plausible_values_handling STRING, missing_data_handling STRING, handling_not_reported_explanation STRING, research_design_type STRING, null_fields_interpretation STRING,
 sample_details STRUCT<total_students STRING, sample_filtering_criteria STRING, countries STRING>,
 ml_techniques STRUCT<`primary` STRING, all_techniques STRING>, confounders_identified ARRAY<STRUCT<variable_code STRING, variable_name STRING, category STRING>>,
-main_findings ARRAY<STRUCT<dataset_used STRING, target_variable STRING, top_predictors ARRAY<STRING>, performance_metrics STRING>>, outcome_summary STRING>"""
+main_findings ARRAY<STRUCT<dataset_used STRING, target_variable STRING, top_predictors STRING, performance_metrics STRING, standardized_conclusion STRING>>, outcome_summary STRING>"""
+
+
+def text_list(c: Column) -> Column:
+    """The texts of a JSON list, or of one text divided by commas; null for null."""
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.left(F.trim(c), F.lit(1)) == "[", F.from_json(c, "array<string>")).otherwise(parts)
 
 
 def parsed(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Rows whose payload is an object with metadata and data, with the column r: the record."""
-    return df.withColumn("r", F.from_json(payload, RECORD)).where("r.metadata is not null and r.data is not null")
+    found = df.withColumn("r", F.from_json(payload, RECORD)).where("r.metadata is not null and r.data is not null")
+    listed_ = F.transform("r.data.main_findings", lambda f: f.withField("top_predictors", text_list(f["top_predictors"])))
+    return found.withColumn("r", F.col("r").withField("data.main_findings", listed_))
 
 
 def master(records: DataFrame, key: str = "record_id") -> DataFrame:

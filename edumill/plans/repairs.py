@@ -83,7 +83,9 @@ def f15(spark, d):
 
 
 _DATA = f"case when {MISS.format('dataset')} then 'ILSA dataset not specified in manuscript' else trim(dataset) end"
-_CONCLUSION = f"'Using '||{_DATA}||' data, the study leveraged '||case when len(preds)>0 then array_to_string(preds[1:3],', ') else 'the reported predictors' end||' to predict '||trim(target)||', finding that results were reported without a clear narrative conclusion in the manuscript. This indicates that these patterns have implications for educational policy and instructional practice, though cross-sectional designs cannot establish causality.'"
+_CLAUSE = f"'Using '||regexp_replace({_DATA},'\\.+$','')||case when regexp_matches({_DATA},'(?i)\\bdata\\b') then ',' else ' data,' end"
+_SENTENCE = f"({_CLAUSE}||' the study leveraged '||case when len(preds)>0 then array_to_string(preds[1:3],', ') else 'the reported predictors' end||' to predict '||trim(target)||', finding that {X.NO_NARRATIVE}')"
+_CONCLUSION = f"{_SENTENCE}||'. This indicates that '||case when regexp_matches(lower({_SENTENCE}),'{X.MEANING_WORDS}') and length({_SENTENCE})>40 then right({_SENTENCE},220) else '{X.NO_MEANING}' end||'.'"
 
 
 @BOOK.query("f16_normalised_findings", f"""with k as (select record_id, list_filter(json_extract(j,'$.data.main_findings[*]'), lambda x: not {MISS.format("(x->>'$.target_variable')")}) l from ({_J}) where json_type(j,'$.data.main_findings')='ARRAY'), x as (select record_id, unnest(l) f, generate_subscripts(l,1)::int finding_index from k),

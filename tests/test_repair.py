@@ -39,8 +39,8 @@ def test_categories_vocabularies_and_countries(spark):
 
 
 def test_findings(spark):
-    schema = "f array<struct<dataset_used string, target_variable string, top_predictors array<string>, performance_metrics string>>"
-    data = [([(None, "reading", ["a", None, "b", "c", "d", "e", "f"], " "), ("PISA 2018", None, [], "R2: 0.1")],), ([],), (None,)]
+    schema = "f array<struct<dataset_used string, target_variable string, top_predictors array<string>, performance_metrics string, standardized_conclusion string>>"
+    data = [([(None, "reading", ["a", None, "b", "c", "d", "e", "f"], " ", None), ("PISA 2018", None, [], "R2: 0.1", "x")],), ([],), (None,)]
     got = rows(spark, data, schema, X.normalised_findings(F.col("f")))
     assert len(got[0]) == 1 and got[0][0]["top_predictors"] == ["a", "b", "c", "d", "e"] and got[0][0]["performance_metrics"] == "Not reported" and got[1] == [] and got[2] is None
     assert got[0][0]["standardized_conclusion"].startswith("Using ILSA dataset not specified in manuscript data, the study leveraged a, b, c to predict reading") and "This indicates" in got[0][0]["standardized_conclusion"]
@@ -51,3 +51,35 @@ def test_long_country_names(spark):
     names = spark.createDataFrame([("United Arab Emirates", "ARE"), ("Hong Kong (SAR)", "HKG"), ("Republic of Korea", "KOR")], "name string, code string")
     assert {r["i"]: r["codes"] for r in X.countries_in(df, "i", "t", names).collect()} == {1: ["ARE", "HKG"], 2: ["KOR"]}
     assert {r["i"]: r["codes"] for r in X.countries_in(df, "i", "t", names, 1).collect()}[1] == ["ARE"]
+
+
+def test_conclusions(spark):
+    given = ["finding that ESCS mattered.", "With PISA 2018 process the study saw gains. This indicates that equity counts.", "Using logs, data, the study predicted scores", None, "N/A", "The study found that teachers shape practice and equity in many of the schools that were looked at"]
+    got = rows(spark, [(g,) for g in given], "g string", X.conclusion(F.lit("PISA 2018"), F.array(F.lit("ESCS"), F.lit("age")), F.lit("reading"), F.col("g")))
+    start = "Using PISA 2018 data, the study leveraged ESCS, age to predict reading, finding that "
+    assert got[0] == start + "ESCS mattered. This indicates that " + X.NO_MEANING + "."
+    assert got[1] == "With PISA 2018 process data, the study saw gains. This indicates that equity counts."
+    assert got[2].startswith("Using logs, the study predicted scores. This indicates that ")
+    assert got[3] == got[4] == start + X.NO_NARRATIVE + ". This indicates that " + X.NO_MEANING + "."
+    assert got[5] == start + "teachers shape practice and equity in many of the schools that were looked at. This indicates that " + given[5] + "."
+    own = X.conclusion(F.lit("TIMSS process data"), F.array().cast("array<string>"), F.lit("x"), F.lit("It rose. This indicates that more is better. Then it fell."))
+    assert rows(spark, [(1,)], "g int", own) == ["Using TIMSS process data, the study leveraged the reported predictors to predict x, finding that It rose. This indicates that more is better. Then it fell."]
+
+
+def test_titles_before_abstract_and_affiliation(spark):
+    text = "ILSA\nA capital title that is long enough\nshort\nAna Bel\nDepartment of X\nmore"
+    cases = [(None, text), ("A &amp; B in all schools", text), ("short", "x\ny"), (None, None)]
+    assert rows(spark, cases, "g string, t string", X.document_title(F.col("g"), F.col("t"))) == ["A capital title that is long enough", "A & B in all schools", None, None]
+
+
+def test_context_of_a_record(spark):
+    from edumill.operators import records as R
+
+    body = '''{"metadata": {"title": "Reading in TIMSS 2019 grade four", "source_category": "review_article"}, "data": {"outcome_summary": "The model predicts math scores well, AUC = 0.81 and AUC = 0.81, accuracy: 70%.",
+     "confounders_identified": [{"variable_name": "Gender"}, {"variable_name": "n/a"}, {"variable_code": "ESCS"}], "main_findings": [{"target_variable": "reading", "top_predictors": "a, b,, c"}]}}'''
+    r = R.parsed(spark.createDataFrame([(1, body.replace("\n", " "))], "record_id int, payload string"))
+    blob, out = X.context(F.col("r")), F.col("r.data.outcome_summary")
+    got = r.select(X.inferred_dataset(blob, F.lit(None).cast("string")), X.inferred_target(out, blob, F.lit("review_article"), F.lit(False)), X.inferred_predictors(F.col("r.data.confounders_identified")), X.metrics_in(out), F.col("r.data.main_findings")[0]["top_predictors"]).first()
+    assert got[0] == "TIMSS 2019 grade four" and got[1] == "predicts math scores well" and got[2] == ["Gender", "ESCS"] and got[3] == "AUC = 0.81; accuracy: 70%" and got[4] == ["a", "b", "c"]
+    none = r.select(X.inferred_dataset(F.lit("OECD - 2015 only"), F.lit("x")), X.inferred_dataset(F.lit(""), F.lit("review_article")), X.inferred_target(F.lit(None).cast("string"), F.lit(""), F.lit("x"), F.lit(True)), X.metrics_in(F.lit(""))).first()
+    assert tuple(none) == ("OECD 2015", X.SYNTHESIS_DATA, X.MODEL_TARGET, "Not reported")
