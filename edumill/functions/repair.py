@@ -244,6 +244,48 @@ def metrics_in(text: Column) -> Column:
     return F.when(F.size(hits) > 0, F.left(F.array_join(hits, "; "), F.lit(220))).otherwise("Not reported")
 
 
+#: fixed values: how a text speaks of weights and of sample sizes, and the sentences of a gap fill
+WEIGHT_NAME = r"(?i)\b(W_FSTUWT|TOTWGT|WGT|STUWT|FINWT|HOUWT|SENWT)\b"
+WEIGHTED = ("w_fstuwt", "totwgt", "survey weight", "sampling weight", "weighted estimate", "used weights", "applied weights", "weight variable")
+UNWEIGHTED = ("weights ignored", "without weights", "unweighted", "did not use weight", "no weight", "weights were not used")
+REPLICATED = ("brr", "fay", "jackknife", "replicate weight")
+SAMPLE_OF = r"(?i)(?:\bn\s*[=:]\s*|sample of\s+|total of\s+)(\d{1,3}(?:[,\s]\d{3})*)\s*(?:students|participants|learners|pupils)?"
+GAPS = (("title", "title was not present in the extraction record"), ("year", "publication year could not be inferred from file_name or title"), ("doi", "DOI was not found in any field of this record"), ("total_students", "total sample size was not explicitly stated in outcome_summary or sample text"), ("ml_primary", "primary ML model was not identified in ml_techniques or outcome_summary"))
+GAP_START, GAP_END = "Several bibliographic or analytic fields remain null after gap-fill because ", ". Values were not invented beyond what appears in this JSON record."
+SPARSE, ADDED = "Weighting details were sparse in survey_design; outcome_summary states: ", " Additional context from outcome_summary: "
+
+
+def weights_in(blob: Column) -> tuple[Column, Column, Column]:
+    """(student weights used, replicate weights used, weight variable) that a text in lower case speaks of; null if it does not."""
+    student = F.when(contains_any(blob, UNWEIGHTED), False).when(contains_any(blob, WEIGHTED), True)
+    replicate = F.when(F.contains(blob, F.lit("replicate weight")) & F.contains(blob, F.lit("not")) & F.contains(blob, F.lit("use")), False).when(contains_any(blob, REPLICATED), True)
+    name = F.upper(F.regexp_extract(blob, WEIGHT_NAME, 1))
+    return student, replicate, F.when(name != "", name)
+
+
+def largest_sample(blob: Column) -> Column:
+    """The largest sample size that a text states; null if it states none."""
+    sizes = F.transform(F.regexp_extract_all(blob, F.lit(SAMPLE_OF), F.lit(1)), lambda x: F.regexp_replace(x, r"[,\s]", "").try_cast("long"))
+    return F.array_max(F.filter(sizes, lambda n: n > 0))
+
+
+def expanded_weight_text(text: Column, outcome: Column) -> Column:
+    """A text of less than 80 letters with the start of the outcome added, if that has 40 or more."""
+    extra = F.left(F.trim(outcome), F.lit(400))
+    grown = F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.concat(F.lit(SPARSE), extra)).otherwise(F.concat(F.trim(text), F.lit(ADDED), extra))
+    return F.when(F.coalesce(F.length(F.trim(text)) >= 80, F.lit(False)) | ~F.coalesce(F.length(F.trim(outcome)) >= 40, F.lit(False)), text).otherwise(grown)
+
+
+def explained_gaps(missing: dict[str, Column], no_technique: Column, given: Column) -> Column:
+    """Why fields are null, where more than three of the critical ones are and no text of 40 letters says so already.
+
+    missing tells of each of GAPS whether it is null; a record without any technique counts as a gap of its own kind.
+    """
+    n = sum((missing[k].cast("int") for k, _ in GAPS[:4]), F.lit(0)) + no_technique.cast("int")
+    reasons = F.array_join(F.array_compact(F.array(*[F.when(missing[k], text) for k, text in GAPS])), "; ")
+    return F.when((n <= 3) | F.coalesce(F.length(F.trim(given)) >= 40, F.lit(False)), given).otherwise(F.concat(F.lit(GAP_START), reasons, F.lit(GAP_END)))
+
+
 def is_legacy(finding: Column) -> Column:
     """A finding made by an older migration, to be inferred anew; never null."""
     return contains_any(F.coalesce(finding["dataset_used"], F.lit("")), ("legacy migration",)) | contains_any(F.coalesce(finding["target_variable"], F.lit("")), ("legacy migration",))

@@ -75,15 +75,25 @@ def hybrid(dense: DataFrame, keyword: DataFrame, k: int, extra: int = 4, core: i
     return d.unionByName(fresh).orderBy("source", "rank").limit(k + extra)
 
 
+#: fixed values: words by which a question asks for the debate layer, a method or one of three variables, in two languages
+DEBATE = ("literatür tartışması", "literature debate", "policy debate", "politika tartışması", "systematic review", "metodoloji tartışması", "methodology debate", "framework discourse", "tarihsel gelişim", "historical development")
+ASKED_METHOD = ("traditional_stats", "traditional stats", "geleneksel istatistik")
+ASKED_MATH = ("math_achievement", "mathematics achievement", "matematik başarı")
+ASKED_SES = ("socioeconomic", "sosyoekonomik", "escs", "hisei", "homepos", "ses-başarı", "ses-achievement")
+ASKED_TEACHER = ("teacher_efficacy", "teacher efficacy", "iş tatmini")
+TEACHER_TR, TEACHER_TOPICS = "öğretmen", ("efficacy", "yeterlik", "tatmin")
+
+
 def route(question: Column) -> Column:
     """Filters read from a question: the evidence layer, a method, and a variable if exactly one family is named."""
-    meta = contains_any(question, ("literature debate", "policy debate", "systematic review", "methodology debate", "framework discourse", "historical development"))
     q = F.lower(question)
-    math, ses, teacher = q.rlike("math_achievement|mathematics achievement"), q.rlike(r"\bses\b|socioeconomic|escs|hisei|homepos"), q.rlike("teacher_efficacy|teacher efficacy")
+    math = contains_any(q, ASKED_MATH)
+    ses = q.rlike(r"\bses\b") | contains_any(q, ASKED_SES)
+    teacher = contains_any(q, ASKED_TEACHER) | F.contains(q, F.lit(TEACHER_TR)) & contains_any(q, TEACHER_TOPICS)
     one = math.cast("int") + ses.cast("int") + teacher.cast("int") == 1
     return F.struct(
-        F.when(meta, "theoretical_meta_synthesis").otherwise("empirical_finding").alias("layer"),
-        F.when(q.rlike("traditional_stats|traditional stats"), "Traditional_Stats").alias("method"),
+        F.when(contains_any(q, DEBATE), "theoretical_meta_synthesis").otherwise("empirical_finding").alias("layer"),
+        F.when(contains_any(q, ASKED_METHOD), "Traditional_Stats").alias("method"),
         F.when(one & math, "Math_Achievement").when(one & ses, "SES").when(one & teacher, "Teacher_Efficacy_Workforce").alias("variable"),
     )
 

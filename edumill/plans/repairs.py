@@ -195,6 +195,47 @@ def f24(spark, d):
     return m.join(more, "record_id").select("record_id", "file_name", "doi", "title_filled", "year_filled", "open_access", "student_weights_used", "pv", "md", "ml_primary", "total_students", "n_findings", "n_confounders")
 
 
+_BLOB = ("metadata.title", "metadata.file_name", "metadata.doi", "metadata.venue", "data.outcome_summary", "data.null_fields_interpretation", "data.handling_not_reported_explanation", "data.survey_design.weight_fields_interpretation", "data.sample_details.sample_filtering_criteria")
+
+
+def _f26_sql() -> str:
+    m = lambda p: f"(j->>'$.{p}')"
+    words = lambda ws: "(" + " or ".join(f"contains(blob,'{w}')" for w in ws) + ")"
+    sizes = f"list_max(list_filter(list_transform(regexp_extract_all(blob,'{X.SAMPLE_OF}',1), lambda x: try_cast(regexp_replace(x,'[,\\s]','','g') as bigint)), lambda n: n > 0))"
+    none = {"title": "coalesce(title,'')=''", "year": "yr is null", "doi": f"coalesce({m('metadata.doi')},'')=''", "total_students": "n is null", "ml_primary": f"coalesce({m('data.ml_techniques.primary')},'')=''"}
+    tech = f"coalesce({m('data.ml_techniques.primary')},'')='' and coalesce({m('data.ml_techniques.all_techniques')},'') in ('','[]')"
+    count = "+".join(f"({none[k]})::int" for k, _ in X.GAPS[:4]) + f"+({tech})::int"
+    reasons = "array_to_string(list_filter([" + ", ".join(f"case when {none[k]} then '{t}' end" for k, t in X.GAPS) + "], lambda x: x is not null),'; ')"
+    given, wfi, out = m("data.null_fields_interpretation"), m("data.survey_design.weight_fields_interpretation"), m("data.outcome_summary")
+    name = BOOK.sql["f07_title_from_file_name"].replace("from metadata where file_name is not null", f"from (select record_id row_id, j->>'$.metadata.file_name' file_name from ({_J})) where file_name is not null")
+    return f"""with t as ({name}), b as (select record_id, j, lower(concat_ws(' ', {', '.join(f"nullif(trim({m(p)}),'')" for p in _BLOB)})) blob, case when coalesce({m('metadata.title')},'')='' then t.title else {m('metadata.title')} end title, coalesce(try_cast({m('metadata.year')} as int), {_YEARS}) yr, {_TRI.format(m('data.survey_design.student_weights_used'))} sw, {_TRI.format(m('data.survey_design.replicate_weights_used'))} rw,
+ try_cast(regexp_replace({m('data.sample_details.total_students')},'[^0-9]','','g') as bigint) n0 from ({_J}) left join t on t.row_id = record_id), c as (select *, coalesce(n0, {sizes}) n from b)
+select record_id, yr as "year", title, coalesce(sw, case when {words(X.UNWEIGHTED)} then false when {words(X.WEIGHTED)} then true end) student_weights_used, coalesce(rw, case when contains(blob,'replicate weight') and contains(blob,'not') and contains(blob,'use') then false when {words(X.REPLICATED)} then true end) replicate_weights_used,
+ coalesce(nullif({m('data.survey_design.weight_variable_name')},''), nullif(upper(regexp_extract(blob,'{X.WEIGHT_NAME}',1)),'')) weight_variable_name, n total_students,
+ case when coalesce(length(trim({wfi}))>=80,false) or not coalesce(length(trim({out}))>=40,false) then {wfi} when coalesce(trim({wfi}),'')='' then '{X.SPARSE}'||left(trim({out}),400) else trim({wfi})||'{X.ADDED}'||left(trim({out}),400) end weight_fields_interpretation,
+ case when {count} <= 3 or coalesce(length(trim({given}))>=40,false) then {given} else '{X.GAP_START}'||{reasons}||'{X.GAP_END}' end null_fields_interpretation from c"""
+
+
+@BOOK.query("f26_gap_fill", _f26_sql())
+def f26_records(spark, d):
+    """What the texts of a record say about its empty fields: year, title, weights, sample size, and why others stay empty."""
+    r = _records(spark, d)
+    m, s = "r.metadata", "r.data.survey_design"
+    blob = F.lower(F.concat_ws(" ", *[F.when(F.trim(f"r.{p}") != "", F.trim(f"r.{p}")) for p in _BLOB]))
+    b = r.select("record_id", "r", blob.alias("blob"))
+    student, replicate, name = X.weights_in(F.col("blob"))
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    total = F.coalesce(F.regexp_replace(F.col("r.data.sample_details.total_students"), "[^0-9]", "").try_cast("long"), X.largest_sample(F.col("blob")))
+    c = b.select(
+        "record_id", "r", F.coalesce(F.col(f"{m}.year").try_cast("int"), T.year_of(F.concat_ws(" ", f"{m}.file_name", f"{m}.title"))).alias("year"), F.when(empty(f"{m}.title"), X.title_from_file_name(F.col(f"{m}.file_name"))).otherwise(F.col(f"{m}.title")).alias("title"),
+        F.coalesce(T.tri_bool(F.col(f"{s}.student_weights_used")), student).alias("student_weights_used"), F.coalesce(T.tri_bool(F.col(f"{s}.replicate_weights_used")), replicate).alias("replicate_weights_used"), F.coalesce(F.when(~empty(f"{s}.weight_variable_name"), F.col(f"{s}.weight_variable_name")), name).alias("weight_variable_name"),
+        total.alias("total_students"), X.expanded_weight_text(F.col(f"{s}.weight_fields_interpretation"), F.col("r.data.outcome_summary")).alias("weight_fields_interpretation"),
+    )
+    missing = {"title": empty("title"), "year": F.col("year").isNull(), "doi": empty(f"{m}.doi"), "total_students": F.col("total_students").isNull(), "ml_primary": empty("r.data.ml_techniques.primary")}
+    untold = missing["ml_primary"] & F.coalesce("r.data.ml_techniques.all_techniques", F.lit("")).isin("", "[]")
+    return c.withColumn("null_fields_interpretation", X.explained_gaps(missing, untold, F.col("r.data.null_fields_interpretation"))).drop("r")
+
+
 @BOOK.query("f27_report_predicates", f"""with p as (select record_id, lower(coalesce(j->>'$.metadata.publication_type','')) pub, {MISS.format("j->>'$.data.ml_techniques.primary'")} no_primary, {MISS.format("j->>'$.data.ml_techniques.all_techniques'")} or coalesce(j->>'$.data.ml_techniques.all_techniques'='[]',false) no_all, regexp_matches(lower(concat_ws(' ', j->>'$.metadata.title', j->>'$.metadata.file_name')),'technical report|national report|framework|user guide|manual') sig from ({_J}))
 select record_id, no_primary and no_all and (pub='report' or (pub in ('book_chapter','') and sig)) official_report from p""")
 def f27(spark, d):

@@ -23,10 +23,19 @@ def q01(spark, d):
 QUESTIONS = ("What is the effect of SES on outcomes?", "Traditional stats and mathematics achievement", "A systematic review of methods", "Does teacher efficacy or SES matter?", "Anything else")
 
 
-@BOOK.query("q02_question_routing", "select * from (values ('What is the effect of SES on outcomes?','empirical_finding',null,'SES'),('Traditional stats and mathematics achievement','empirical_finding','Traditional_Stats','Math_Achievement'),('A systematic review of methods','theoretical_meta_synthesis',null,null),('Does teacher efficacy or SES matter?','empirical_finding',null,null),('Anything else','empirical_finding',null,null)) t(question,layer,\"method\",variable)")
+def _asks(words) -> str:
+    return "(" + " or ".join(f"contains(q,'{w}')" for w in words) + ")"
+
+
+_MATH, _SES, _TEACHER = _asks(Q.ASKED_MATH), f"(regexp_matches(q,'\\bses\\b') or {_asks(Q.ASKED_SES)})", f"({_asks(Q.ASKED_TEACHER)} or contains(q,'{Q.TEACHER_TR}') and {_asks(Q.TEACHER_TOPICS)})"
+_ASKED = ", ".join(f"('{x}')" for x in QUESTIONS)
+
+
+@BOOK.query("q02_question_routing", f"with a as (select distinct title question, lower(title) q from metadata where title is not null union select question, lower(question) from (values {_ASKED}) t(question)), b as (select *, {_MATH}::int m, {_SES}::int s, {_TEACHER}::int t from a) select question, case when {_asks(Q.DEBATE)} then 'theoretical_meta_synthesis' else 'empirical_finding' end layer, case when {_asks(Q.ASKED_METHOD)} then 'Traditional_Stats' end as \"method\", case when m+s+t=1 then case when m=1 then 'Math_Achievement' when s=1 then 'SES' else 'Teacher_Efficacy_Workforce' end end variable from b")
 def q02(spark, d):
-    q = spark.createDataFrame([(x,) for x in QUESTIONS], "question string")
-    return q.select("question", Q.route(F.col("question")).alias("r")).select("question", "r.layer", "r.method", "r.variable")
+    """Filters of some questions, and of every title taken as a question."""
+    asked = spark.createDataFrame([(x,) for x in QUESTIONS], "question string").unionByName(table(spark, d, "metadata").where("title is not null").select(F.col("title").alias("question"))).distinct()
+    return asked.select("question", Q.route(F.col("question")).alias("r")).select("question", "r.layer", "r.method", "r.variable")
 
 
 @BOOK.query("q03_vector_search", f"with q as (select * from embeddings where vec_id%100=0), s as (select q.vec_id question_id, e.vec_id id, {COS} distance from q join embeddings e on e.label=q.label), r as (select *, row_number() over (partition by question_id order by distance, id) rank from s where distance is not null) select question_id, id, round(distance,6)+0.0 distance, rank::int rank from r where rank<=12 and distance<=0.72")
