@@ -9,8 +9,8 @@ a title: of whole titles, which stand beside each other with a separator), with
 The machines are trained on a bounded sample of labelled texts (SAMPLE_TEXTS per language, chosen by hash, at most
 SAMPLE_SENTENCES sentences each); sentences whose first model contradicts their label are dropped before the second
 training, as some labels are wrong. The confidence is the probability that a decision of its margin is right, read
-from a fifth of the sample that machines were not trained on. A sentence whose words are hardly known in the language
-decided for is in none of the languages and gets the label und. Everything else runs over all rows.
+from a fifth of the sample that machines were not trained on. A sentence without a clear decision whose words are hardly
+known in any of the languages is in none of them and gets the label und. Everything else runs over all rows.
 
 Defined results: null, blank and placeholder texts and texts without letters give no segment; a sentence without
 words, or a short one without a clear decision, goes with its neighbours; ties go to the language named first in
@@ -42,7 +42,7 @@ EPOCHS = 5
 #: A title of several languages is split only where each part has so many words.
 LEAST_WORDS = 3
 #: The label of any other language: of a sentence of so many words fewer than this share stand in the training sentences
-#: of the language decided for.
+#: of any one language, and the decision has a margin under 1.
 OTHER, OTHER_WORDS, OTHER_SHARE = "und", 6, 0.15
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -227,10 +227,10 @@ class Decider:
         return out
 
     def decide(self, scores: np.ndarray, n: int) -> tuple[str, float]:
-        """(language, margin) of a part of n words; a part of OTHER_WORDS or more of which hardly any was seen in the
-        language is in another one."""
+        """(language, margin) of a part of n words; a part of OTHER_WORDS or more of which hardly any was seen in
+        any one language is in another one."""
         lang, margin = decide(scores)
-        if n >= OTHER_WORDS and scores[len(self.weights) + languages().index(lang)] < OTHER_SHARE:
+        if n >= OTHER_WORDS and margin < 1 and scores[len(self.weights) :].max() < OTHER_SHARE:
             return OTHER, 1.0
         return lang, margin
 
