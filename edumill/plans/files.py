@@ -54,7 +54,7 @@ def s08(spark, d):
     return spark.read.parquet(place).groupBy(F.col("country").cast("string").alias("country")).agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 4).alias("bal"))
 
 
-@BOOK.query("k02_flattened", "select count(*) n, count(distinct record_id) n_records, 9 n_columns from (select record_id from article_records where json_valid(payload) and json_type(payload::json)='OBJECT' and json_type(payload::json,'$.metadata')='OBJECT' and json_type(payload::json,'$.data')='OBJECT')")
+@BOOK.query("k02_flattened", "select count(*) n, count(distinct record_id) n_records, 10 n_columns from (select record_id from article_records where json_valid(payload) and json_type(payload::json)='OBJECT' and json_type(payload::json,'$.metadata')='OBJECT' and json_type(payload::json,'$.data')='OBJECT')")
 def k02(spark, d):
     r = R.parsed(table(spark, d, "article_records").select("record_id", "payload")).select("record_id", F.col("r.metadata").alias("metadata"))
     place = _place(spark, "flat")
@@ -199,8 +199,8 @@ def _events_stream(spark, d):
 
 @BOOK.query("z04_stream_counts", "select date_trunc('day', ts) window_start, event_type, count(*) n from events group by 1,2")
 def z04(spark, d):
-    """The window counts computed by a stream over the same file, in complete mode; z06 drops repeats."""
-    counts = monitor.window_counts(_events_stream(spark, d))
+    """The window counts computed by a stream over the same file, in complete mode, repeats within the watermark dropped."""
+    counts = monitor.counted_stream(_events_stream(spark, d))
     out = monitor.run_once(spark, counts, "complete", _place(spark, "counts"), _place(spark, "stream"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 

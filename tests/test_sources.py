@@ -45,12 +45,46 @@ def test_sinks(spark):
 def test_stream_equals_batch(spark, sf, tmp_path):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    late = monitor.run_once(spark, monitor.counted_stream(stream, late="400 days"), "late_counts", "complete", str(tmp_path))
+    late = monitor.run_once(spark, monitor.counted_stream(stream, late="400 days"), "complete", str(tmp_path / "out"), str(tmp_path / "state"))
     batch = monitor.window_counts(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     key = lambda df: sorted((r["window_start"], r["event_type"], r["n"]) for r in df.collect())
     assert key(late) == key(batch)
 
 
+def test_streams_of_several_batches_keep_one_row_per_key(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.orderBy("ts").repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = monitor.run_once(spark, read().groupBy("event_type").agg(F.count("*").alias("n")), "update", str(tmp_path / "o1"), str(tmp_path / "c1"), ["event_type"])
+    assert {(r["event_type"], r["n"]) for r in counts.collect()} == {(r["event_type"], r["count"]) for r in events.groupBy("event_type").count().collect()}
+    once = monitor.run_once(spark, read().select("event_id"), "append", str(tmp_path / "o2"), str(tmp_path / "c2"))
+    assert once.count() == events.count()
+    whole = monitor.run_once(spark, read().groupBy("event_type").agg(F.count("*").alias("n")), "complete", str(tmp_path / "o3"), str(tmp_path / "c3"))
+    assert sum(r["n"] for r in whole.collect()) == events.count()
+
+
+def test_vector_index_is_replaced_by_version(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = lambda *ks: spark.createDataFrame([(k, [float(k), v]) for k, v in ks], "id long, vector array<double>")
+    assert sinks.vector_manifest(spark, path) is None
+    sinks.upsert_vectors(path, rows((1, 0.0), (2, 0.0)), "id", "vector", 2)
+    index = sinks.upsert_vectors(path, rows((2, 5.0), (3, 5.0)), "id", "vector", 2)
+    assert sorted((r["id"], r["vector"][1]) for r in index.collect()) == [(1, 0.0), (2, 5.0), (3, 5.0)]
+    assert sinks.vector_manifest(spark, path) == {"version": 2, "n_vectors": 3, "dimension": 2, "n_buckets": 2}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+    from edumill.session import shared_dir
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_log_lines(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05 | OK | a.pdf (12 s)",), ("noise",), (None,), ("2024-01-02 03:04:06 | START | queue=2",)], "value string")
     got = readers.log_lines(df).collect()
