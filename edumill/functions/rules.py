@@ -7,7 +7,8 @@ are compiled in groups, each its own expression, so that generated code stays be
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +28,34 @@ def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str | N
     return F.coalesce(*parts, F.lit(default)) if parts else F.lit(default)
 
 
+_LITERAL = re.compile(r"[a-z0-9 -]+")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def any_of(low: Column, patterns: Sequence[str]) -> Column:
+    """Is one of the patterns found in a text in lower case? Those without signs are searched as plain text, many times faster."""
+    hit = F.lit(False)
+    for p in patterns:
+        if _LITERAL.fullmatch(p):
+            hit = hit | F.contains(low, F.lit(p))
+    rest = [p for p in patterns if not _LITERAL.fullmatch(p)]
+    return hit | low.rlike("|".join(f"(?:{p})" for p in rest)) if rest else hit
+
+
+def folded_once(text: Column, rule: Callable[[Column], Column]) -> Column:
+    """rule of the text with A to Z in lower case, which is worked out once however often the rule looks at it."""
+    return F.transform(F.array(F.translate(text, _UPPER, _LOWER)), rule)[0]
+
+
+def first_listed(low: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """Label of the first rule of which a pattern is found in a text in lower case; null if none is."""
+    chain = None
+    for label, patterns in rules:
+        hit = any_of(low, patterns)
+        chain = F.when(hit, label) if chain is None else chain.when(hit, label)
+    return F.lit(None).cast("string") if chain is None else chain
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
     low, hit = F.lower(text), F.lit(False)
     for w in words:

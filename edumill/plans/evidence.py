@@ -131,7 +131,7 @@ def a23(spark, d):
     for k, x in O.POLICY_DOMAINS.items():
         chain = F.when(v == k, x) if chain is None else chain.when(v == k, x)
     domain = F.coalesce(chain, F.lit("No signal"))
-    p = m.select("corpus", O.first_match(F.col("title"), O.joined(O.VARIABLES)).alias("v"), F.col("title").rlike("(?i)" + O.POLICY_WORDS).alias("pol"))
+    p = m.select("corpus", O.folded_once(F.col("title"), lambda x: O.first_listed(x, O.VARIABLES)).alias("v"), F.col("title").rlike("(?i)" + O.POLICY_WORDS).alias("pol"))
     g = p.groupBy("corpus", domain.alias("domain")).agg(F.count("*").alias("n_signals"), F.sum(F.col("pol").cast("long")).alias("n_policy"))
     conf = F.least(F.lit(1.0), F.least(0.30 + 0.05 * (F.col("n_signals") - 1), F.lit(0.45)) + F.when(F.col("n_policy") > 0, 0.10).otherwise(0.0))
     return g.withColumn("confidence", F.round(conf, 2))
